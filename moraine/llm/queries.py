@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from .jaccard import op9_ngram_jaccard_join
 from .quality import op7_subword_quality
 
-QUERIES = {"op7_subword_quality": op7_subword_quality}
+QUERIES = {
+    "op7_subword_quality": op7_subword_quality,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+}
 ORACLES: dict[str, str] = {}
