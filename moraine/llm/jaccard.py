@@ -7,8 +7,9 @@ Two documents link when ``100 * |A & B| >= threshold * |A | B|`` for their sets
 2. Partition signatures give candidates without loss.  Sets are put in size classes; a class whose largest
    set has U shingles allows D = floor((1 - t) / t * U) elements outside the intersection, so of D + 1 + e hash
    partitions of the shingles at least 1 + e are equal.  Documents that share an equal, non-empty partition
-   meet; a document with more than e empty partitions also offers those.  Each batch joins the documents of a
-   key in a star before the shuffle, so a hot key sends one row per batch.
+   meet; a document with more than e empty partitions also offers those.  As linked documents share several
+   keys, each document leaves out its most common ones (prefix filter over the keys' group sizes), so passages
+   that many documents share do not tie them.  Copies in a batch are folded before the shuffle.
 3. Components of that candidate graph are the blocks to search; those above ``block_rows`` are split by salt.
 4. Inside a block T-occurrence search runs over inverted lists: short lists are merged and counted, the longest
    are only probed by binary search for the survivors (DivideSkip), and the overlap is checked exactly.
@@ -36,7 +37,7 @@ U = np.uint64
 #: Growth of the size classes.
 GROWTH = 1.3
 BLOCK_ROWS = 4000
-_SIG, _SET, _EDGE = 0, 1, 2
+_SIG, _SET = 0, 1
 
 
 def classes(threshold: int, top: int = 1 << 40) -> np.ndarray:
@@ -76,10 +77,11 @@ def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     return out
 
 
-def _signatures(sets: list[np.ndarray], ids: np.ndarray, upper: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+def _signatures(sets: list[np.ndarray], ids: np.ndarray, upper: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, their documents, and scheme * 2**32 + the least number of keys that a linked document shares."""
     size = np.array([len(s) for s in sets], np.int64)
     own = np.searchsorted(upper, size)
-    keys, docs = [], []
+    keys, docs, tags = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for step in (0, 1):
         cls = own + step
         take = own > 0 if step == 0 else (size * 100 // threshold > upper[own]) & (size > 0)
@@ -95,16 +97,17 @@ def _signatures(sets: list[np.ndarray], ids: np.ndarray, upper: np.ndarray, thre
         first = np.flatnonzero(new)
         total = np.add.reduceat(mix(g + U(1)), first)
         label = cls[at][row[first]].astype(np.uint64) * U(1 << 40) + part[first]
+        filled = np.bincount(row[first], minlength=len(at))
+        shared = np.maximum(1, 1 + surplus - (m - filled)) + (step << 32)
         keys.append(mix(total ^ mix(label)))
         docs.append(ids[at[row[first]]])
-        filled = np.bincount(row[first], minlength=len(at))
+        tags.append(shared[row[first]])
         for j in np.flatnonzero(m - filled > surplus):
             lack = np.setdiff1d(np.arange(m[j]), part[row == j].astype(np.int64))
             keys.append(mix(mix(lack.astype(np.uint64) + U(int(cls[at[j]]) << 40)) + U(3)))
             docs.append(np.full(len(lack), ids[at[j]]))
-    if not keys:
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    return np.concatenate(keys), np.concatenate(docs)
+            tags.append(np.full(len(lack), shared[j]))
+    return np.concatenate(keys), np.concatenate(docs), np.concatenate(tags)
 
 
 def _keyed(n: int, threshold: int):
@@ -112,8 +115,7 @@ def _keyed(n: int, threshold: int):
     upper = classes(threshold)
 
     def rows(k1, k2, kind, a, b):
-        m = len(k1)
-        full = lambda x: pa.array(np.broadcast_to(np.asarray(x), m).astype(np.int64))
+        full = lambda x: pa.array(np.broadcast_to(np.asarray(x), len(k1)).astype(np.int64))
         return pa.record_batch([pa.array(k1.view(np.int64)), full(k2), full(kind), full(a), full(b)], names)
 
     def run(batches):
@@ -126,48 +128,63 @@ def _keyed(n: int, threshold: int):
             lone = size == 0  # empty sets equal nothing: a key of their own
             s1, s2 = np.where(lone, mix(ids.view(U)), s1), np.where(lone, mix(ids.view(U) + U(9)), s2)
             yield rows(s1, s2.view(np.int64), _SET, ids, size)
-            keys, docs = _signatures(sets, ids, upper, threshold)
-            if not len(keys):
-                continue
-            order = np.lexsort((docs, keys))
-            keys, docs = keys[order], docs[order]
-            first = np.ones(len(keys), bool)
-            first[1:] = keys[1:] != keys[:-1]
-            head = docs[first]
-            yield rows(keys[first], 0, _SIG, head, 0)
-            center = head[np.cumsum(first) - 1]
-            other = ~first & (docs != center)
-            if other.any():
-                pairs = np.unique(np.stack([center[other], docs[other]], 1), axis=0)
-                yield rows(mix(pairs[:, 0].astype(U) * U(31) + pairs[:, 1].astype(U)), 0, _EDGE, pairs[:, 0], pairs[:, 1])
+            # copies within the batch send one document's keys
+            _, once = np.unique(np.stack([s1, s2], 1), axis=0, return_index=True)
+            keys, docs, tags = _signatures([sets[i] for i in once], ids[once], upper, threshold)
+            if len(keys):
+                yield rows(keys, 0, _SIG, docs, tags)
 
     return run
 
 
-def _stars(batches):
-    """Rows sorted by key: signature keys become edges to the key's first document, set keys name a representative."""
-    last = (None, None, None)
-    center = 0
+#: Groups of more documents than this count as this many.
+GROUP_CAP = 1024
+
+
+def _groups(batches):
+    """Rows sorted by key.  Set keys: (representative, document, set size).  Signature keys of two documents at
+    least: (first document, document, tag, key, group size up to a cap).  Holds a group up to the cap at most."""
+    names = ["a", "b", "n", "tag", "key", "size"]
+    held: list[np.ndarray] = []  # the columns of the group that the last batch ended with, not yet given out
+    center = size = None
+
+    def give(cols, size):
+        k1, _, kind, a, b, head = cols
+        whole = kind == _SET
+        take = whole | (size > 1)
+        cols = (head, a, np.where(whole, b, -1), np.where(whole, 0, b), np.where(whole, 0, k1), np.where(whole, 0, np.minimum(size, GROUP_CAP)))
+        return pa.record_batch([pa.array(np.asarray(x, np.int64)[take]) for x in cols], names)
+
     for batch in batches:
-        k1, k2, kind, a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-        n = len(k1)
-        if not n:
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+        if not len(cols[0]):
             continue
-        new = np.ones(n, bool)
+        if held:
+            cols = [np.concatenate([x, y]) for x, y in zip(held[:5], cols, strict=True)]
+        k1, k2, kind, a, _ = cols
+        new = np.ones(len(k1), bool)
         new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (kind[1:] != kind[:-1])
-        new[0] = (k1[0], k2[0], kind[0]) != last
-        group = np.cumsum(new)
-        heads = np.concatenate([[center], a[new]])
-        head = heads[group]
-        last, center = (k1[-1], k2[-1], kind[-1]), int(head[-1])
-        sig = (kind == _SIG) & (head != a)
-        edge = kind == _EDGE
-        whole = kind == _SET
-        src = np.concatenate([head[sig], a[edge], head[whole]])
-        dst = np.concatenate([a[sig], b[edge], a[whole]])
-        size = np.concatenate([np.full(int(sig.sum() + edge.sum()), -1), b[whole]])
-        if len(src):
-            yield pa.record_batch([pa.array(src), pa.array(dst), pa.array(size.astype(np.int64))], ["a", "b", "n"])
+        first = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        count = np.diff(np.append(first, len(k1)))
+        heads = a[first]
+        if held:  # what was given out of the first group before
+            heads[0] = center
+            count[0] += size
+        last = first[-1]
+        full = [*cols, heads[group]]
+        ready = count[group]
+        if count[-1] >= GROUP_CAP:
+            held, center, size = [x[-1:] for x in full], heads[-1], count[-1] - 1
+        else:
+            keep = len(k1) - last
+            size = count[-1] - keep
+            held, center = [x[last:] for x in full], heads[-1]
+        m = len(k1) - len(held[0])
+        if m:
+            yield give([x[:m] for x in full], ready[:m])
+    if held:
+        yield give(held, np.full(len(held[0]), size + len(held[0])))
 
 
 class InvertedLists:
@@ -296,12 +313,16 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = src.where("id is not null")
     keyed = known.mapInArrow(_keyed(n, threshold), "k1 long, k2 long, kind long, a long, b long")
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stars = stored(
-        keyed.repartition(parts, "k1", "k2").sortWithinPartitions("k1", "k2", "kind", "a").mapInArrow(_stars, "a long, b long, n long"),
-        "stars",
+    groups = stored(
+        keyed.repartition(parts, "k1", "k2").sortWithinPartitions("k1", "k2", "kind", "a")
+        .mapInArrow(_groups, "a long, b long, n long, tag long, key long, size long"),
+        "groups",
     )
-    sets = stars.where("n >= 0").groupBy("b").agg(F.min("a").alias("rep"), F.max("n").alias("n"), F.count("*").alias("rows"))
-    near = stars.where("n < 0").select("a", "b").distinct()
+    sets = groups.where("n >= 0").groupBy("b").agg(F.min("a").alias("rep"), F.max("n").alias("n"), F.count("*").alias("rows"))
+    # a linked pair shares `tag` keys at least, so it also shares one that is not among the tag - 1 most common of either
+    ranked = groups.where("n < 0").groupBy("b", "tag").agg(F.sort_array(F.collect_list(F.struct("size", "key", "a"))).alias("k"))
+    kept = F.greatest(F.size("k") - F.col("tag").bitwiseAND(0xFFFFFFFF).cast("int") + 1, F.lit(0))
+    near = ranked.select(F.explode(F.slice("k", 1, kept)).alias("k"), "b").select("k.a", "b").where("a <> b").distinct()
     rep = sets.select("b", "rep")
     edges = (
         near.join(rep, "b").select("a", F.col("rep").alias("y")).join(rep, F.col("a") == rep.b).select(F.col("rep").alias("x"), "y")
@@ -310,7 +331,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     coarse = connected_components(edges, "x", "y")
     sized = coarse.groupBy("component").agg(F.count("*").alias("members"))
     blocks = stored(coarse.join(sized, "component").select(F.col("node").alias("id"), F.col("component").alias("comp"), "members"), "blocks")
-    member = known.join(F.broadcast(blocks) if blocks.count() <= 20_000 else blocks.hint("shuffle_hash"), "id").select("id", "text", "comp", "members")
+    member = known.join(blocks.hint("shuffle_hash"), "id").select("id", "text", "comp", "members")
     small = member.where(F.col("members") <= block_rows).select("comp", F.lit(0).alias("salt"), F.lit(False).alias("query"), "id", "text")
     todo = small
     pivots = None
