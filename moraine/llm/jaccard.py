@@ -54,11 +54,12 @@ def partitions(upper: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarra
 
     The union has at most 100/threshold times the smaller set's elements, so at most
     ``upper * (100 - threshold) / threshold`` differ.  The surplus is what a set of the class's smallest size
-    leaves empty by chance, with a margin, so that hardly any document has to offer its empty partitions.
+    leaves empty by chance, with a margin, so that hardly any document has to offer its empty partitions, and
+    some more, so that linked documents share many keys and the prefix filter can leave common ones out.
     """
     least = upper * (100 - threshold) // threshold + 1
     empty = least * np.exp(-upper / GROWTH / least)
-    surplus = np.ceil(empty + 4 * np.sqrt(empty) + 2).astype(np.int64)
+    surplus = np.ceil(empty + 4 * np.sqrt(empty) + 2).astype(np.int64) + least * (100 - threshold) // 100
     return least + surplus, surplus
 
 
