@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .jaccard import op9_ngram_jaccard_join
 from .quality import op7_subword_quality
+from .substring import op3_relative_lz_dedup
 
 QUERIES = {
+    "op3_relative_lz_dedup": op3_relative_lz_dedup,
     "op7_subword_quality": op7_subword_quality,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
