@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .decontaminate import op1_latent_decontamination
 from .jaccard import op9_ngram_jaccard_join
 from .quality import op7_subword_quality
 from .substring import op3_relative_lz_dedup
 
 QUERIES = {
+    "op1_latent_decontamination": op1_latent_decontamination,
     "op3_relative_lz_dedup": op3_relative_lz_dedup,
     "op7_subword_quality": op7_subword_quality,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
