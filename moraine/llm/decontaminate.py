@@ -1,6 +1,6 @@
 """Operator 1: benchmark decontamination by latent semantic retrieval.
 
-Passages of ``width`` words every ``stride`` words are TF-IDF vectors over hashed lower-cased words.
+Passages of ``width`` words every ``stride`` words are TF-IDF vectors over hashed words, without case and ASCII punctuation.
 
 1. Document frequencies over all passages of the corpus: one fixed table of ``BUCKETS`` counts per task, summed.
 2. Distributed randomised SVD of the TF-IDF matrix of all passages, restricted to the columns of benchmark words
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,11 @@ WIDTH, STRIDE, SPARE, ITEMS = 32, 16, 56, 1000
 MAX_SHARE = 0.005
 
 
+def _words(texts: pa.Array) -> Words:
+    """Words without case and ASCII punctuation."""
+    return Words(pc.utf8_lower(texts), bare=True)
+
+
 def _passages(w: Words, width: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document, first word and end word of every passage; the last one of a document ends at its end."""
     n = np.diff(w.off)
@@ -63,7 +69,7 @@ def _frequencies(width: int, stride: int):
     def run(batches):
         df, passages = np.zeros(BUCKETS, np.int64), 0
         for b in slices(batches):
-            w = Words(b.column("text"), lower=True)
+            w = _words(b.column("text"))
             _, begin, end = _passages(w, width, stride)
             _, term, _ = _terms(_bucket(w), begin, end)
             df += np.bincount(term, minlength=BUCKETS)
@@ -96,7 +102,7 @@ class _Space:
     """Columns of the benchmark's words, idf of all buckets, the latent basis and the items in it."""
 
     def __init__(self, texts: list[str], df: np.ndarray, passages: int, min_words: int):
-        w = Words(pa.array(texts, pa.string()), lower=True)
+        w = _words(pa.array(texts, pa.string()))
         self.words = [w.hash[a:b] for a, b in zip(w.off[:-1], w.off[1:], strict=True)]
         self.use = np.array([len(x) >= min_words for x in self.words], bool)
         self.idf = (np.log((passages + 1) / (df + 1.0)) + 0.1).astype(np.float32)
@@ -115,7 +121,7 @@ class _Space:
 
 def _vectors(b: pa.RecordBatch, column: np.ndarray, idf: np.ndarray, width: int, stride: int, least: float):
     """Unit TF-IDF rows of the passages whose weight on benchmark words is ``least`` or more, as (row, column, value)."""
-    w = Words(b.column("text"), lower=True)
+    w = _words(b.column("text"))
     doc, begin, end = _passages(w, width, stride)
     row, term, tf = _terms(_bucket(w), begin, end)
     told = idf[term] > 0

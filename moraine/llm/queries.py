@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from .decontaminate import op1_latent_decontamination
 from .jaccard import op9_ngram_jaccard_join
+from .mixing import op2_soft_mixing
+from .packing import op10_packed_token_ids
 from .quality import op7_subword_quality
 from .substring import op3_relative_lz_dedup
 
 QUERIES = {
     "op1_latent_decontamination": op1_latent_decontamination,
+    "op2_soft_mixing": op2_soft_mixing,
     "op3_relative_lz_dedup": op3_relative_lz_dedup,
     "op7_subword_quality": op7_subword_quality,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op10_packed_token_ids": op10_packed_token_ids,
 }
 ORACLES: dict[str, str] = {}

@@ -78,9 +78,8 @@ def pairs(w: Words, doc: np.ndarray) -> np.ndarray:
     return np.stack([np.bincount(doc[1:][inside & ~same], minlength=n), np.bincount(doc[1:][inside & same], minlength=n)], 1) * PAIR_WEIGHT
 
 
-def document_scores(texts: pa.Array, model: SubwordModel) -> np.ndarray:
+def document_scores(w: Words, model: SubwordModel) -> np.ndarray:
     """Softmax probabilities, one row per text."""
-    w = Words(texts)
     n, k = len(w.off) - 1, model.table.shape[1]
     total, count = np.zeros((n, k)), np.zeros(n)
     if len(w.hash):
@@ -134,25 +133,31 @@ def fit(texts: list[str], labels: np.ndarray, classes: int, prior: np.ndarray |
             weights -= lr * np.outer(mean, p)
             bias -= 0.1 * lr * p
             if len(idx):
-                # each vector's step is scaled by the document's feature count, as averaging divides it
-                vectors[idx] -= (lr * np.minimum(share * len(idx), 8.0))[:, None] * back
+                # averaging divides each step by the feature count; it is multiplied in again, up to a unit step of the mean
+                gain = np.minimum(share * len(idx), 8.0)
+                vectors[idx] -= (lr * gain / max(1.0, float(share @ gain)))[:, None] * back
     if prior is not None and len(docs):
         seen = np.bincount(labels, minlength=classes) / len(docs)
         bias = bias + np.log(np.maximum(prior, 1e-6)) - np.log(np.maximum(seen, 1e-6))
     return SubwordModel((vectors @ weights).astype(np.float32), bias)
 
 
-def score_documents(docs: DataFrame, model: SubwordModel, keep: list[str], text: str = "text", out: str = "probs") -> DataFrame:
-    """``keep`` columns plus ``out`` (array of class probabilities), one row per document, no shuffle."""
+def score_documents(docs: DataFrame, model: SubwordModel, keep: list[str], text: str = "text", out: str = "probs", words: str | None = None) -> DataFrame:
+    """``keep`` columns plus ``out`` (array of class probabilities), one row per document, no shuffle.
+
+    ``words`` names a further column with the number of words.
+    """
     ship()
     # buckets x classes floats: a fixed size; plain values, as broadcasts are pickled by reference
     shared = docs.sparkSession.sparkContext.broadcast((model.table, model.bias, model.temperature, model.sizes))
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(out, T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(out, T.ArrayType(T.DoubleType()))] + ([T.StructField(words, T.LongType())] if words else []))
 
     def run(batches):
         model = SubwordModel(*shared.value)
         for b in slices(batches, text):
-            p = document_scores(b.column(text), model)
-            yield pa.record_batch([*(b.column(c) for c in keep), pa.array(list(p), pa.list_(pa.float64()))], [*keep, out])
+            w = Words(b.column(text))
+            cols = [*(b.column(c) for c in keep), pa.array(list(document_scores(w, model)), pa.list_(pa.float64()))]
+            cols += [pa.array(np.diff(w.off))] * bool(words)
+            yield pa.record_batch(cols, [*keep, out, words] if words else [*keep, out])
 
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)

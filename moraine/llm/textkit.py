@@ -17,6 +17,8 @@ _C1, _C2, _C3 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[9, 10, 11, 12, 13, 32]] = False
+_IS_LETTER = _IS_WORD.copy()
+_IS_LETTER[:128] = [chr(i).isalnum() for i in range(128)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -55,16 +57,17 @@ class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a column slice.
 
     ``data`` padded bytes, ``start``/``length`` per word, ``off`` word offsets per document
-    (documents i has words off[i]:off[i+1]), ``hash`` a 64-bit hash per word.
+    (documents i has words off[i]:off[i+1]), ``hash`` a 64-bit hash per word.  ``lower`` lower-cases A-Z;
+    ``bare`` separates words at ASCII punctuation too.
     """
 
-    def __init__(self, arr: pa.Array, lower: bool = False, hashed: bool = True):
+    def __init__(self, arr: pa.Array, lower: bool = False, hashed: bool = True, bare: bool = False):
         raw, off = offsets(arr)
         n = len(raw)
         data = np.zeros(n + 16, np.uint8)
         data[:n] = _LOWER[raw] if lower else raw
         self.data, self.byte_off = data, off
-        inside = _IS_WORD[data[:n]]
+        inside = (_IS_LETTER if bare else _IS_WORD)[data[:n]]
         before = np.zeros(n, bool)
         before[1:] = inside[:-1]
         after = np.zeros(n, bool)
