@@ -8,13 +8,17 @@ from .mixing import op2_soft_mixing
 from .packing import op10_packed_token_ids
 from .quality import op7_subword_quality
 from .substring import op3_relative_lz_dedup
+from .topk import OP8_SQL, op8_block_pruned_topk
+from .warc import OP4_SQL, op4_warc_normaliser
 
 QUERIES = {
     "op1_latent_decontamination": op1_latent_decontamination,
     "op2_soft_mixing": op2_soft_mixing,
     "op3_relative_lz_dedup": op3_relative_lz_dedup,
+    "op4_warc_normaliser": op4_warc_normaliser,
     "op7_subword_quality": op7_subword_quality,
+    "op8_block_pruned_topk": op8_block_pruned_topk,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_packed_token_ids": op10_packed_token_ids,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_warc_normaliser": OP4_SQL, "op8_block_pruned_topk": OP8_SQL}
