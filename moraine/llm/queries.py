@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import op6_budgeted_chat
 from .decontaminate import op1_latent_decontamination
 from .jaccard import op9_ngram_jaccard_join
 from .mixing import op2_soft_mixing
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_soft_mixing": op2_soft_mixing,
     "op3_relative_lz_dedup": op3_relative_lz_dedup,
     "op4_warc_normaliser": op4_warc_normaliser,
+    "op6_budgeted_chat": op6_budgeted_chat,
     "op7_subword_quality": op7_subword_quality,
     "op8_block_pruned_topk": op8_block_pruned_topk,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
