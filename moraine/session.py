@@ -8,6 +8,7 @@ import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ship() -> None:
@@ -35,3 +36,21 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     path = f"{shared_dir(spark)}/moraine/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, or it with underscores before it, so that it clashes with no column."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
+#: Ids up to which a table of ids is broadcast (8 MB); beyond, the join shuffles.
+BROADCAST_IDS = 1_000_000
+
+
+def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is not in ``ids`` (one column, stored or cheap to count); null keys stay."""
+    gone = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
+    return df.join(gone, key, "left_anti")
