@@ -6,18 +6,56 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from moraine.llm.decontaminate import decontaminate
+from moraine.llm.jaccard import jaccard_join
+from moraine.llm.mixing import TARGETS, mix
+from moraine.llm.packing import pack_documents
 from moraine.llm.quality import fit_quality, score_quality
-from moraine.session import shared_dir
+from moraine.session import fresh, shared_dir, stored, without
+
+#: Words of a shingle and least similarity (hundredths) of near duplicates.
+SHINGLE, SIMILAR = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go; the model is fitted on the labelled documents it is given."""
-    model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_quality(docs, model, keep=docs.columns).where("predicted = 1").select(*docs.columns)
+    """Documents that the quality classifier rejects go; it is fitted on the labelled documents among those given."""
+    scored = score_quality(docs, fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), keep=docs.columns)
+    return scored.where(F.col(scored.columns[-1]) == 1).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the smallest id stays, once; null ids stay."""
+    classes = stored(jaccard_join(docs, n=SHINGLE, threshold=SIMILAR), "classes")
+    out = without(docs, classes.where("component_id <> id").select(F.col("id").alias("doc_id")).distinct(), "doc_id")
+    repeated = classes.where("id is not null").groupBy("id").count().where("count > 1")
+    if repeated.limit(1).count():
+        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).union(out.where("doc_id is null"))
+    return out.select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    hits = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without(docs, stored(hits.select("doc_id").where("doc_id is not null").distinct(), "hits"), "doc_id").select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated by their rate, so that languages meet their weights; none is dropped."""
+    mixed = mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), TARGETS, keep=docs.columns)
+    copy = fresh("copy", mixed.columns)
+    return mixed.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(mixed.columns[-1])))).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents as packed token ids; one row per document read back from the matrices."""
+    return pack_documents(docs)
 
 
-STAGES: list[tuple[str, Callable]] = [("quality", quality)]
+STAGES: list[tuple[str, Callable]] = [
+    ("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixture", mixture), ("packing", packing),
+]
 
 #: No stage before the last can be stated in SQL (a trained model decides); tests hold each against brute force.
 ORACLE_SQL = None

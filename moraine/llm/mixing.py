@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import fresh, stored
 from .quality import labelled_sample
 from .subword import SubwordModel, fit, score_documents
 
@@ -58,8 +58,8 @@ def _rate(steps: list[list[float]], eta: float, ridge: float, floor: float) -> C
     return F.aggregate(F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in steps]), start, step)
 
 
-def solve_rates(members: DataFrame, weights: list[float], floor: float = 1.0, steps: int = STEPS, ridge: float = RIDGE) -> DataFrame:
-    """Add ``rate`` to ``members`` (columns ``n`` and ``p``)."""
+def solve_rates(members: DataFrame, weights: list[float], floor: float = 1.0, steps: int = STEPS, ridge: float = RIDGE) -> Column:
+    """The rate of each row of ``members`` as a function of its posteriors ``p``; ``n`` are its words."""
     k = len(weights)
     want = np.array(weights, float) / sum(weights)
     n = F.col("n").cast("double")
@@ -68,7 +68,7 @@ def solve_rates(members: DataFrame, weights: list[float], floor: float = 1.0, st
     first = np.array([x or 0.0 for x in members.agg(*sums(F.lit(1.0)), *gram).first()])
     now, total = first[:k], first[:k].sum()
     if total <= 0:
-        return members.withColumn("rate", F.lit(1.0))
+        return F.lit(1.0)
     # extreme curvatures of the problem give the step and the momentum of the accelerated method
     curve = np.linalg.eigvalsh(first[k:].reshape(k, k) / total)
     most, least = curve[-1] + ridge, max(curve[0], 0.0) + ridge
@@ -77,25 +77,30 @@ def solve_rates(members: DataFrame, weights: list[float], floor: float = 1.0, st
     scale = max([1.0, *(share[want > 0] / want[want > 0] * floor)]) if floor > 0 else 1.0
     target, done = want * scale, []
     for _ in range(steps):
-        at = _rate(done, eta, ridge, floor).y
+        at = _rate(done, eta, ridge, floor)["y"]
         off = np.array(members.agg(*sums(at)).first(), float) / total - target
         if np.abs(off).max() < TOLERANCE:
             break
         done.append([*off, momentum])
-    return members.withColumn("rate", _rate(done, eta, ridge, floor).y if not done else _rate(done, eta, ridge, floor).r)
+    return _rate(done, eta, ridge, floor)["r"]
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: str = "lang", floor: float = 1.0, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns with ``domain`` (likeliest), ``n_words``, ``rate`` and ``copies``, one row per document."""
+    """``keep`` columns, then likeliest domain, words, rate and copies (the last four columns), one row per document."""
     keep = keep or ["doc_id"]
     names = list(targets)
     model = fit_domains(docs, labels, domain, names)
-    members = stored(score_documents(docs, model, ["doc_id"], out="p", words="n"), "members")
-    rated = solve_rates(members, [targets[x] for x in names], floor)
+    last = [fresh(x, keep) for x in ("domain", "n_words", "rate", "copies")]
+    held = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col("doc_id").alias("id"), F.col("text").alias("whole"))
+    kept = [f"c{i}" for i in range(len(keep))]
+    members = stored(score_documents(held, model, [*kept, "id"], text="whole", out="p", words="n"), "members")
+    rate = solve_rates(members, [targets[x] for x in names], floor)
     best = F.array_position("p", F.array_max("p")).cast("int")
-    u = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
+    u = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
+    likeliest = F.element_at(F.array(*[F.lit(x) for x in names]), best)
+    rated = members.withColumn("r", rate)
     return rated.select(
-        "doc_id", F.element_at(F.array(*[F.lit(x) for x in names]), best).alias("domain"), F.col("n").alias("n_words"), "rate", F.floor(F.col("rate") + u).cast("int").alias("copies")
+        *[F.col(x).alias(c) for x, c in zip(kept, keep, strict=True)], likeliest.alias(last[0]), F.col("n").alias(last[1]), F.col("r").alias(last[2]), F.floor(F.col("r") + u).cast("int").alias(last[3])
     )
 
 

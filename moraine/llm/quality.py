@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import fresh
 from .subword import SubwordModel, fit, score_documents
 
 #: Labelled documents per class that the fit reads, and the longest text it takes (bytes): bounds of the fit only.
@@ -50,10 +51,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = FIT_PER_CLA
 
 
 def score_quality(docs: DataFrame, model: SubwordModel, keep: list[str] | None = None) -> DataFrame:
-    """Every document with ``score`` (probability of label 1) and ``predicted``."""
+    """``keep`` columns of every document, then the probability of label 1 and the prediction (the last two columns)."""
     keep = keep or ["doc_id"]
-    out = score_documents(docs, model, keep, out="__p")
-    return out.select(*keep, F.col("__p")[1].alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    probs, score, predicted = (fresh(x, keep) for x in ("probs", "score", "predicted"))
+    out = score_documents(docs, model, keep, out=probs)
+    return out.select(*keep, F.col(probs)[1].alias(score), (F.col(probs)[1] >= 0.5).cast("int").alias(predicted))
 
 
 def op7_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from .jaccard import op9_ngram_jaccard_join
 from .mixing import op2_soft_mixing
 from .packing import op10_packed_token_ids
 from .quality import op7_subword_quality
+from .secrets import op5_char_cnn_secrets
 from .substring import op3_relative_lz_dedup
 from .topk import OP8_SQL, op8_block_pruned_topk
 from .warc import OP4_SQL, op4_warc_normaliser
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_soft_mixing": op2_soft_mixing,
     "op3_relative_lz_dedup": op3_relative_lz_dedup,
     "op4_warc_normaliser": op4_warc_normaliser,
+    "op5_char_cnn_secrets": op5_char_cnn_secrets,
     "op6_budgeted_chat": op6_budgeted_chat,
     "op7_subword_quality": op7_subword_quality,
     "op8_block_pruned_topk": op8_block_pruned_topk,
