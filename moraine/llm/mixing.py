@@ -43,19 +43,16 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: str, names: list[str
     return fit(texts, y, len(names), prior / prior.sum(), epochs=4)
 
 
-def _rate(steps: list[list[float]], eta: float, ridge: float, floor: float) -> Column:
-    """The rate after the given gradient vectors (each with its momentum last), as a function of ``p``."""
-    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
+def _rate(steps: list[list[float]], eta: float, ridge: float, floor: float) -> str:
+    """SQL for (r, y) after the given gradient vectors (each with its momentum last), as a function of ``p``."""
+    start = "named_struct('r', 1D, 'y', 1D)"
     if not steps:
         return start
     k = len(steps[0]) - 1
-
-    def step(state, g):
-        slope = sum((F.col("p")[j] * g[j] for j in range(k)), ridge * (state.y - 1))
-        r = F.greatest(F.lit(float(floor)), state.y - eta * slope)
-        return F.struct(r.alias("r"), (r + g[k] * (r - state.r)).alias("y"))
-
-    return F.aggregate(F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in steps]), start, step)
+    rows = ", ".join("array(" + ", ".join(f"{x!r}D" for x in map(float, g)) + ")" for g in steps)
+    slope = " + ".join(f"p[{j}] * g[{j}]" for j in range(k))
+    r = f"greatest({float(floor)!r}D, s.y - {float(eta)!r}D * ({slope} + {float(ridge)!r}D * (s.y - 1D)))"
+    return f"aggregate(array({rows}), {start}, (s, g) -> transform(array({r}), r -> named_struct('r', r, 'y', r + g[{k}] * (r - s.r)))[0])"
 
 
 def solve_rates(members: DataFrame, weights: list[float], floor: float = 1.0, steps: int = STEPS, ridge: float = RIDGE) -> Column:
@@ -77,12 +74,12 @@ def solve_rates(members: DataFrame, weights: list[float], floor: float = 1.0, st
     scale = max([1.0, *(share[want > 0] / want[want > 0] * floor)]) if floor > 0 else 1.0
     target, done = want * scale, []
     for _ in range(steps):
-        at = _rate(done, eta, ridge, floor)["y"]
+        at = F.expr(_rate(done, eta, ridge, floor))["y"]
         off = np.array(members.agg(*sums(at)).first(), float) / total - target
-        if np.abs(off).max() < TOLERANCE:
+        if np.abs(off).max() < TOLERANCE or (done and np.abs(off - done[-1][:k]).max() < TOLERANCE / 10):
             break
         done.append([*off, momentum])
-    return _rate(done, eta, ridge, floor)["r"]
+    return F.expr(_rate(done, eta, ridge, floor))["r"]
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: str = "lang", floor: float = 1.0, keep: list[str] | None = None) -> DataFrame:
