@@ -19,9 +19,13 @@ no labelled row has get probability 0; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import fresh, stored
 from .quality import labelled_sample
@@ -43,43 +47,67 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: str, names: list[str
     return fit(texts, y, len(names), prior / prior.sum(), epochs=4)
 
 
-def _rate(steps: list[list[float]], eta: float, ridge: float, floor: float) -> str:
-    """SQL for (r, y) after the given gradient vectors (each with its momentum last), as a function of ``p``."""
-    start = "named_struct('r', 1D, 'y', 1D)"
-    if not steps:
-        return start
-    k = len(steps[0]) - 1
-    rows = ", ".join("array(" + ", ".join(f"{x!r}D" for x in map(float, g)) + ")" for g in steps)
-    slope = " + ".join(f"p[{j}] * g[{j}]" for j in range(k))
-    r = f"greatest({float(floor)!r}D, s.y - {float(eta)!r}D * ({slope} + {float(ridge)!r}D * (s.y - 1D)))"
-    return f"aggregate(array({rows}), {start}, (s, g) -> transform(array({r}), r -> named_struct('r', r, 'y', r + g[{k}] * (r - s.r)))[0])"
+class Rates:
+    """Rates as a function of posteriors: the projected steps along the gradient vectors so far, with momentum."""
+
+    def __init__(self, floor: float, ridge: float, eta: float = 1.0, momentum: float = 0.0):
+        self.floor, self.ridge, self.eta, self.momentum, self.slopes = floor, ridge, eta, momentum, []
+
+    def __call__(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rate, point at which the next gradient is taken) of each row."""
+        r = y = np.ones(len(p))
+        for g in self.slopes:
+            new = np.maximum(self.floor, y - self.eta * (p @ g + self.ridge * (y - 1)))
+            r, y = new, new + self.momentum * (new - r)
+        return r, y
+
+
+def _posteriors(b: pa.RecordBatch) -> np.ndarray:
+    return b.column("p").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+
 
+def _totals(members: DataFrame, of: Callable[[np.ndarray], np.ndarray], k: int) -> np.ndarray:
+    """Sums over all rows of ``n * of(p)`` (columns of numbers); each task sends one row."""
 
-def solve_rates(members: DataFrame, weights: list[float], floor: float = 1.0, steps: int = STEPS, ridge: float = RIDGE) -> Column:
-    """The rate of each row of ``members`` as a function of its posteriors ``p``; ``n`` are its words."""
+    def run(batches):
+        got = np.zeros(k)
+        for b in batches:
+            got += b.column("n").to_numpy(zero_copy_only=False) @ of(_posteriors(b)) if b.num_rows else 0
+        yield pa.record_batch([pa.array([x]) for x in got], [f"t{j}" for j in range(k)])
+
+    parts = members.select("n", "p").mapInArrow(run, ", ".join(f"t{j} double" for j in range(k)))
+    return np.array([x or 0.0 for x in parts.agg(*[F.sum(f"t{j}") for j in range(k)]).first()])
+
+
+def solve_rates(members: DataFrame, weights: list[float], floor: float = 1.0, steps: int = STEPS, ridge: float = RIDGE) -> Rates:
+    """Rates for ``members``, whose columns ``n`` and ``p`` are words and posteriors."""
     k = len(weights)
     want = np.array(weights, float) / sum(weights)
-    n = F.col("n").cast("double")
-    sums = lambda x: [F.sum(n * F.col("p")[j] * x).alias(f"t{j}") for j in range(k)]
-    gram = [F.sum(n * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]
-    first = np.array([x or 0.0 for x in members.agg(*sums(F.lit(1.0)), *gram).first()])
+    first = _totals(members, lambda p: np.concatenate([p, (p[:, :, None] * p[:, None, :]).reshape(len(p), -1)], 1), k + k * k)
     now, total = first[:k], first[:k].sum()
+    rates = Rates(floor, ridge)
     if total <= 0:
-        return F.lit(1.0)
+        return rates
     # extreme curvatures of the problem give the step and the momentum of the accelerated method
     curve = np.linalg.eigvalsh(first[k:].reshape(k, k) / total)
-    most, least = curve[-1] + ridge, max(curve[0], 0.0) + ridge
-    eta, momentum = 1 / most, (np.sqrt(most) - np.sqrt(least)) / (np.sqrt(most) + np.sqrt(least))
+    most, least = np.sqrt(curve[-1] + ridge), np.sqrt(max(curve[0], 0.0) + ridge)
+    rates.eta, rates.momentum = 1 / most**2, (most - least) / (most + least)
     share = now / total
-    scale = max([1.0, *(share[want > 0] / want[want > 0] * floor)]) if floor > 0 else 1.0
-    target, done = want * scale, []
+    target = want * (max([1.0, *(share[want > 0] / want[want > 0] * floor)]) if floor > 0 else 1.0)
     for _ in range(steps):
-        at = F.expr(_rate(done, eta, ridge, floor))["y"]
-        off = np.array(members.agg(*sums(at)).first(), float) / total - target
-        if np.abs(off).max() < TOLERANCE or (done and np.abs(off - done[-1][:k]).max() < TOLERANCE / 10):
+        off = _totals(members, lambda p: p * rates(p)[1][:, None], k) / total - target
+        if np.abs(off).max() < TOLERANCE or (rates.slopes and np.abs(off - rates.slopes[-1]).max() < TOLERANCE / 10):
             break
-        done.append([*off, momentum])
-    return F.expr(_rate(done, eta, ridge, floor))["r"]
+        rates.slopes.append(off)
+    return rates
+
+
+def with_rates(members: DataFrame, rates: Rates, name: str) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            yield pa.record_batch([*b.columns, pa.array(rates(_posteriors(b))[0])], [*b.schema.names, name])
+
+    return members.mapInArrow(run, T.StructType([*members.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: str = "lang", floor: float = 1.0, keep: list[str] | None = None) -> DataFrame:
@@ -91,11 +119,10 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: s
     held = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col("doc_id").alias("id"), F.col("text").alias("whole"))
     kept = [f"c{i}" for i in range(len(keep))]
     members = stored(score_documents(held, model, [*kept, "id"], text="whole", out="p", words="n"), "members")
-    rate = solve_rates(members, [targets[x] for x in names], floor)
     best = F.array_position("p", F.array_max("p")).cast("int")
     u = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
     likeliest = F.element_at(F.array(*[F.lit(x) for x in names]), best)
-    rated = members.withColumn("r", rate)
+    rated = with_rates(members, solve_rates(members, [targets[x] for x in names], floor), "r")
     return rated.select(
         *[F.col(x).alias(c) for x, c in zip(kept, keep, strict=True)], likeliest.alias(last[0]), F.col("n").alias(last[1]), F.col("r").alias(last[2]), F.floor(F.col("r") + u).cast("int").alias(last[3])
     )
