@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import fresh
+from ..session import fresh, hash_sample
 from .subword import SubwordModel, fit, score_documents
 
 #: Labelled documents per class that the fit reads, and the longest text it takes (bytes): bounds of the fit only.
@@ -32,7 +32,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         .select("doc_id", F.col("y").cast("int").alias("y"))
     )
     shares = {r["y"]: r["n"] for r in one.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    ids = [one.where(F.col("y") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in range(classes)]
+    ids = [hash_sample(one.where(F.col("y") == c), "doc_id", per_class, shares.get(c, 0)) for c in range(classes)]
     rows = [(r["doc_id"], r["y"]) for part in ids for r in part.collect()]  # at most classes x per_class ids
     prior = np.array([shares.get(c, 0) for c in range(classes)], float)
     if not rows:

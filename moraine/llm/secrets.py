@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import hash_sample, ship
 from .textkit import slices
 
 KINDS = ("assign", "access", "hex", "model")
@@ -34,7 +34,7 @@ HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 ASSIGN_LEAST = 6
 #: Documents, and findings of either label, that the fit reads at most.
-FIT_DOCS, FIT_FINDINGS, RECALL = 2000, 1500, 0.98
+FIT_DOCS, FIT_FINDINGS, RECALL = 10000, 1500, 0.98
 BEFORE, INSIDE, AFTER = 20, 48, 12
 
 
@@ -184,7 +184,7 @@ def generated(n: int, seed: int = 3) -> tuple[list[tuple[str, int, int]], list[i
 
 def fit_net(docs: DataFrame, max_docs: int = FIT_DOCS, max_findings: int = FIT_FINDINGS, recall: float = RECALL) -> CharNet:
     """Train and calibrate on findings of a bounded, hash-chosen sample of documents and as many generated ones."""
-    sample = docs.select("text").where(F.col("text").rlike("[0-9]{4}|AKIA") & (F.octet_length("text") < 1 << 16)).orderBy(F.xxhash64("text")).limit(max_docs)
+    sample = hash_sample(docs.select("doc_id", "text"), "doc_id", max_docs).select("text").where(F.col("text").rlike("[0-9]{4}|AKIA") & (F.octet_length("text") < 1 << 16))
     found: dict[int, list] = {0: [], 1: []}
     for (text,) in sample.collect():  # at most max_docs texts of 64 KB
         base = base_spans(text)
