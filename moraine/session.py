@@ -11,8 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def ship() -> None:
-    """Pickle this package's functions by value, so executors need no installed copy."""
+#: Rows of an Arrow batch for columns of whole texts; a batch is held on both sides of the Python boundary.
+TEXT_ROWS = 512
+
+
+def ship(texts: bool = False) -> None:
+    """Pickle this package's functions by value, so executors need no installed copy.
+
+    With ``texts``, batches are kept small enough for columns of whole documents.
+    """
+    spark = SparkSession.getActiveSession()
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if texts and spark is not None and not 0 < int(spark.conf.get(rows)) <= TEXT_ROWS:
+        spark.conf.set(rows, str(TEXT_ROWS))
     for name, module in list(sys.modules.items()):
         if name == "moraine" or name.startswith("moraine."):
             cloudpickle.register_pickle_by_value(module)
