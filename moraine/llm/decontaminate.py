@@ -240,7 +240,7 @@ def leading(items: np.ndarray, sketch: np.ndarray, test: np.ndarray) -> np.ndarr
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, stride: int = STRIDE, spare: int = SPARE, cosine: float = 0.4, overlap: float = 0.6, exact: float = 0.8, answer: int = 6, min_words: int = 8) -> DataFrame:
     """``(doc_id, item_id, cosine, overlap)`` per document and benchmark item that it holds."""
-    ship()
+    ship(texts=True)
     spark = docs.sparkSession
     src = docs.select("doc_id", "text").where("text is not null")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, cosine double, overlap double"

@@ -309,7 +309,7 @@ def _beside_pivot(n: int, threshold: int):
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: int = 90, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(id, n_shingles, component_id)`` per document; ``threshold`` is the least Jaccard similarity in hundredths."""
-    ship()
+    ship(texts=True)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = src.where("id is not null")
     keyed = known.mapInArrow(_keyed(n, threshold), "k1 long, k2 long, kind long, a long, b long")
@@ -368,7 +368,7 @@ def _sizes_only(n: int):
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: int = 90, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """As ``jaccard_classes``, with the rows of null ids too."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ship()
+    ship(texts=True)
     lost = src.where("id is null").mapInArrow(_sizes_only(n), "id long, n_shingles long, component_id long")
     return jaccard_classes(docs, id_col, text_col, n, threshold, block_rows).union(lost)
 

@@ -164,7 +164,7 @@ def _pack_task(vocabulary, seq_len: int, shard_tokens: int, id_type: str):
 
 def write_packed(docs: DataFrame, path: str, seq_len: int = SEQ_LEN, tokenizer: str = TOKENIZER, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Pack ``docs`` (doc_id, text), write the shards to ``path`` and return them as read back."""
-    ship()
+    ship(texts=True)
     spark = docs.sparkSession
     with open(tokenizer, "rb") as f:
         vocabulary = spark.sparkContext.broadcast(f.read())  # about a megabyte, fixed
@@ -203,7 +203,7 @@ def _read_task():
 
 def read_packed(shards: DataFrame) -> DataFrame:
     """Per document, put together again from the matrices: tokens, pieces and a digest of the ids (uint32 each)."""
-    ship()
+    ship(texts=True)
     return shards.select("shard", "seq_len", "dtype", "ids", "pieces", F.col("doc_ids").cast("array<bigint>")).mapInArrow(
         _read_task(), "doc_id long, n_tokens long, n_pieces long, ids_sha256 string, shard string"
     )

@@ -246,7 +246,7 @@ def _scan(shared):
 
 def scan_secrets(docs: DataFrame, net: CharNet) -> DataFrame:
     """Spans of every document; no shuffle, the network (a few thousand numbers) is broadcast."""
-    ship()
+    ship(texts=True)
     shared = docs.sparkSession.sparkContext.broadcast(dict(net.__dict__))
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_model long"

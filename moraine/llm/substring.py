@@ -251,7 +251,7 @@ def _cut(width: int, texts: bool):
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seed: int = SEED, block_words: int = BLOCK_WORDS, hot: int = HOT, texts: bool = False) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept_sha256[, kept])`` per document."""
-    ship()
+    ship(texts=True)
     text = F.coalesce(F.col(text_col), F.lit(""))
     src = docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("dk"), F.hash(text).alias("th"), text.alias("text")

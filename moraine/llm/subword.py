@@ -147,7 +147,7 @@ def score_documents(docs: DataFrame, model: SubwordModel, keep: list[str], text:
 
     ``words`` names a further column with the number of words.
     """
-    ship()
+    ship(texts=True)
     # buckets x classes floats: a fixed size; plain values, as broadcasts are pickled by reference
     shared = docs.sparkSession.sparkContext.broadcast((model.table, model.bias, model.temperature, model.sizes))
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(out, T.ArrayType(T.DoubleType()))] + ([T.StructField(words, T.LongType())] if words else []))

@@ -139,7 +139,7 @@ def _write_task(archive_bytes: int, level: int):
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, level: int = LEVEL) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as monolithic archives to ``path``; returns the archives as read back."""
-    ship()
+    ship(texts=True)
     src = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce("html", F.lit("")).alias("html"))
     src = src.withColumn("key", F.concat(F.sha2("html", 256), F.octet_length("html").cast("string")))
     reps = src.select("key", "page_id").groupBy("key").agg(F.max("page_id").alias("rep"))
@@ -152,7 +152,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_byte
 
 def normalise(archives: DataFrame, path: str, level: int = LEVEL) -> DataFrame:
     """Normalise archives of any gzip layout to ``path``: (name, content, index)."""
-    ship()
+    ship(texts=True)
     entry = pa.struct([("offset", pa.int64()), ("length", pa.int64()), *((k, pa.string()) for k in ("record_id", "record_type", "uri", "digest"))])
 
     def run(batches):
@@ -175,7 +175,7 @@ def _page(urn: str | None) -> int | None:
 
 def read_records(archives: DataFrame, payloads: bool = False) -> DataFrame:
     """One row per record of normalised archives, read member by member through the index."""
-    ship()
+    ship(texts=True)
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long"
 
     def run(batches):
