@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, long_form, sq_euclidean, total
+from ..functions.vectors import long_form, sq_euclidean, total
 
 
 def diagonal_long(df: DataFrame, keys: list[str], vec: str, weight: str | None = None) -> DataFrame:
@@ -119,9 +119,6 @@ def point(x: Column) -> Column:
 def chi2_distance(a: Column, x: Column, prior: float, dim: int) -> Column:
     """Sum (x - mean)^2 / ((s + k prior) / (n + k)) with k = dim + 2."""
     k = dim + 2
-    parts = F.zip_with(F.arrays_zip(a["mean"], a["s"]), x, lambda e, v: (v - e["0"]) * (v - e["0"]) / ((e["1"] + k * prior) / (a["n"] + k)))
+    both = F.zip_with(a["mean"], a["s"], lambda m, s: F.struct(m.alias("m"), s.alias("s")))
+    parts = F.zip_with(both, x, lambda e, v: (v - e["m"]) * (v - e["m"]) / ((e["s"] + k * prior) / (a["n"] + k)))
     return total(parts)
-
-
-def spherical_between(a: Column, b: Column) -> Column:
-    return dot(a["mean"], b["mean"])

@@ -1,10 +1,12 @@
-"""The registered queries of the core library and their DuckDB twins."""
+"""The registered queries of the core library and, where SQL can express them, their DuckDB twins."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .mixed_queries import MIXED, MIXED_SQL
+from .model_queries import MODELS, flagship
+from .vector_queries import VECTORS, VECTORS_SQL
 
+QUERIES = {**VECTORS, **MIXED, **MODELS}
+ORACLES = {**VECTORS_SQL, **MIXED_SQL}
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+__all__ = ["ORACLES", "QUERIES", "flagship"]
