@@ -161,8 +161,13 @@ class Clustering:
         return self
 
     def fit_stream(self, stream: DataFrame, vec: str, checkpoint: str):
-        """Start a streaming query that adds each micro-batch; call ``partial_fit()`` to cluster."""
-        return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda b, _: self.partial_fit(b, vec) and None if b.limit(1).count() else None)
+        """A stream writer that adds each micro-batch (earlier rows fade by ``decay``); start it, then ``partial_fit()``."""
+
+        def add(batch: DataFrame, _: int) -> None:
+            if batch.limit(1).count():
+                self.partial_fit(batch, vec)
+
+        return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(add)
 
     def _label(self) -> Clustering:
         f = self._state["f"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,7 +11,9 @@ from pyspark.sql import functions as F
 from ..estimator import Clustering, KPrototypes, fit_predict_sparse
 from ..operators.kernels import FrequentDirections, core_distances, spanning_tree
 from ..operators.summarize import matrix
-from ..session import ship
+from ..functions.sketches import kll, kll_merge, kll_rank
+from ..session import shared_dir, ship
+from ..streaming.evolving import run_stream
 from .mixed_queries import _terms, mixed
 from .vector_queries import as_leaves, emb, label_cf, table
 
@@ -92,7 +96,50 @@ def robust_fit(s, d):
     return model.clusters(s).select("label", "size", F.round("radius", 6).alias("radius"))
 
 
+def fit_constrained(s, d):
+    """k-means that keeps a must-link and a cannot-link between rows."""
+    rows = emb(s, d).select(F.col("vec_id").alias("id"), "x")
+    pair = lambda a, b: s.createDataFrame([(a, b)], "id_a long, id_b long")
+    model = Clustering(n_clusters=6, method="kmeans").fit(rows, "x", must_link=pair(0, 1), cannot_link=pair(0, 2))
+    return model.predict(rows).select("id", "label")
+
+
+def soft_labels(s, d):
+    rows = _items(s, d)
+    model = Clustering(n_clusters=4, method="gmm", max_leaves=500).fit(rows, "x")
+    return model.predict_proba(rows).groupBy("label").agg(F.round(F.sum("probability"), 3).alias("mass"))
+
+
+def mapper_sweep(s, d):
+    model = Clustering(n_clusters=4, method="kmeans", max_leaves=100).fit(_items(s, d), "x")
+    got = model.mapper_stability(s, [4, 8], lens="coordinate", link_scale=2.0)
+    return s.createDataFrame([(g["resolution"], g["components"], g["loops"]) for g in got], "resolution int, components int, loops int")
+
+
+def _stream(kind: str, **params):
+    def run(s, d):
+        rows = table(s, d, "events").select("event_id", "event_type", F.array((F.col("value") / 50).cast("double")).alias("x"))
+        return run_stream(rows, "x", ["event_id"], kind, "event_type", **params).select("stream", "tick", F.round("weight", 6).alias("weight"), F.round(F.col("center")[0], 6).alias("center"))
+
+    return run
+
+
+def kll_ranks(s, d):
+    got = kll(table(s, d, "events").select("event_type", "value"), "value", 400, ["event_type"])
+    return kll_merge(got).select("n", F.round(kll_rank(50.0), 0).alias("rank"))
+
+
+def saved_model(s, d):
+    """Labels of a model that was written and read again."""
+    rows = emb(s, d).drop("label")
+    path = f"{shared_dir(s)}/moraine/model-{uuid.uuid4().hex}"
+    Clustering(n_clusters=5, method="gmm").fit(rows, "x").save(s, path)
+    return Clustering.load(s, path).predict(rows).select("vec_id", "label")
+
+
 MODELS = {
+    "fit_constrained": fit_constrained, "soft_labels": soft_labels, "mapper_sweep": mapper_sweep, "saved_model": saved_model, "kll_ranks": kll_ranks,
+    "run_denstream": _stream("denstream", eps=0.3, decay=0.001, beta=0.5, mu=4.0), "run_dbstream": _stream("dbstream", r=0.3, decay=0.001),
     "fit_kmeans": _fit("kmeans"), "fit_xmeans": _fit("kmeans", 0, max_leaves=500), "fit_gmm": _fit("gmm", feature="diagonal"), "fit_gmm_full": _fit("gmm-full", feature="full", max_leaves=500),
     "fit_ward": _fit("ward", max_leaves=1000), "fit_hdbscan": _fit("hdbscan", max_leaves=500, min_cluster_size=10), "fit_normalized": _fit("kmeans", normalize=True),
     "fit_chi2": _fit("kmeans", absorb="chi2", chi2_scale=0.5, max_leaves=500), "fit_kprototypes": fit_kprototypes, "fit_sparse": fit_sparse,

@@ -67,6 +67,12 @@ def hash_sample(df: DataFrame, key: str, limit: int, rows: int | None = None, se
     return df.orderBy(h, key).limit(limit)
 
 
+def clean_scratch(spark: SparkSession) -> None:
+    """Remove the tables that operators wrote to the shared folder, once their results have been read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/moraine")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Ids up to which a table of ids is broadcast (8 MB); beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
 

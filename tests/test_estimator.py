@@ -8,6 +8,7 @@ from moraine.estimator import Clustering, KPrototypes, fit_predict_sparse
 from moraine.functions.sketches import DDSketch, kll, kll_merge, kll_quantile
 from moraine.operators import inspection as I
 from moraine.operators.kernels import adjusted_rand
+from moraine.sources.csr import check_csr, sparse_rows
 from moraine.sources.delimited import read_points, write_labels
 from moraine.streaming.evolving import DBStream, DenStream, run_stream
 from tests.test_kernels import blobs
@@ -164,3 +165,18 @@ def test_delimited(spark, tmp_path):
         read_points(spark, str(p)).collect()
     with pytest.raises(ValueError):
         read_points(spark, str(p), "ab")
+
+
+def test_csr_and_stream_fit(spark, frame, tmp_path):
+    class Matrix:
+        indptr, indices, data, shape = [0, 2, 2, 3], [0, 2, 1], [1.0, 2.0, 3.0], (3, 3)
+
+    assert [tuple(r["features"]) for r in sparse_rows(spark, Matrix).orderBy("id").collect()] == [(3, [0, 2], [1.0, 2.0]), (3, [], []), (3, [1], [3.0])]
+    for bad in (([0, 2, 1, 3], [0, 2, 1], [1.0, 2.0, 3.0]), ([0, 2, 2, 3], [0, 3, 1], [1.0, 2.0, 3.0]), ([0, 2, 2, 3], [0, 2, 1], [1.0, float("inf"), 3.0])):
+        with pytest.raises(ValueError):
+            check_csr(*bad, (3, 3))
+    frame.select("id", "features").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long, features array<double>").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    m = Clustering(n_clusters=4, method="kmeans", max_leaves=200)
+    m.fit_stream(stream, "features", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    assert score(m.partial_fit().predict(frame)) > 0.95 and m.summary()["n_samples"] == 2400
