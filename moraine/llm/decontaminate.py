@@ -229,7 +229,7 @@ def leading(items: np.ndarray, sketch: np.ndarray, test: np.ndarray) -> np.ndarr
     Nystrom form of the randomised SVD: with Y = C W for C = M'M, C is close to Y (W'Y)^-1 Y'.
     """
     own = items.T @ (items @ test)
-    y = sketch + own * (1 + 10 * np.linalg.norm(sketch) / max(np.linalg.norm(own), 1e-9))
+    y = sketch + own * (1 + 100 * np.linalg.norm(sketch) / max(np.linalg.norm(own), 1e-9))
     shift = 1e-9 * np.linalg.norm(y) + 1e-12
     y = y + shift * test
     inner = test.T @ y

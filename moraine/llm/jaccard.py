@@ -205,8 +205,9 @@ class InvertedLists:
     def search(self, query: np.ndarray) -> np.ndarray:
         """Positions of the sets that link with ``query``."""
         at = np.searchsorted(self.token, query)
-        at = at[at < len(self.token)]
-        at = at[np.isin(self.token[at], query, assume_unique=True)]
+        inside = at < len(self.token)
+        at, wanted = at[inside], query[inside]
+        at = at[self.token[at] == wanted]
         need = max(1, -(-self.t * len(query) // 100))  # the least overlap that any linked set can have
         if len(at) < need:
             return np.zeros(0, np.int64)

@@ -108,7 +108,7 @@ class CharNet:
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.logit(x) + self.shift, -30, 30)))
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 8, rate: float = 0.05, batch: int = 64, seed: int = 9) -> None:
+    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 10, rate: float = 0.05, batch: int = 64, seed: int = 9) -> None:
         rng = np.random.default_rng(seed)
         moments = None
         dim, filters = self.e.shape[1], len(self.kb)
@@ -192,11 +192,11 @@ def fit_net(docs: DataFrame, max_docs: int = FIT_DOCS, max_findings: int = FIT_F
             label = int(any(s < b and a < e for s, _, e in base))
             if len(found[label]) < max_findings:
                 found[label].append((text[max(0, a - BEFORE) : b + AFTER], min(a, BEFORE), min(a, BEFORE) + b - a))
-    more, y = generated(max(600, len(found[0]) + len(found[1])))
+    more, y = generated(max(1600, len(found[0]) + len(found[1])))
     rows = found[0] + found[1] + more
     labels = np.array([0] * len(found[0]) + [1] * len(found[1]) + y, float)
     x = np.stack([encode(*r) for r in rows])
-    held = np.arange(len(x)) % 4 == 3
+    held = np.random.default_rng(13).random(len(x)) < 0.25
     net = CharNet()
     net.train(x[~held], labels[~held])
     net.calibrate(x[held], labels[held], recall)

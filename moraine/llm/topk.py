@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 GROUP_ROWS, BLOCK_ROWS, QUERY_ROWS, SCALE = 8192, 64, 512, 1024
+#: No score; its negative is a number too.
+NONE = np.iinfo(np.int64).min + 1
 
 
 def _pack(batches):
@@ -72,7 +74,7 @@ class Blocks:
         bound = np.maximum(q, 0) @ self.high.T + np.minimum(q, 0) @ self.low.T
         order = np.argsort(-bound, axis=1, kind="stable")
         n = len(qids)
-        score = np.full((n, k), -np.inf if self.exact else np.iinfo(np.int64).min, self.matrix.dtype)
+        score = np.full((n, k), -np.inf if self.exact else NONE, self.matrix.dtype)
         vec = np.full((n, k), np.iinfo(np.int64).max)
         found = np.zeros(n, np.int64)
         for step in range(order.shape[1]):
@@ -87,7 +89,7 @@ class Blocks:
                 lo, hi = self.begin[blk], self.end[blk]
                 s = q[rows] @ self.matrix[lo:hi].T
                 own = self.ids[None, lo:hi] == qids[rows, None]
-                s = np.where(own, score.dtype.type(-np.inf) if self.exact else np.iinfo(np.int64).min, s)
+                s = np.where(own, score.dtype.type(-np.inf) if self.exact else NONE, s)
                 alls = np.concatenate([score[rows], s], 1)
                 allv = np.concatenate([vec[rows], np.where(own, np.iinfo(np.int64).max, np.broadcast_to(self.ids[lo:hi], s.shape))], 1)
                 best = np.lexsort((allv, -alls), axis=1)[:, :k]

