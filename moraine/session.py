@@ -57,14 +57,15 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
-def hash_sample(df: DataFrame, key: str, limit: int, rows: int | None = None, seed: int = 0) -> DataFrame:
+def hash_sample(df: DataFrame, key: str, limit: int, rows: int | None = None, seed: int = 0, where=None) -> DataFrame:
     """At most ``limit`` rows, the same on every run: rows are thinned by a hash of ``key`` before they are ordered
-    by it, so what meets in the last task stays near ``limit`` at every size.  ``rows`` is the row count, if known."""
+    by it, so what meets in the last task stays near ``limit`` at every size.  ``rows`` is the row count, if known;
+    ``where`` is a further condition, read for the thinned rows only."""
     rows = df.count() if rows is None else rows
     h = F.xxhash64(key, F.lit(seed))
     if rows > 4 * limit:
         df = df.where(F.pmod(h, F.lit(1 << 40)) < int((1 << 40) * 2 * limit / rows))
-    return df.orderBy(h, key).limit(limit)
+    return (df if where is None else df.where(where)).orderBy(h, key).limit(limit)
 
 
 def clean_scratch(spark: SparkSession) -> None:
