@@ -184,7 +184,8 @@ def generated(n: int, seed: int = 3) -> tuple[list[tuple[str, int, int]], list[i
 
 def fit_net(docs: DataFrame, max_docs: int = FIT_DOCS, max_findings: int = FIT_FINDINGS, recall: float = RECALL) -> CharNet:
     """Train and calibrate on findings of a bounded, hash-chosen sample of documents and as many generated ones."""
-    sample = hash_sample(docs.select("doc_id", "text"), "doc_id", max_docs).select("text").where(F.col("text").rlike("[0-9]{4}|AKIA") & (F.octet_length("text") < 1 << 16))
+    telling = F.col("text").rlike("[0-9]{4}|AKIA") & (F.octet_length("text") < 1 << 16)
+    sample = hash_sample(docs.select("doc_id", "text"), "doc_id", max_docs, where=telling).select("text")
     found: dict[int, list] = {0: [], 1: []}
     for (text,) in sample.collect():  # at most max_docs texts of 64 KB
         base = base_spans(text)
