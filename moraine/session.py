@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 
 #: Rows of an Arrow batch for columns of whole texts; a batch is held on both sides of the Python boundary.
-TEXT_ROWS = 512
+TEXT_ROWS = 256
 
 
 def ship(texts: bool = False) -> None:
