@@ -16,7 +16,7 @@ from ..session import fresh, hash_sample
 from .subword import SubwordModel, fit, score_documents
 
 #: Labelled documents per class that the fit reads, and the longest text it takes (bytes): bounds of the fit only.
-FIT_PER_CLASS, FIT_BYTES = 1500, 1 << 16
+FIT_PER_CLASS, FIT_BYTES = 1000, 1 << 16
 
 
 def fold(doc_id="doc_id"):

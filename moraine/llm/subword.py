@@ -110,14 +110,14 @@ def fit(texts: list[str], labels: np.ndarray, classes: int, prior: np.ndarray |
     for text in texts:
         w = Words(pa.array([text or ""]))
         if not len(w.hash):
-            docs.append((np.zeros(0, np.int64), np.zeros(0)))
+            docs.append((np.zeros(0, np.int32), np.zeros(0, np.float32)))
             continue
         first, inverse = _distinct(w)
         feat, of = word_features(w, first, buckets, (3, 4, 5))
         times = np.bincount(inverse, minlength=len(first)).astype(float)
         idx, back = np.unique(np.concatenate([[0, 1], feat]), return_inverse=True)
         weight = np.bincount(back, np.concatenate([pairs(w, w.doc_of())[0], times[of]]))
-        docs.append((idx, weight / weight.sum()))
+        docs.append((idx.astype(np.int32), (weight / weight.sum()).astype(np.float32)))
     steps, done = max(1, epochs * len(docs)), 0
     for _ in range(epochs):
         for i in rng.permutation(len(docs)):
