@@ -8,9 +8,14 @@ Passages of ``width`` words every ``stride`` words are TF-IDF vectors over hashe
    Each task returns its part of the sketch A'(A W), of columns x rank numbers.
 3. Candidates: passages whose cosine with an item in latent space is ``cosine`` or more.  Norms are those of the
    whole vectors, so a passage with other words is not drawn near.
+   Besides, every region of a document that can pass step 4 at all: of an item's words the rarest are looked up by
+   hash, as many as an accepted span may lack and ``least`` more, and a region needs ``least`` of them within twice the
+   item's length.  Frequencies only order the words here, so this path loses nothing for items whose words became
+   common with the copies of a document, for items longer than a passage, or for paraphrases far from every passage.
 4. Longest common subsequence of the words of item and candidate (a passage with its neighbourhood) over the item's
    words, in a span at most twice the item's length: ``overlap`` or more.  A paraphrase below ``exact`` also needs
    its answer: the item's last ``answer`` words share a common subsequence of half their number with the span.
+   A hit's cosine is that of the latent candidate, or without one that of item and span as TF-IDF vectors.
 
 Benchmark items are loaded on the driver in blocks of ``ITEMS`` (a stated bound); further blocks are further passes.
 Defined results: null or empty texts and items match nothing; items of fewer than ``min_words`` words are skipped
@@ -32,7 +37,7 @@ from .textkit import Words, mix, slices
 U = np.uint64
 BUCKETS, CHUNK = 1 << 18, 1 << 13
 WIDTH, STRIDE, SPARE, ITEMS = 32, 16, 56, 1000
-#: Words in a larger share of the passages carry no weight.
+#: Words in a larger share of the passages carry no weight in latent space.
 MAX_SHARE = 0.005
 
 
@@ -61,8 +66,8 @@ def _terms(bucket: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.n
     return key[first] // BUCKETS, key[first] % BUCKETS, np.diff(np.append(first, len(key)))
 
 
-def _bucket(w: Words) -> np.ndarray:
-    return (mix(w.hash + U(5)) & U(BUCKETS - 1)).astype(np.int64)
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (mix(h + U(5)) & U(BUCKETS - 1)).astype(np.int64)
 
 
 def _frequencies(width: int, stride: int):
@@ -71,7 +76,7 @@ def _frequencies(width: int, stride: int):
         for b in slices(batches):
             w = _words(b.column("text"))
             _, begin, end = _passages(w, width, stride)
-            _, term, _ = _terms(_bucket(w), begin, end)
+            _, term, _ = _terms(_bucket(w.hash), begin, end)
             df += np.bincount(term, minlength=BUCKETS)
             passages += len(begin)
         if passages:
@@ -105,9 +110,10 @@ class _Space:
         w = _words(pa.array(texts, pa.string()))
         self.words = [w.hash[a:b] for a, b in zip(w.off[:-1], w.off[1:], strict=True)]
         self.use = np.array([len(x) >= min_words for x in self.words], bool)
-        self.idf = (np.log((passages + 1) / (df + 1.0)) + 0.1).astype(np.float32)
+        self.plain = (np.log((passages + 1) / (df + 1.0)) + 0.1).astype(np.float32)
+        self.idf = self.plain.copy()
         self.idf[df > MAX_SHARE * passages + 2] = 0  # words of very many passages tell nothing
-        bucket = _bucket(w)
+        bucket = _bucket(w.hash)
         self.column = np.full(BUCKETS, -1, np.int32)
         seen = np.unique(bucket[self.idf[bucket] > 0])
         self.column[seen] = np.arange(len(seen))
@@ -123,7 +129,7 @@ def _vectors(b: pa.RecordBatch, column: np.ndarray, idf: np.ndarray, width: int,
     """Unit TF-IDF rows of the passages whose weight on benchmark words is ``least`` or more, as (row, column, value)."""
     w = _words(b.column("text"))
     doc, begin, end = _passages(w, width, stride)
-    row, term, tf = _terms(_bucket(w), begin, end)
+    row, term, tf = _terms(_bucket(w.hash), begin, end)
     told = idf[term] > 0
     row, term, tf = row[told], term[told], tf[told]
     value = (1 + np.log(tf)) * idf[term]
@@ -195,9 +201,69 @@ def _best_span(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
+class _Rarest:
+    """The rarest words of every item, and the regions of texts that hold enough of them to be accepted."""
+
+    def __init__(self, words: list[np.ndarray], use: np.ndarray, df: np.ndarray, overlap: float):
+        self.size = np.array([len(x) for x in words], np.int64)
+        need = np.ceil(overlap * self.size).astype(np.int64)
+        self.need, self.least = need, np.clip(self.size // 8, 1, np.maximum(need, 1))
+        few = [x[np.argsort(df[_bucket(x)], kind="stable")[: n - m + k]] if u else x[:0] for x, n, m, k, u in zip(words, self.size, need, self.least, use, strict=True)]
+        few = [np.unique(x) for x in few]
+        h, item = np.concatenate([np.zeros(0, U), *few]), np.repeat(np.arange(len(words)), [len(x) for x in few])
+        order = np.argsort(h, kind="stable")
+        self.item = item[order]
+        self.key, self.begin, self.many = np.unique(h[order], return_index=True, return_counts=True)
+        self.held = np.zeros(BUCKETS, bool)
+        self.held[_bucket(self.key)] = True
+
+    def regions(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Document, item, first and end word of every region, those that meet as one."""
+        at = np.flatnonzero(self.held[_bucket(w.hash)])
+        k = np.minimum(np.searchsorted(self.key, w.hash[at]), max(len(self.key) - 1, 0))
+        same = self.key[k] == w.hash[at] if len(self.key) else np.zeros(0, bool)
+        at, k = at[same], k[same]
+        many = self.many[k]
+        step = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        pos, item = np.repeat(at, many), self.item[np.repeat(self.begin[k], many) + step]
+        group = (np.searchsorted(w.off, pos, "right") - 1) * len(self.size) + item
+        order = np.argsort(group, kind="stable")
+        group, pos, item = group[order], pos[order], item[order]
+        last = np.minimum(np.arange(len(pos)) + self.least[item] - 1, len(pos) - 1)
+        full = np.arange(len(pos)) + self.least[item] <= len(pos)
+        span = 2 * self.size[item]
+        near = full & (group[last] == group) & (pos[last] - pos < span)
+        lo, hi, group, item = (pos[last] - span + 1)[near], (pos + span)[near], group[near], item[near]
+        doc = group // max(len(self.size), 1)
+        lo, hi = np.maximum(lo, w.off[doc]), np.minimum(hi, w.off[doc + 1])
+        new = np.ones(len(lo), bool)
+        new[1:] = (group[1:] != group[:-1]) | (lo[1:] > hi[:-1])
+        return doc[new], item[new], lo[new], hi[np.append(new[1:], True)] if len(new) else hi
+
+
+def plain_cosine(x: np.ndarray, y: np.ndarray, idf: np.ndarray) -> float:
+    """Cosine of two word sequences as TF-IDF vectors."""
+    (a, m), (b, n) = np.unique(_bucket(x), return_counts=True), np.unique(_bucket(y), return_counts=True)
+    p, q = (1 + np.log(m)) * idf[a], (1 + np.log(n)) * idf[b]
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    return float(min(1.0, (p[i] * q[j]).sum() / max(np.sqrt((p * p).sum() * (q * q).sum()), 1e-9)))
+
+
 def _search(shared, width: int, stride: int, cosine: float, overlap: float, exact: float, answer: int):
     def run(batches):
-        column, idf, basis, latent, words, use, ids = shared.value
+        column, idf, plain, basis, latent, words, use, rare, ids = shared.value
+        sets = [set(x.tolist()) for x in words]
+
+        def found(i, text):
+            """(share of the item, span) where the text holds the item."""
+            item = words[i]
+            n, a, z = _best_span(item, text)
+            if n < overlap * len(item):
+                return None
+            if n < exact * len(item) and 2 * common_subsequence(item[-answer:], text[a:z]) < min(answer, len(item)):
+                return None
+            return n / len(item), text[a:z]
+
         for b in slices(batches):
             w, doc, begin, end, row, col, value = _vectors(b, column, idf, width, stride, cosine)
             hits: dict[tuple[int, int], tuple[float, float]] = {}
@@ -209,12 +275,16 @@ def _search(shared, width: int, stride: int, cosine: float, overlap: float, exac
                         continue
                     lo = max(w.off[doc[p]], begin[p] - 2 * len(item))
                     text = w.hash[lo : min(w.off[doc[p] + 1], end[p] + 2 * len(item))]
-                    n, a, z = _best_span(item, text)
-                    if n < overlap * len(item):
-                        continue
-                    if n < exact * len(item) and 2 * common_subsequence(item[-answer:], text[a:z]) < min(answer, len(item)):
-                        continue
-                    hits[key] = max(hits.get(key, (0.0, 0.0)), (float(near[p, i]), n / len(item)), key=lambda x: x[1])
+                    got = found(i, text)
+                    if got:
+                        hits[key] = max(hits.get(key, (0.0, 0.0)), (float(near[p, i]), got[0]), key=lambda x: x[1])
+            for d, i, lo, hi in zip(*(x.tolist() for x in rare.regions(w)), strict=True):
+                text = w.hash[lo:hi]
+                if hits.get((d, i), (0, 0))[1] >= exact or sum(map(sets[i].__contains__, text.tolist())) < rare.need[i]:
+                    continue
+                got = found(i, text)
+                if got and got[0] > hits.get((d, i), (0, 0))[1]:
+                    hits[d, i] = (plain_cosine(words[i], got[1], plain), got[0])
             at = pa.array([d for d, _ in hits], pa.int64())
             cols = [b.column("doc_id").take(at), pa.array([ids[i] for _, i in hits], pa.int64())]
             cols += [pa.array([x[k] for x in hits.values()], pa.float64()) for k in (0, 1)]
@@ -260,8 +330,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, stride:
         for j, x in _summed(src.select("text").mapInArrow(_sketch(shared, width, stride, cosine), "part int, sums binary"), "<f4").items():
             sketch[j] = x
         basis = leading(space.items, sketch, test.astype(float))
+        rare = _Rarest(space.words, space.use, counts, overlap)
         ids = [r["item_id"] for r in block]
-        ready = spark.sparkContext.broadcast((space.column, space.idf, basis, space.items @ basis, space.words, space.use, ids))
+        ready = spark.sparkContext.broadcast((space.column, space.idf, space.plain, basis, space.items @ basis, space.words, space.use, rare, ids))
         return src.mapInArrow(_search(ready, width, stride, cosine, overlap, exact, answer), schema)
 
     for r in rows:

@@ -58,6 +58,40 @@ def test_decontamination(spark):
     assert decontaminate(docs.limit(0), items).count() == 0 and decontaminate(docs, items.limit(0)).count() == 0
 
 
+def planted(rng, base, texts, replaced, vocab, copies=1):
+    """Rows with every text in a document of its own, a share of its words (but the last six) replaced."""
+    rows, n = [], 0
+    for i, t in texts:
+        for _ in range(copies):
+            w, host = t.split(), rng.choice(base).split()
+            for at in rng.sample(range(len(w) - 6), int(replaced * len(w))):
+                w[at] = rng.choice(vocab)
+            cut = rng.randrange(len(host) + 1)
+            rows.append((10**6 + n, " ".join(host[:cut] + w + host[cut:]), i))
+            n += 1
+    return rows
+
+
+def test_decontamination_of_hot_items(spark):
+    """Items whose own words are common, by copies of a document or by many different ones, are found in every document."""
+    rng = random.Random(6)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    base, items = [r["text"] for r in docs.where("length(text) < 3000").collect()], spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    bench, vocab = [tuple(r) for r in items.select("item_id", "text").where("item_id < 2").collect()], [w for t in base[:200] for w in t.split()]
+    hot = planted(rng, base, bench[:1], 0, vocab)[0]
+    rows = [(2 * 10**6 + k, hot[1]) for k in range(1500)]
+    rows += [(3 * 10**6 + k, r[1]) for k, r in enumerate(planted(rng, base, bench[1:2], 0, vocab, 600))]
+    few = planted(rng, base, bench[:2], 0, vocab, 5) + planted(rng, base, bench[:2], 0.2, vocab, 5)
+    few = [(10**6 + k, r[1], r[2]) for k, r in enumerate(few)]
+    table = docs.union(spark.createDataFrame(rows + [r[:2] for r in few], "doc_id long, text string"))
+    for asked in (items, items.where("item_id = 0")):
+        got = {(r["doc_id"], r["item_id"]): r["cosine"] for r in decontaminate(table, asked).collect()}
+        want = {(d, 0) for d, _ in rows[:1500]} | {(d, 1) for d, _ in rows[1500:]} | {(d, i) for d, _, i in few}
+        if asked is not items:
+            want = {x for x in want if x[1] == 0}
+        assert want <= set(got) and all(got[x] > 0.2 for x in want)
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(2)
     for _ in range(50):
