@@ -201,44 +201,44 @@ def _best_span(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-class _Rarest:
-    """The rarest words of every item, and the regions of texts that hold enough of them to be accepted."""
-
-    def __init__(self, words: list[np.ndarray], use: np.ndarray, df: np.ndarray, overlap: float):
-        self.size = np.array([len(x) for x in words], np.int64)
-        need = np.ceil(overlap * self.size).astype(np.int64)
-        self.need, self.least = need, np.clip(self.size // 8, 1, np.maximum(need, 1))
-        few = [x[np.argsort(df[_bucket(x)], kind="stable")[: n - m + k]] if u else x[:0] for x, n, m, k, u in zip(words, self.size, need, self.least, use, strict=True)]
-        few = [np.unique(x) for x in few]
-        h, item = np.concatenate([np.zeros(0, U), *few]), np.repeat(np.arange(len(words)), [len(x) for x in few])
-        order = np.argsort(h, kind="stable")
-        self.item = item[order]
-        self.key, self.begin, self.many = np.unique(h[order], return_index=True, return_counts=True)
-        self.held = np.zeros(BUCKETS, bool)
-        self.held[_bucket(self.key)] = True
-
-    def regions(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Document, item, first and end word of every region, those that meet as one."""
-        at = np.flatnonzero(self.held[_bucket(w.hash)])
-        k = np.minimum(np.searchsorted(self.key, w.hash[at]), max(len(self.key) - 1, 0))
-        same = self.key[k] == w.hash[at] if len(self.key) else np.zeros(0, bool)
-        at, k = at[same], k[same]
-        many = self.many[k]
-        step = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-        pos, item = np.repeat(at, many), self.item[np.repeat(self.begin[k], many) + step]
-        group = (np.searchsorted(w.off, pos, "right") - 1) * len(self.size) + item
-        order = np.argsort(group, kind="stable")
-        group, pos, item = group[order], pos[order], item[order]
-        last = np.minimum(np.arange(len(pos)) + self.least[item] - 1, len(pos) - 1)
-        full = np.arange(len(pos)) + self.least[item] <= len(pos)
-        span = 2 * self.size[item]
-        near = full & (group[last] == group) & (pos[last] - pos < span)
-        lo, hi, group, item = (pos[last] - span + 1)[near], (pos + span)[near], group[near], item[near]
-        doc = group // max(len(self.size), 1)
-        lo, hi = np.maximum(lo, w.off[doc]), np.minimum(hi, w.off[doc + 1])
-        new = np.ones(len(lo), bool)
-        new[1:] = (group[1:] != group[:-1]) | (lo[1:] > hi[:-1])
-        return doc[new], item[new], lo[new], hi[np.append(new[1:], True)] if len(new) else hi
+def _rarest(words: list[np.ndarray], use: np.ndarray, df: np.ndarray, overlap: float) -> tuple[np.ndarray, ...]:
+    """The rarest words of every item, as arrays for ``_regions``."""
+    size = np.array([len(x) for x in words], np.int64)
+    need = np.ceil(overlap * size).astype(np.int64)
+    least = np.clip(size // 8, 1, np.maximum(need, 1))
+    few = [x[np.argsort(df[_bucket(x)], kind="stable")[: n - m + k]] if u else x[:0] for x, n, m, k, u in zip(words, size, need, least, use, strict=True)]
+    few = [np.unique(x) for x in few]
+    h, item = np.concatenate([np.zeros(0, U), *few]), np.repeat(np.arange(len(words)), [len(x) for x in few])
+    order = np.argsort(h, kind="stable")
+    key, begin, many = np.unique(h[order], return_index=True, return_counts=True)
+    held = np.zeros(BUCKETS, bool)
+    held[_bucket(key)] = True
+    return size, need, least, held, key, begin, many, item[order]
+
+
+def _regions(w: Words, rare: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, item, first and end word of every region with enough of an item's rarest words; those that meet are one."""
+    size, _, least, held, key, begin, many, items = rare
+    at = np.flatnonzero(held[_bucket(w.hash)])
+    k = np.minimum(np.searchsorted(key, w.hash[at]), max(len(key) - 1, 0))
+    same = key[k] == w.hash[at]
+    at, k = at[same], k[same]
+    step = np.arange(int(many[k].sum())) - np.repeat(np.cumsum(many[k]) - many[k], many[k])
+    pos, item = np.repeat(at, many[k]), items[np.repeat(begin[k], many[k]) + step]
+    group = (np.searchsorted(w.off, pos, "right") - 1) * len(size) + item
+    order = np.argsort(group, kind="stable")
+    group, pos, item = group[order], pos[order], item[order]
+    last = np.arange(len(pos)) + least[item] - 1
+    full = last < len(pos)
+    last = np.minimum(last, len(pos) - 1)
+    span = 2 * size[item]
+    near = full & (group[last] == group) & (pos[last] - pos < span)
+    lo, hi, group, item = (pos[last] - span + 1)[near], (pos + span)[near], group[near], item[near]
+    doc = group // len(size)
+    lo, hi = np.maximum(lo, w.off[doc]), np.minimum(hi, w.off[doc + 1])
+    new = np.ones(len(lo), bool)
+    new[1:] = (group[1:] != group[:-1]) | (lo[1:] > hi[:-1])
+    return doc[new], item[new], lo[new], hi[np.append(new, True)[1:]]
 
 
 def plain_cosine(x: np.ndarray, y: np.ndarray, idf: np.ndarray) -> float:
@@ -252,6 +252,7 @@ def plain_cosine(x: np.ndarray, y: np.ndarray, idf: np.ndarray) -> float:
 def _search(shared, width: int, stride: int, cosine: float, overlap: float, exact: float, answer: int):
     def run(batches):
         column, idf, plain, basis, latent, words, use, rare, ids = shared.value
+        need = rare[1]
         sets = [set(x.tolist()) for x in words]
 
         def found(i, text):
@@ -278,9 +279,9 @@ def _search(shared, width: int, stride: int, cosine: float, overlap: float, exac
                     got = found(i, text)
                     if got:
                         hits[key] = max(hits.get(key, (0.0, 0.0)), (float(near[p, i]), got[0]), key=lambda x: x[1])
-            for d, i, lo, hi in zip(*(x.tolist() for x in rare.regions(w)), strict=True):
+            for d, i, lo, hi in zip(*(x.tolist() for x in _regions(w, rare)), strict=True):
                 text = w.hash[lo:hi]
-                if hits.get((d, i), (0, 0))[1] >= exact or sum(map(sets[i].__contains__, text.tolist())) < rare.need[i]:
+                if hits.get((d, i), (0, 0))[1] >= exact or sum(map(sets[i].__contains__, text.tolist())) < need[i]:
                     continue
                 got = found(i, text)
                 if got and got[0] > hits.get((d, i), (0, 0))[1]:
@@ -330,7 +331,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, stride:
         for j, x in _summed(src.select("text").mapInArrow(_sketch(shared, width, stride, cosine), "part int, sums binary"), "<f4").items():
             sketch[j] = x
         basis = leading(space.items, sketch, test.astype(float))
-        rare = _Rarest(space.words, space.use, counts, overlap)
+        rare = _rarest(space.words, space.use, counts, overlap)
         ids = [r["item_id"] for r in block]
         ready = spark.sparkContext.broadcast((space.column, space.idf, space.plain, basis, space.items @ basis, space.words, space.use, rare, ids))
         return src.mapInArrow(_search(ready, width, stride, cosine, overlap, exact, answer), schema)

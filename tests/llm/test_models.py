@@ -92,6 +92,27 @@ def test_decontamination_of_hot_items(spark):
         assert want <= set(got) and all(got[x] > 0.2 for x in want)
 
 
+def test_decontamination_of_long_items_and_far_paraphrases(spark):
+    """Items longer than a passage, and paraphrases that the common subsequence just accepts, are found."""
+    rng = random.Random(7)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    base, items = [r["text"] for r in docs.where("length(text) between 3000 and 9000").collect()], spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    vocab = [w for t in base[:100] for w in t.split() if any(c.isalnum() for c in w)]
+    long = [(1000 + k, " ".join(base[k].split()[:n])) for k, n in enumerate([250, 300, 400] * 10)]
+    short = [tuple(r) for r in items.select("item_id", "text").collect()]
+    far = [r for share in (0.3, 0.35) for r in planted(rng, base, short, share, vocab)]
+    rows = planted(rng, base, long, 0, vocab) + planted(rng, base, long, 0.3, vocab) + far
+    rows = [(10**6 + k, t, i) for k, (_, t, i) in enumerate(rows)]
+    asked = spark.createDataFrame(long + short, "item_id long, text string")
+    table = docs.union(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate(table, asked).collect()}
+    assert all((d, i) in got for d, _, i in rows[:60])
+    assert sum((d, i) in got for d, _, i in rows[60:]) >= 0.99 * len(far)
+    # all words of the benchmark are very common: latent space has no column
+    same = spark.createDataFrame([(k, short[0][1]) for k in range(900)], "doc_id long, text string")
+    assert decontaminate(same, items.where("item_id = %d" % short[0][0])).count() == 900
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(2)
     for _ in range(50):
