@@ -39,6 +39,22 @@ def test_compress_keeps_mass_and_bound(route):
     assert np.isclose(f.merge(np.zeros(len(f), int), 1).trace()[0], ((x - x.mean(0)) ** 2).sum())
 
 
+def test_compress_follows_density_at_every_size():
+    """Many rows keep their resolution beside a far row and beside a much wider axis."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(c, 0.5, (5000, 2)) for c in ((0, 0), (10, 0), (0, 10), (10, 10))] + [np.array([[1e6, 1e6]])])
+    y = np.append(np.repeat(range(4), 5000), 4)
+    f, threshold, _ = K.compress(K.Features.points(x), 500)
+    assert 450 <= len(f) <= 500 and np.isclose(f.n.sum(), len(x)) and threshold < 1
+    f, _, _ = K.compress(f.join(K.Features.points(x)), 500, threshold)
+    near = K.nearest(x, f.mean)[0]
+    assert all(len(set(y[near == k])) <= 1 for k in range(len(f))) and np.isclose(f.n.sum(), 2 * len(x))
+    wide = np.c_[rng.normal(0, 1000, 20000), rng.integers(0, 11, 20000) / 100, rng.integers(0, 9, 20000) / 100, rng.integers(1, 51, 20000)]
+    assert len(K.compress(K.Features.points(wide), 2000)[0]) >= 1900
+    same = np.repeat(rng.normal(size=(7, 3)) * 1e5 + 0.1, 1000, axis=0)
+    assert len(K.compress(K.Features.points(same), 100)[0]) == 7
+
+
 def test_nearest_matches_brute_force():
     rng = np.random.default_rng(2)
     x, c = rng.normal(size=(300, 8)), rng.normal(size=(40, 8))
