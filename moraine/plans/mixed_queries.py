@@ -115,8 +115,9 @@ def faded(s, d):
     return faded_weight(events(s, d), ["event_type"], "event_id", 10_000, 0.001).select("event_type", F.round("weight", 6).alias("weight"))
 
 
-def _micro(s, d):
-    rows = table(s, d, "customer").where("c_custkey <= 300").select(F.col("c_custkey").alias("id"), F.array((F.col("c_acctbal") / 1000).cast("double"), F.col("c_nationkey").cast("double")).alias("mean"))
+def _micro(s, d, few: bool = True):
+    """Customers as micro-clusters: all, or the first 300, which the recursive twins can do."""
+    rows = table(s, d, "customer").where("c_custkey <= 300" if few else "true").select(F.col("c_custkey").alias("id"), F.array((F.col("c_acctbal") / 1000).cast("double"), F.col("c_nationkey").cast("double")).alias("mean"))
     return rows.withColumn("n", (F.col("id") % 4 + 1).cast("double"))
 
 
@@ -130,11 +131,22 @@ def dbstream(s, d):
     return dbstream_offline(m, shared, 0.1, 2.0)
 
 
+def denstream_all(s, d):
+    return denstream_offline(_micro(s, d, few=False), 0.6, 10.0).select("id", F.col("component").cast("long").alias("component"), "weight")
+
+
+def dbstream_all(s, d):
+    m = _micro(s, d, few=False).select("id", "n")
+    last = F.broadcast(m.agg(F.max("id").alias("last")))
+    shared = m.crossJoin(last).select(F.col("id").alias("a"), (F.col("id") * 7 % F.col("last") + 1).alias("b"), (F.col("id") % 5 * 0.1).alias("v")).where("a <> b")
+    return dbstream_offline(m, shared, 0.1, 2.0)
+
+
 MIXED = {
     "cf_full": cf_full, "cf_weighted": cf_weighted, "grid_micros": grid_micros, "dds_buckets": dds_buckets, "dds_quantiles": dds_quantiles,
     "dds_merge": dds_merge, "exact_rank": rank_exact, "kll_quantiles": kll_quantiles, "mixed_cf": mixed_cf, "huang_gamma": huang_gamma,
     "kproto_assign": kproto_assign, "sparse_cf": sparse_cf, "sparse_assign": sparse_assign, "faded_weight": faded,
-    "denstream_offline": denstream, "dbstream_offline": dbstream,
+    "denstream_offline": denstream, "dbstream_offline": dbstream, "denstream_offline_all": denstream_all, "dbstream_offline_all": dbstream_all,
 }
 
 _SEG = "seg AS (SELECT c_mktsegment, CAST(row_number() OVER (ORDER BY c_mktsegment) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT c_mktsegment FROM customer)), mx AS (SELECT c_custkey, CAST(c_nationkey AS BIGINT) AS g, CAST(c_acctbal / 1000 AS DOUBLE) AS b, code FROM customer JOIN seg USING (c_mktsegment))"

@@ -270,14 +270,18 @@ def mapper_edges(s, d):
     return T.nerve(linked, T.nodes(linked)).select("a", "b", "shared")
 
 
-def must_link_components(s, d):
+def must_link_components(s, d, few: bool = True):
     """Must-links between a customer and the next one of its nation with the same segment, closed transitively."""
-    c = table(s, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment").where("c_custkey <= 400")
+    c = table(s, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment").where("c_custkey <= 400" if few else "true")
     w = Window.partitionBy("c_nationkey", "c_mktsegment").orderBy("c_custkey")
     ties = c.withColumn("b", F.lead("c_custkey").over(w)).where("b is not null").select(F.col("c_custkey").alias("a"), "b")
     return connected_components(ties)
 
 
+def must_link_all(s, d):
+    return must_link_components(s, d, few=False)
+
+
 def constraint_translate(s, d):
     """Row constraints to leaf constraints: (0, 1), (2, 3), ... between neighbours of the vector table."""
     rows = I.nearest_center(emb(s, d), centers(s, d), ["vec_id"], "x").select("vec_id", "cid")
@@ -309,6 +313,7 @@ VECTORS = {
     "mapper_lens_radius": lambda s, d: mapper_lens(s, d, "radius"), "mapper_lens_norm": lambda s, d: mapper_lens(s, d, "norm"),
     "mapper_lens_coordinate": lambda s, d: mapper_lens(s, d, "coordinate"), "mapper_lens_eccentricity": lambda s, d: mapper_lens(s, d, "eccentricity"),
     "mapper_cover": mapper_cover, "mapper_nodes": mapper_nodes, "mapper_edges": mapper_edges, "must_link_components": must_link_components,
+    "must_link_components_all": must_link_all,
     "constraint_translate": constraint_translate, "ari": ari, "label_distinct": label_distinct,
 }
 

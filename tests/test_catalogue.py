@@ -4,8 +4,10 @@ import os
 import sys
 
 import duckdb
+import numpy as np
 import pytest
 
+from moraine.operators.kernels import union_groups
 from moraine.plans import catalogue
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -43,3 +45,22 @@ def test_runs(spark, name):
 def test_every_query_is_known():
     assert set(catalogue.ORACLES) <= set(catalogue.QUERIES)
     assert sys.version_info >= (3, 10)
+
+
+def test_offline_steps_on_all_customers(spark):
+    """Every customer takes part, at a size where the first 300 or 400 don't hold all; against brute force."""
+    data = "/root/testdata/sf0.01"
+    c = spark.read.parquet(f"{data}/customer.parquet").orderBy("c_custkey").toPandas()
+    ids, n = c.c_custkey.to_numpy(), c.c_custkey.to_numpy() % 4 + 1
+    at = {int(x): k for k, x in enumerate(ids)}
+    run = lambda name: {tuple(r)[0]: tuple(r)[1:] for r in catalogue.QUERIES[name](spark, data).collect()}
+    assert len(ids) > 400
+    x = np.c_[c.c_acctbal.astype(float) / 1000, c.c_nationkey.astype(float)]
+    root = union_groups(len(ids), np.argwhere(((x[:, None] - x[None]) ** 2).sum(2) <= 4 * 0.6 * 0.6))
+    weight = np.bincount(root, n, len(ids))[root]
+    assert run("denstream_offline_all") == {int(i): (int(ids[r]) if w >= 10 else -1, w) for i, r, w in zip(ids, root, weight, strict=True)}
+    ties = [(at[int(i)], at[int(b)]) for i, b in zip(ids, ids * 7 % ids.max() + 1, strict=True) if i != b and i % 5 * 0.1 >= 0.1 * 2.0 and int(b) in at and n[at[int(i)]] >= 2 and n[at[int(b)]] >= 2]
+    root = union_groups(len(ids), ties)
+    assert run("dbstream_offline_all") == {int(i): (int(ids[r]),) for i, r, k in zip(ids, root, n, strict=True) if k >= 2}
+    first, many = (c.groupby(["c_nationkey", "c_mktsegment"]).c_custkey.transform(f) for f in ("min", "count"))
+    assert run("must_link_components_all") == {int(i): (int(f),) for i, f, k in zip(ids, first, many, strict=True) if k > 1}
