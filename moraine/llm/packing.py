@@ -12,7 +12,11 @@ with the least room that is enough being found in a segment tree over capacities
 
 A document's pieces share a shard.  Nothing is shuffled; a lost task is run again and gives the same shard.
 
-Defined results: null and empty texts are the end token alone; a null id is allowed; repeated rows are packed each;
+Runs of white space of ``LONG_RUN`` characters or more are cut out before the splitting pattern, which would backtrack
+over them, where that pattern cuts anyway; ids are those of the plain tokeniser.
+
+Defined results: null and empty texts are the end token alone; ids of any type, null included, are carried as they are
+(integers as long); repeated rows are packed each; pieces of equal length are placed in the order of their documents;
 an empty table gives no shard; texts of any length are packed whole; extra columns are ignored.
 """
 
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 
 import numpy as np
@@ -27,6 +32,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import shared_dir, ship
 from .textkit import slices
@@ -35,6 +42,9 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The splitting pattern of that vocabulary: a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SEQ_LEN, SHARD_TOKENS = 2048, 1 << 21
+#: What the pattern takes for white space (a fixed set), and the length from which a run is cut out.
+SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+LONG_RUN = 1 << 14
 
 
 class CapacityTree:
@@ -124,7 +134,24 @@ def _encoder(raw: bytes):
     return cached[1]
 
 
-def _pack_task(vocabulary, seq_len: int, shard_tokens: int, id_type: str):
+def encode(enc, text: str) -> np.ndarray:
+    """Token ids of a text; the pattern never sees a run of ``LONG_RUN`` white-space characters.
+
+    The pattern takes such a run as one piece, but for its last character where other characters follow.
+    """
+    if len(text) < LONG_RUN:
+        return enc.encode_to_numpy(text, disallowed_special=())
+    ids, at = [], 0
+    for m in SPACE.finditer(text):
+        a, b = m.start(), m.end() - (m.end() < len(text))
+        if b - a >= LONG_RUN:
+            ids += [enc.encode_to_numpy(text[at:a], disallowed_special=()), np.array(enc._core_bpe.encode_single_piece(text[a:b].encode()), np.uint32)]
+            at = b
+    ids.append(enc.encode_to_numpy(text[at:], disallowed_special=()))
+    return np.concatenate(ids)
+
+
+def _pack_task(vocabulary, seq_len: int, shard_tokens: int, id_type: pa.DataType):
     def run(batches):
         enc = _encoder(vocabulary.value)
         end = enc.n_vocab  # free in this vocabulary
@@ -145,11 +172,11 @@ def _pack_task(vocabulary, seq_len: int, shard_tokens: int, id_type: str):
         ints = pa.list_(pa.int32())
         schema = pa.schema([
             ("shard", pa.string()), ("seq_len", pa.int32()), ("n_rows", pa.int32()), ("dtype", pa.string()), ("ids", pa.binary()),
-            ("cu_seqlens", ints), ("resets", ints), ("pieces", pa.list_(piece)), ("doc_ids", pa.list_(pa.int64() if id_type == "bigint" else pa.int32())),
+            ("cu_seqlens", ints), ("resets", ints), ("pieces", pa.list_(piece)), ("doc_ids", pa.list_(id_type)),
         ])
         for b in slices(batches):
             for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                got = np.append(enc.encode_to_numpy(text or "", disallowed_special=()), end).astype(kind)
+                got = np.append(encode(enc, text or ""), end).astype(kind)
                 ids.append(i)
                 docs.append(got)
                 tokens += len(got)
@@ -168,9 +195,11 @@ def write_packed(docs: DataFrame, path: str, seq_len: int = SEQ_LEN, tokenizer:
     spark = docs.sparkSession
     with open(tokenizer, "rb") as f:
         vocabulary = spark.sparkContext.broadcast(f.read())  # about a megabyte, fixed
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = SHARD.format(id=kind)
-    docs.select("doc_id", "text").mapInArrow(_pack_task(vocabulary, seq_len, shard_tokens, kind), schema).write.parquet(path)
+    whole = isinstance(docs.schema["doc_id"].dataType, T.IntegralType)
+    src = docs.select(F.col("doc_id").cast("long") if whole else "doc_id", F.col("text").cast("string"))
+    kind = src.schema["doc_id"].dataType
+    schema = SHARD.format(id=kind.simpleString())
+    src.mapInArrow(_pack_task(vocabulary, seq_len, shard_tokens, to_arrow_type(kind)), schema).write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -180,7 +209,7 @@ def position_ids(resets: np.ndarray, size: int) -> np.ndarray:
     return at - np.maximum.accumulate(np.where(np.isin(at, resets), at, 0))
 
 
-def _read_task():
+def _read_task(id_type: pa.DataType):
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
@@ -196,7 +225,7 @@ def _read_task():
                     out["n_pieces"].append(len(pieces))
                     out["ids_sha256"].append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                     out["shard"].append(r["shard"])
-                yield pa.record_batch([pa.array(v) if k != "doc_id" else pa.array(v, pa.int64()) for k, v in out.items()], list(out))
+                yield pa.record_batch([pa.array(v) if k != "doc_id" else pa.array(v, id_type) for k, v in out.items()], list(out))
 
     return run
 
@@ -204,9 +233,9 @@ def _read_task():
 def read_packed(shards: DataFrame) -> DataFrame:
     """Per document, put together again from the matrices: tokens, pieces and a digest of the ids (uint32 each)."""
     ship(texts=True)
-    return shards.select("shard", "seq_len", "dtype", "ids", "pieces", F.col("doc_ids").cast("array<bigint>")).mapInArrow(
-        _read_task(), "doc_id long, n_tokens long, n_pieces long, ids_sha256 string, shard string"
-    )
+    kind = shards.schema["doc_ids"].dataType.elementType
+    schema = f"doc_id {kind.simpleString()}, n_tokens long, n_pieces long, ids_sha256 string, shard string"
+    return shards.select("shard", "seq_len", "dtype", "ids", "pieces", "doc_ids").mapInArrow(_read_task(to_arrow_type(kind)), schema)
 
 
 def pack_documents(docs: DataFrame, seq_len: int = SEQ_LEN, tokenizer: str = TOKENIZER) -> DataFrame:

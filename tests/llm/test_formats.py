@@ -165,3 +165,21 @@ def test_packed_ids(spark, tmp_path):
         assert (pos[cu[:-1]] == 0).all() and all((pos[a:b] == np.arange(b - a)).all() for a, b in zip(cu[:-1], cu[1:], strict=True))
         assert set(range(0, size, 64)) <= set(r["resets"]) and len(np.frombuffer(r["ids"], r["dtype"])) == size
     assert P.read_packed(P.write_packed(df.limit(0), str(tmp_path / "q"))).count() == 0
+
+
+def test_long_runs_are_tokenised_as_ever():
+    enc = P._encoder(open(P.TOKENIZER, "rb").read())
+    for run in (" ", "\n", "\t ", "\u3000", " \x1c", "a", "-", "7", "\x85"):
+        for n in (P.LONG_RUN - 1, P.LONG_RUN, 3 * P.LONG_RUN):
+            for text in ("x" + run * n, run * n + "y", "x" + run * n + "'s " + run * n + "-z", "é" + run * n + "\n" + run + "1"):
+                assert P.encode(enc, text).tolist() == enc.encode_ordinary(text)
+    for run in (" ", "\n", "a", "-", "\t\n"):
+        text = "x" + run * (5_000_000 // len(run)) + "y"
+        assert enc.decode(P.encode(enc, text).tolist()) == text
+
+
+def test_packed_string_ids(spark, tmp_path):
+    rows = [("a-1", "x" + " " * 1_000_000 + "y"), (None, None), ("7", "b")]
+    shards = P.write_packed(spark.createDataFrame(rows, "doc_id string, text string"), str(tmp_path / "s"))
+    got = {r["doc_id"]: r["n_tokens"] for r in P.read_packed(shards).collect()}
+    assert set(got) == {"a-1", None, "7"} and got[None] == 1 and got["7"] == 2
