@@ -6,12 +6,13 @@ sidecar index of members, so that one record can be read without the others.  ``
 
 Archives are rows (name, content) of a Parquet table in shared storage, of about ``ARCHIVE_BYTES`` of records each, so
 every store that Spark can write serves and a lost executor costs one task; the index is a column of the same table,
-read apart from the contents.  ``normalise_stream`` does the same for open files and is what the tasks run.
+read apart from the contents.  ``normalise_stream`` does the same for open files and is what the tasks run;
+``export_files`` writes normalised archives as ``.warc.gz`` files, each with its index beside it, to a mounted folder.
 
 Equal payloads are stored once: the record of the largest page_id is the response, the others are revisits that refer
 to it, with digest and length of the full payload.  Payloads shorter than ``min_bytes`` are always responses.
 
-Defined results: null html is an empty payload; repeated rows of the largest page_id are all responses; a null page_id
+Defined results: null html is an empty payload; of repeated rows of the largest page_id one is the response (the least url); a null page_id
 is written as such and is a response only if no equal payload has an id; a null url has no target header, control
 characters in urls are percent-encoded; pages of any length are written whole; extra columns are ignored.
 """
@@ -21,13 +22,15 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import json
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_dir, ship
@@ -142,9 +145,15 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_byte
     ship(texts=True)
     src = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce("html", F.lit("")).alias("html"))
     src = src.withColumn("key", F.concat(F.sha2("html", 256), F.octet_length("html").cast("string")))
-    reps = src.select("key", "page_id").groupBy("key").agg(F.max("page_id").alias("rep"))
+    pages_of = src.select("key", "page_id").groupBy("key", "page_id").agg(F.count("*").alias("rows"))
+    reps = pages_of.groupBy("key").agg(F.max(F.struct("page_id", "rows")).alias("top")).select("key", F.col("top.page_id").alias("rep"), F.col("top.rows").alias("rows"))
     marked = src.join(reps, "key")
-    revisit = (F.octet_length("html") >= min_bytes) & F.col("rep").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("rep"))
+    # of repeated rows of the largest page_id one is the response: these few rows are numbered
+    tied = F.col("page_id").isNotNull() & (F.col("page_id") == F.col("rep")) & (F.col("rows") > 1)
+    tied = F.coalesce(tied, F.lit(False)) & (F.octet_length("html") >= min_bytes)
+    numbered = marked.where(tied).withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.col("url").asc_nulls_first())))
+    marked = marked.where(~tied).withColumn("nth", F.lit(1)).union(numbered)
+    revisit = (F.octet_length("html") >= min_bytes) & F.col("rep").isNotNull() & (~F.col("page_id").eqNullSafe(F.col("rep")) | (F.col("nth") > 1))
     out = marked.select("page_id", "url", "html", "rep", revisit.alias("revisit"))
     out.mapInArrow(_write_task(archive_bytes, level), "name string, content binary").write.parquet(path)
     return pages.sparkSession.read.schema("name string, content binary").parquet(path)
@@ -204,21 +213,44 @@ def read_records(archives: DataFrame, payloads: bool = False) -> DataFrame:
     return archives.select("name", "content", "index").mapInArrow(run, schema + (", payload binary" if payloads else ""))
 
 
+def export_files(archives: DataFrame, folder: str) -> DataFrame:
+    """Write normalised archives as files to a folder that every executor has mounted: ``name`` and ``name.idx``, a line
+    of JSON for each record.  Files are renamed when whole, so a task that runs again does no harm; returns (name, bytes)."""
+    ship(texts=True)
+
+    def run(batches):
+        os.makedirs(folder, exist_ok=True)
+        for b in batches:
+            for i, (name, index) in enumerate(zip(b.column("name").to_pylist(), b.column("index").to_pylist(), strict=True)):
+                content = b.column("content")[i].as_buffer()
+                lines = "".join(json.dumps(e) + "\n" for e in index).encode()
+                for path, data in ((f"{folder}/{name}.idx", lines), (f"{folder}/{name}", content)):
+                    part = f"{path}.{uuid.uuid4().hex}"
+                    with open(part, "wb") as f:
+                        f.write(data)
+                    os.replace(part, path)
+                yield pa.record_batch([pa.array([name]), pa.array([len(content)], pa.int64())], ["name", "bytes"])
+
+    return archives.select("name", "content", "index").mapInArrow(run, "name string, bytes long")
+
+
 def op4_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = f"{shared_dir(spark)}/moraine/warc-{uuid.uuid4().hex}"
     archives = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), f"{base}/monolithic")
-    return read_records(normalise(archives, f"{base}/members"))
+    read = read_records(normalise(archives, f"{base}/members"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 #: DuckDB has sha1 as hex; base 32 of its 160 bits is spelled out, five bits a letter.
 OP4_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-r AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS rep FROM p),
+r AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS rep,
+  row_number() OVER (PARTITION BY html, page_id) AS nth FROM p),
 b AS (SELECT *, array_to_string(list_transform(range(40), lambda i: lpad(bin(instr('0123456789abcdef', hex[i + 1]) - 1), 4, '0')), '') AS bits FROM r)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
   array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
     CAST(list_sum(list_transform(range(5), lambda j: CAST(bits[5 * i + j + 1] AS INT) * CAST(pow(2, 4 - j) AS INT))) AS INT) + 1]), '') AS payload_digest,
-  CASE WHEN page_id = rep THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id = rep THEN NULL ELSE rep END AS refers_to
+  CASE WHEN rep IS NULL OR page_id = rep AND nth = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN rep IS NULL OR page_id = rep AND nth = 1 THEN NULL ELSE rep END AS refers_to
 FROM b
 """

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import io
+import json
 import random
 import zlib
 
@@ -45,12 +46,21 @@ def test_archives(spark, tmp_path):
         if i is not None and (top[h or ""] is None or i > top[h or ""]):
             top[h or ""] = i
     left = collections.Counter((i, h or "") for i, _, h in rows)
+    told = collections.Counter()
     for r in got:
         text = next(h for (i, h), n in left.items() if i == r["page_id"] and n and W.digest32(h.encode()) == r["payload_digest"])
         left[r["page_id"], text] -= 1
-        first = top[text] is None or r["page_id"] == top[text]
+        first = top[text] is None or r["page_id"] == top[text] and r["record_type"] == "response"
+        told[text] += first
         assert r["payload_bytes"] == len(text.encode()) and r["record_type"] == ("response" if first else "revisit")
         assert r["refers_to"] == (None if first else top[text]) and r["payload"] == (text.encode() if first else None)
+    assert all(n == 1 for t, n in told.items() if top[t] is not None)
+    files = W.export_files(W.normalise(a, str(tmp_path / "g")), str(tmp_path / "files")).collect()
+    for r in files:
+        whole = (tmp_path / "files" / r["name"]).read_bytes()
+        index = [json.loads(x) for x in (tmp_path / "files" / (r["name"] + ".idx")).read_text().splitlines()]
+        assert len(whole) == r["bytes"] == sum(e["length"] for e in index)
+        assert all(W.read_member(whole, e["offset"], e["length"])[0]["warc-record-id"] == e["record_id"] for e in index)
     empty = W.write_archives(df.limit(0), str(tmp_path / "c"))
     assert W.read_records(W.normalise(empty, str(tmp_path / "d"))).count() == 0
     plain = W.write_archives(df.where("page_id < 50"), str(tmp_path / "e"), min_bytes=1000)
