@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from .chat import op6_budgeted_chat
 from .decontaminate import op1_latent_decontamination
-from .jaccard import op9_ngram_jaccard_join
+from .jaccard import OP9_SQL, op9_ngram_jaccard_join
 from .mixing import op2_soft_mixing
 from .packing import op10_packed_token_ids
 from .quality import op7_subword_quality
 from .secrets import op5_char_cnn_secrets
-from .substring import op3_relative_lz_dedup
+from .substring import OP3_SQL, op3_relative_lz_dedup
 from .topk import OP8_SQL, op8_block_pruned_topk
 from .warc import OP4_SQL, op4_warc_normaliser
 
@@ -25,4 +25,9 @@ QUERIES = {
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_packed_token_ids": op10_packed_token_ids,
 }
-ORACLES: dict[str, str] = {"op4_warc_normaliser": OP4_SQL, "op8_block_pruned_topk": OP8_SQL}
+ORACLES: dict[str, str] = {
+    "op3_relative_lz_dedup": OP3_SQL,
+    "op4_warc_normaliser": OP4_SQL,
+    "op8_block_pruned_topk": OP8_SQL,
+    "op9_ngram_jaccard_join": OP9_SQL,
+}

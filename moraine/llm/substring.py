@@ -5,19 +5,23 @@ A word is removed when it lies in a window of ``width`` consecutive words whose
 1. Seeds.  Every window has an anchor: the least hash among its ``SEED``-word grams.  Consecutive windows with
    one anchor are a piece; equal windows have equal anchors at equal places, so only pieces with an anchor in
    common can hold equal windows.  Anchors are counted with map-side combining; most pieces end here.
-2. Pieces whose anchor has one content only are whole copies of each other: all their windows repeat.
-3. The other distinct pieces, one of each content, go to the reference block of their anchor with their words.
-   A block is indexed (rank tables by prefix doubling, which give a suffix order and the longest match of every
+2. Pieces with an anchor in common are folded to distinct contents, with their number.  One piece of each content goes
+   to the reference block of its anchor with its words, twice where the content has copies.
+3. A block is indexed (rank tables by prefix doubling, which give a suffix order and the longest match of every
    position in the rest of the block) and each piece is factored against it greedily: the longest match, or
    one word, then on from its end.  Factors of ``width`` words or more are duplicate spans; the windows that
    straddle a factor boundary are looked up, as two sources may follow each other.
-   Blocks hold whole anchors and about ``block_words`` words.  An anchor with more than ``hot`` contents isn't put
-   in a block: its windows are compared as 128-bit keys with map-side combining instead, which is exact as well.
-4. Spans go back to their documents and the kept words are written out.
+   Blocks hold whole anchors and about ``block_words`` words.  An anchor with more than ``hot`` contents would make a
+   block without bound: its windows are compared as 128-bit keys with map-side combining instead, which gives the same.
+4. Spans go from contents to all pieces that have them, then to their documents, and the kept words are written out.
+
+Joins on anchors, contents and windows spread the keys that have more than ``limit`` rows over salts; the list of these
+keys is broadcast and ``limit`` grows with the rows, so it has ``HEAVY_KEYS`` entries at most.
 
 Defined results: null texts count as empty; texts of fewer than ``width`` words lose nothing; repeated rows are
-copies of each other, so texts of ``width`` words or more go wholly; a null id is allowed; extra columns are ignored.
-Words are compared by 64-bit hashes and windows by at least 112 bits of them.
+copies of each other, so texts of ``width`` words or more go wholly; all of equal windows go, none is preferred;
+ids of any type, null included, are carried as they are; an empty table gives an empty result; extra columns are ignored.
+Words are compared by 64-bit hashes, windows by at least 112 bits of them, rows are told apart by 128 bits of id and text.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ from .textkit import Words, as_i64, grams, mix, slices
 U = np.uint64
 WIDTH, SEED = 35, 8
 BLOCK_WORDS, HOT = 1 << 18, 2048
+#: Rows from which a key is spread over salts, and the most keys that are.
+HEAVY_ROWS, HEAVY_KEYS = 8192, 1 << 19
 
 
 def _least(v: np.ndarray, span: int) -> np.ndarray:
@@ -93,22 +99,19 @@ def _emit_pieces(width: int, seed: int):
 
 
 def _emit_words(width: int):
-    """For each asked piece (pos, len) of a document its word hashes."""
+    """For each asked piece of a document its word hashes."""
 
     def run(batches):
         for b in slices(batches):
             w = Words(b.column("text"))
-            out = {k: [] for k in ("anchor", "dk", "th", "pos", "len", "words")}
+            out = {k: [] for k in ("anchor", "content", "hot", "n", "words")}
             for i, asked in enumerate(b.column("asked").to_pylist()):
                 for x in asked:
                     at = w.off[i] + x["pos"]
-                    out["anchor"].append(x["anchor"])
-                    out["dk"].append(b.column("dk")[i].as_py())
-                    out["th"].append(b.column("th")[i].as_py())
-                    out["pos"].append(x["pos"])
-                    out["len"].append(x["len"])
+                    for k in ("anchor", "content", "hot", "n"):
+                        out[k].append(x[k])
                     out["words"].append(w.hash[at : at + x["len"] + width - 1].tobytes())
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
             yield pa.record_batch([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
 
     return run
@@ -168,31 +171,38 @@ def factor(best: np.ndarray, begin: int, end: int, width: int) -> list[tuple[int
     return spans
 
 
+SPAN = "anchor long, content long, off int, len int"
+_SPAN_NAMES, _SPAN_TYPES = ["anchor", "content", "off", "len"], (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+
+
 def _factor_blocks(width: int, block_words: int):
+    """Rows sorted by anchor and content; one block is held at a time."""
+
     def run(batches):
         held, words, last = [], 0, None
 
         def block():
-            text = np.concatenate([np.frombuffer(r[5], U) for r in held])
-            size = np.array([len(r[5]) // 8 for r in held])
-            best = longest_matches(text, np.repeat(np.arange(len(held)), size), 2 * width)
+            parts = [np.frombuffer(r[3], U) for r in held]
+            twins = [p for p, r in zip(parts, held, strict=True) if r[2] > 1]  # the other copy of a repeated content
+            size = np.array([len(p) for p in parts + twins])
+            best = longest_matches(np.concatenate(parts + twins), np.repeat(np.arange(len(size)), size), 2 * width)
             begin = np.cumsum(size) - size
             out = []
-            for (_, dk, th, pos, _, _), at, m in zip(held, begin.tolist(), size.tolist(), strict=True):
-                for s, count in factor(best, at, at + m, width):
-                    out.append((dk, th, pos + s - at, count))
+            for (anchor, content, _, _), at, m in zip(held, begin.tolist(), size.tolist(), strict=False):
+                out += [(anchor, content, s - at, count) for s, count in factor(best, at, at + m, width)]
             cols = list(zip(*out, strict=True)) or [()] * 4
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
-            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["dk", "th", "pos", "len"])
+            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, _SPAN_TYPES, strict=True)], _SPAN_NAMES)
 
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("anchor", "dk", "th", "pos", "len", "words")), strict=True):
-                if row[0] != last and words >= block_words:
+            for row in zip(*(b.column(c).to_pylist() for c in ("anchor", "content", "n", "words")), strict=True):
+                if row[:2] == last:
+                    continue  # a repeated row gave the same piece
+                if (last is None or row[0] != last[0]) and words >= block_words:
                     yield block()
                     held, words = [], 0
-                last = row[0]
+                last = row[:2]
                 held.append(row)
-                words += len(row[5]) // 8
+                words += len(row[3]) // 8
         if held:
             yield block()
 
@@ -204,18 +214,32 @@ def _emit_windows(width: int):
 
     def run(batches):
         for b in slices(batches, "words"):
-            rows = []
-            for dk, th, pos, raw in zip(*(b.column(c).to_pylist() for c in ("dk", "th", "pos", "words")), strict=True):
+            cols = [[] for _ in range(6)]
+            for anchor, content, n, raw in zip(*(b.column(c).to_pylist() for c in ("anchor", "content", "n", "words")), strict=True):
                 h = np.frombuffer(raw, U)
                 one, two = grams(h, width).view(np.int64), grams(mix(h + U(77)), width).view(np.int64)
-                rows += [(dk, th, pos + i, 1, int(x), int(y)) for i, (x, y) in enumerate(zip(one, two, strict=True))]
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["dk", "th", "pos", "len", "w1", "w2"])
+                for c, x in zip(cols, (anchor, content, np.arange(len(one)), n, one, two), strict=True):
+                    c.append(np.broadcast_to(np.asarray(x, np.int64), len(one)))
+            cols = [np.concatenate([np.zeros(0, np.int64), *c]) for c in cols]
+            yield pa.record_batch([pa.array(c.astype(np.int32) if k == 2 else c) for k, c in enumerate(cols)], ["anchor", "content", "off", "n", "w1", "w2"])
 
     return run
 
 
+def heavy(counted: DataFrame, keys: list[str], total: int, least: int) -> DataFrame:
+    """``keys`` and ``salts`` of the keys whose ``n`` rows are too many for a task: ``HEAVY_KEYS`` keys at most."""
+    limit = max(least, total // HEAVY_KEYS)
+    return counted.where(F.col("n") > limit).select(*keys, F.ceil(F.col("n") / limit).cast("int").alias("salts"))
+
+
+def meet(many: DataFrame, one: DataFrame, keys: list[str], salted: DataFrame, by: list[str]) -> DataFrame:
+    """Inner join; rows of ``many`` with a key of ``salted`` are spread by a hash of ``by``, those of ``one`` repeated."""
+    salted = F.broadcast(salted)
+    left = many.join(salted, keys, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(*by), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
+    right = one.join(salted, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return left.join(right, [*keys, "salt"]).drop("salt")
+
+
 def _cut(width: int, texts: bool):
     """Drop the covered words; ``spans`` are window ranges of the row's document."""
 
@@ -249,38 +273,39 @@ def _cut(width: int, texts: bool):
     return run
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seed: int = SEED, block_words: int = BLOCK_WORDS, hot: int = HOT, texts: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seed: int = SEED, block_words: int = BLOCK_WORDS, hot: int = HOT, texts: bool = False, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept_sha256[, kept])`` per document."""
     ship(texts=True)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    src = docs.select(
-        F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("dk"), F.hash(text).alias("th"), text.alias("text")
-    )
-    piece = "anchor long, content long, dk long, th int, pos int, len int"
-    pieces = src.select("dk", "th", "text").mapInArrow(_emit_pieces(width, seed), piece)
-    seen = pieces.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("n > 1")
-    shared = stored(pieces.join(seen.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "anchor"), "pieces")
-    mixed = shared.where("mixed")
-    contents = mixed.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("dk", "th", "pos", "len")).alias("at"))
-    crowd = contents.groupBy("anchor").agg((F.count("*") > hot).alias("hot"))
-    asked = contents.join(crowd, "anchor").select("anchor", "hot", "n", "at.*")
-    by_doc = asked.groupBy("dk", "th").agg(F.collect_list(F.struct("anchor", "hot", "pos", "len")).alias("asked"))
-    worded = src.join(by_doc.hint("shuffle_hash"), ["dk", "th"]).select("dk", "th", "text", "asked")
-    worded = stored(worded.mapInArrow(_emit_words(width), "anchor long, dk long, th int, pos int, len int, words binary"), "words")
-    hot_anchor = crowd.where("hot").select("anchor")
+    row = F.when(F.col(id_col).isNull(), F.xxhash64(text, F.lit(1))).otherwise(F.xxhash64(id_col))
+    src = docs.select(F.col(id_col).alias("doc_id"), row.alias("dk"), F.xxhash64(text).alias("th"), text.alias("text"))
+    pieces = src.select("dk", "th", "text").mapInArrow(_emit_pieces(width, seed), "anchor long, content long, dk long, th long, pos int, len int")
+    place = ["dk", "th", "pos"]
+    seen = stored(pieces.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
+    total = seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    many = heavy(seen, ["anchor"], total, heavy_rows)
+    shared = stored(meet(pieces, seen.select("anchor"), ["anchor"], many, place), "pieces")
+    contents = shared.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct(*place, "len")).alias("at"))
+    contents = stored(contents.select("anchor", "content", "n", "at.*"), "contents")
+    crowd = contents.groupBy("anchor").agg((F.count("*") > hot).alias("hot"), (F.sum("n") > 1).alias("met"))
+    asked = meet(contents, crowd.where("met").drop("met"), ["anchor"], many, ["content"])
+    by_doc = asked.groupBy("dk", "th").agg(F.collect_list(F.struct("anchor", "content", "hot", "n", "pos", "len")).alias("asked"))
+    worded = src.join(by_doc.hint("shuffle_hash"), ["dk", "th"]).select("text", "asked")
+    worded = stored(worded.mapInArrow(_emit_words(width), "anchor long, content long, hot boolean, n long, words binary"), "words")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    span = "dk long, th int, pos int, len int"
-    spans = (
-        worded.join(hot_anchor, "anchor", "left_anti").repartition(parts, "anchor").sortWithinPartitions("anchor")
-        .mapInArrow(_factor_blocks(width, block_words), span)
-    )
-    windows = worded.join(hot_anchor, "anchor", "left_semi").mapInArrow(_emit_windows(width), f"{span}, w1 long, w2 long")
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    spans = spans.union(windows.join(twice, ["w1", "w2"], "left_semi").select("dk", "th", "pos", "len"))
-    copies = contents.where("n > 1").select("anchor", "content")
-    spans = spans.union(mixed.join(copies, ["anchor", "content"], "left_semi").select("dk", "th", "pos", "len"))
-    spans = spans.union(shared.where("not mixed").select("dk", "th", "pos", "len"))
-    covered = spans.groupBy("dk", "th").agg(F.collect_list(F.struct("pos", "len")).alias("spans"))
+    blocks = worded.where("not hot").select("anchor", "content", "n", "words").repartition(parts, "anchor").sortWithinPartitions("anchor", "content")
+    spans = blocks.mapInArrow(_factor_blocks(width, block_words), SPAN)
+    crowded = worded.where("hot").select("anchor", "content", "n", "words")
+    if crowded.limit(1).count():
+        windows = crowded.dropDuplicates(["anchor", "content"]).mapInArrow(_emit_windows(width), "anchor long, content long, off int, n long, w1 long, w2 long")
+        windows = stored(windows, "windows")
+        key = ["w1", "w2"]
+        twice = windows.groupBy(*key).agg(F.count("*").alias("n"), F.sum("n").alias("times")).where("times > 1")
+        often = heavy(stored(twice.select(*key, "n"), "repeats"), key, windows.count(), heavy_rows)
+        spans = spans.union(meet(windows.drop("n"), twice.select(*key), key, often, ["anchor", "content", "off"]).select("anchor", "content", "off", F.lit(1).alias("len")))
+    copies = heavy(contents, ["anchor", "content"], total, heavy_rows)
+    placed = meet(shared.drop("len"), spans, ["anchor", "content"], copies, place)
+    covered = placed.select("dk", "th", (F.col("pos") + F.col("off")).alias("pos"), "len").groupBy("dk", "th").agg(F.collect_set(F.struct("pos", "len")).alias("spans"))
     out = src.join(covered.hint("shuffle_hash"), ["dk", "th"], "left").select("doc_id", "text", "spans")
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string"
     return out.mapInArrow(_cut(width, texts), schema + (", kept string" if texts else ""))
@@ -288,3 +313,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op3_relative_lz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS win FROM d, unnest(range(1, len(w) - 33)) AS t(i) WHERE len(w) >= 35),
+twice AS (SELECT win FROM p GROUP BY win HAVING count(*) > 1),
+gone AS (SELECT DISTINCT p.r, p.i + k AS i FROM p JOIN twice USING (win), range(35) AS t(k)),
+removed AS (SELECT r, count(*) AS n FROM gone GROUP BY r),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS said FROM (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d) ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(said, '')) AS kept_sha256
+FROM d LEFT JOIN removed USING (r) LEFT JOIN kept USING (r)
+"""

@@ -122,8 +122,15 @@ def brute_windows(rows, width):
 def test_substring_dedup(spark, width, seed, hot, words):
     rows = corpus(2) + [(3, None), (None, "x y"), (500, corpus(2)[3][1]), (500, corpus(2)[3][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("anchor", F.lit(1)).withColumn("spans", F.lit("s")).repartition(5)
-    got = sorted((tuple(r) for r in substring_dedup(df, width=width, seed=seed, hot=hot, block_words=words).collect()), key=str)
-    assert got == brute_windows(rows, width)
+    for heavy_rows in (8192, 3):
+        got = sorted((tuple(r) for r in substring_dedup(df, width=width, seed=seed, hot=hot, block_words=words, heavy_rows=heavy_rows).collect()), key=str)
+        assert got == brute_windows(rows, width)
+
+
+def test_substring_string_and_null_ids(spark):
+    rows = [(f"id-{i}" if i % 5 else None, t) for i, t in corpus(2)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    assert sorted((tuple(r) for r in substring_dedup(df).collect()), key=str) == brute_windows(rows, 35)
 
 
 def test_substring_empty_table(spark):
