@@ -171,57 +171,57 @@ def factor(best: np.ndarray, begin: int, end: int, width: int) -> list[tuple[int
     return spans
 
 
-SPAN = "anchor long, content long, off int, len int"
-_SPAN_NAMES, _SPAN_TYPES = ["anchor", "content", "off", "len"], (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+SPAN = "anchor long, content long, off int, len int, n long, w1 long, w2 long"
+_NAMES, _TYPES = ["anchor", "content", "off", "len", "n", "w1", "w2"], (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+
+
+def _windows(held: list[tuple], width: int) -> pa.RecordBatch:
+    """128-bit keys of every window of the held pieces, with the number of the piece's copies."""
+    cols = [[np.zeros(0, np.int64)] for _ in _NAMES]
+    for anchor, content, n, raw in held:
+        h = np.frombuffer(raw, U)
+        one, two = grams(h, width).view(np.int64), grams(mix(h + U(77)), width).view(np.int64)
+        for c, x in zip(cols, (anchor, content, np.arange(len(one)), 1, n, one, two), strict=True):
+            c.append(np.broadcast_to(np.asarray(x, np.int64), len(one)))
+    return pa.record_batch([pa.array(np.concatenate(c).astype(t.to_pandas_dtype())) for c, t in zip(cols, _TYPES, strict=True)], _NAMES)
 
 
 def _factor_blocks(width: int, block_words: int):
-    """Rows sorted by anchor and content; one block is held at a time."""
+    """Rows sorted by hot, anchor and content.  Duplicate spans of each piece, or a hot anchor's windows (w1 is set);
+    one block is held at a time."""
+
+    def block(held):
+        parts = [np.frombuffer(r[3], U) for r in held]
+        twins = [p for p, r in zip(parts, held, strict=True) if r[2] > 1]  # the other copy of a repeated content
+        size = np.array([len(p) for p in parts + twins])
+        best = longest_matches(np.concatenate(parts + twins), np.repeat(np.arange(len(size)), size), 2 * width)
+        begin = np.cumsum(size) - size
+        out = []
+        for (anchor, content, _, _), at, m in zip(held, begin.tolist(), size.tolist(), strict=False):
+            out += [(anchor, content, s - at, count) for s, count in factor(best, at, at + m, width)]
+        cols = list(zip(*out, strict=True)) or [()] * 4
+        return pa.record_batch([*(pa.array(c, t) for c, t in zip(cols, _TYPES, strict=False)), *(pa.nulls(len(out), pa.int64()) for _ in range(3))], _NAMES)
 
     def run(batches):
         held, words, last = [], 0, None
 
-        def block():
-            parts = [np.frombuffer(r[3], U) for r in held]
-            twins = [p for p, r in zip(parts, held, strict=True) if r[2] > 1]  # the other copy of a repeated content
-            size = np.array([len(p) for p in parts + twins])
-            best = longest_matches(np.concatenate(parts + twins), np.repeat(np.arange(len(size)), size), 2 * width)
-            begin = np.cumsum(size) - size
-            out = []
-            for (anchor, content, _, _), at, m in zip(held, begin.tolist(), size.tolist(), strict=False):
-                out += [(anchor, content, s - at, count) for s, count in factor(best, at, at + m, width)]
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, _SPAN_TYPES, strict=True)], _SPAN_NAMES)
+        def done():
+            return _windows(held, width) if last[0] else block(held)
 
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("anchor", "content", "n", "words")), strict=True):
-                if row[:2] == last:
+            for hot, *row in zip(*(b.column(c).to_pylist() for c in ("hot", "anchor", "content", "n", "words")), strict=True):
+                key = (hot, row[0], row[1])
+                if key == last:
                     continue  # a repeated row gave the same piece
-                if (last is None or row[0] != last[0]) and words >= block_words:
-                    yield block()
+                # a block holds whole anchors; windows of hot ones need no company
+                if held and words >= block_words and (hot or key[:2] != last[:2]) or last is not None and hot != last[0]:
+                    yield done()
                     held, words = [], 0
-                last = row[:2]
+                last = key
                 held.append(row)
                 words += len(row[3]) // 8
         if held:
-            yield block()
-
-    return run
-
-
-def _emit_windows(width: int):
-    """128-bit keys of every window of the pieces of hot anchors."""
-
-    def run(batches):
-        for b in slices(batches, "words"):
-            cols = [[] for _ in range(6)]
-            for anchor, content, n, raw in zip(*(b.column(c).to_pylist() for c in ("anchor", "content", "n", "words")), strict=True):
-                h = np.frombuffer(raw, U)
-                one, two = grams(h, width).view(np.int64), grams(mix(h + U(77)), width).view(np.int64)
-                for c, x in zip(cols, (anchor, content, np.arange(len(one)), n, one, two), strict=True):
-                    c.append(np.broadcast_to(np.asarray(x, np.int64), len(one)))
-            cols = [np.concatenate([np.zeros(0, np.int64), *c]) for c in cols]
-            yield pa.record_batch([pa.array(c.astype(np.int32) if k == 2 else c) for k, c in enumerate(cols)], ["anchor", "content", "off", "n", "w1", "w2"])
+            yield done()
 
     return run
 
@@ -291,18 +291,18 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     asked = meet(contents, crowd.where("met").drop("met"), ["anchor"], many, ["content"])
     by_doc = asked.groupBy("dk", "th").agg(F.collect_list(F.struct("anchor", "content", "hot", "n", "pos", "len")).alias("asked"))
     worded = src.join(by_doc.hint("shuffle_hash"), ["dk", "th"]).select("text", "asked")
-    worded = stored(worded.mapInArrow(_emit_words(width), "anchor long, content long, hot boolean, n long, words binary"), "words")
+    worded = worded.mapInArrow(_emit_words(width), "anchor long, content long, hot boolean, n long, words binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = worded.where("not hot").select("anchor", "content", "n", "words").repartition(parts, "anchor").sortWithinPartitions("anchor", "content")
-    spans = blocks.mapInArrow(_factor_blocks(width, block_words), SPAN)
-    crowded = worded.where("hot").select("anchor", "content", "n", "words")
-    if crowded.limit(1).count():
-        windows = crowded.dropDuplicates(["anchor", "content"]).mapInArrow(_emit_windows(width), "anchor long, content long, off int, n long, w1 long, w2 long")
-        windows = stored(windows, "windows")
+    spread = F.when(F.col("hot"), F.xxhash64("content")).otherwise(F.lit(0))
+    blocks = worded.withColumn("spread", spread).repartition(parts, "anchor", "spread").sortWithinPartitions("hot", "anchor", "content")
+    found = stored(blocks.mapInArrow(_factor_blocks(width, block_words), SPAN), "spans")
+    spans, windows = found.where("w1 is null").select("anchor", "content", "off", "len"), found.where("w1 is not null")
+    n_windows = windows.count()
+    if n_windows:
         key = ["w1", "w2"]
-        twice = windows.groupBy(*key).agg(F.count("*").alias("n"), F.sum("n").alias("times")).where("times > 1")
-        often = heavy(stored(twice.select(*key, "n"), "repeats"), key, windows.count(), heavy_rows)
-        spans = spans.union(meet(windows.drop("n"), twice.select(*key), key, often, ["anchor", "content", "off"]).select("anchor", "content", "off", F.lit(1).alias("len")))
+        twice = stored(windows.groupBy(*key).agg(F.count("*").alias("n"), F.sum("n").alias("times")).where("times > 1").select(*key, "n"), "repeats")
+        often = heavy(twice, key, n_windows, heavy_rows)
+        spans = spans.union(meet(windows.drop("n"), twice.select(*key), key, often, ["anchor", "content", "off"]).select("anchor", "content", "off", "len"))
     copies = heavy(contents, ["anchor", "content"], total, heavy_rows)
     placed = meet(shared.drop("len"), spans, ["anchor", "content"], copies, place)
     covered = placed.select("dk", "th", (F.col("pos") + F.col("off")).alias("pos"), "len").groupBy("dk", "th").agg(F.collect_set(F.struct("pos", "len")).alias("spans"))
