@@ -10,24 +10,33 @@ Two documents link when ``100 * |A & B| >= threshold * |A | B|`` for their sets
    meet; a document with more than e empty partitions also offers those.  As linked documents share several
    keys, each document leaves out its most common ones (prefix filter over the keys' group sizes), so passages
    that many documents share do not tie them.  Copies in a batch are folded before the shuffle.
-3. Components of that candidate graph are the blocks to search; those above ``block_rows`` are split by salt.
-4. Inside a block T-occurrence search runs over inverted lists: short lists are merged and counted, the longest
-   are only probed by binary search for the survivors (DivideSkip), and the overlap is checked exactly.
-   Queries stop for documents already connected to the block's first document, whose links are all known.
-   For split blocks the documents not linked to the component's first document are searched in every part.
+3. Components of that candidate graph are the blocks to search.  A component above ``block_rows`` is searched by the
+   stars of its candidates instead: documents that share a kept key share its group's first document, so each such
+   document with those around it is a block that loses no link.
+4. Inside a block T-occurrence search runs over inverted lists (DivideSkip): the short lists are merged by a heap that
+   skips what can't reach the overlap, the longest are only probed by binary search for the survivors, and the overlap
+   is checked exactly.  Queries stop for documents already connected to the block's first document.
+   A star above ``block_rows`` is dealt in parts.  Its most central document (that with the most keys in common) is
+   searched in every part; only documents that don't link with it are then searched in all parts.  Parts carry sets
+   of hashes, no texts.  Their cost is unlinked documents times parts: small for near copies of one text.
 5. Components of the links are the classes.
 
 Defined results: null or empty texts have an empty set, link with nothing and are their own class; texts with
-fewer than n words give one shingle; repeated rows give one row each; rows with a null id get a null class;
+fewer than n words give one shingle; repeated rows give one row each; the smallest id names a class, and rows of one
+id are one document; rows with a null id get a null class; ids that aren't integers are told apart by 64-bit hashes;
 an empty table gives an empty result.  Shingles are compared by 64-bit hashes; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.graph import connected_components
 from ..session import ship, stored
@@ -83,9 +92,10 @@ def _signatures(sets: list[np.ndarray], ids: np.ndarray, upper: np.ndarray, thre
     size = np.array([len(s) for s in sets], np.int64)
     own = np.searchsorted(upper, size)
     keys, docs, tags = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for step in (0, 1):
-        cls = own + step
-        take = own > 0 if step == 0 else (size * 100 // threshold > upper[own]) & (size > 0)
+    # a set signs for its own size class and for every class above that a linked set can be in
+    for step in range(int(np.ceil(np.log(100 / threshold) / np.log(GROWTH))) + 2):
+        cls = np.minimum(own + step, len(upper) - 1)
+        take = own > 0 if step == 0 else (size * 100 // threshold > upper[cls - 1]) & (size > 0)
         at = np.flatnonzero(take)
         if not at.size:
             continue
@@ -189,7 +199,7 @@ def _groups(batches):
 
 
 class InvertedLists:
-    """T-occurrence search over a block of sets: inverted lists of positions, short ones merged, long ones probed."""
+    """T-occurrence search over a block of sets: inverted lists of positions, short ones merged by a heap, long ones probed."""
 
     def __init__(self, sets: list[np.ndarray], threshold: int):
         self.t, self.sets = threshold, sets
@@ -201,6 +211,37 @@ class InvertedLists:
         self.token, self.begin = np.unique(flat[order], return_index=True)
         self.end = np.append(self.begin[1:], len(flat))
         self.probe = np.repeat(np.arange(len(self.token)), self.end - self.begin) * max(1, len(sets)) + self.posting
+        self.listed = self.posting.tolist()
+
+    def merge(self, lists: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions on ``need`` of the lists or more, and on how many, by a heap over the lists' heads.
+
+        Heads that can't reach ``need`` are popped together, and their lists go on at the least position that can.
+        """
+        post = self.listed
+        at, stop = self.begin[lists].tolist(), self.end[lists].tolist()
+        heap = [(post[a], i) for i, a in enumerate(at)]
+        heapq.heapify(heap)
+        cand, count = [], []
+        while len(heap) >= need:
+            first, out = heap[0][0], []
+            while heap and heap[0][0] == first:
+                out.append(heapq.heappop(heap)[1])
+            if len(out) >= need:
+                cand.append(first)
+                count.append(len(out))
+                goal = first + 1
+            else:
+                while heap and len(out) < need - 1:
+                    out.append(heapq.heappop(heap)[1])
+                if not heap:
+                    break
+                goal = heap[0][0]
+            for i in out:
+                a = at[i] = bisect_left(post, goal, at[i], stop[i])
+                if a < stop[i]:
+                    heapq.heappush(heap, (post[a], i))
+        return np.array(cand, np.int64), np.array(count, np.int64)
 
     def search(self, query: np.ndarray) -> np.ndarray:
         """Positions of the sets that link with ``query``."""
@@ -216,11 +257,8 @@ class InvertedLists:
         top = int(length.max())
         n_long = min(need - 1, int(need / (0.01 * np.log2(top + 1) + 1)))
         short, long = at[: len(at) - n_long], at[len(at) - n_long :]
-        # one stable sort of the concatenated runs merges the short lists
-        merged = np.sort(np.concatenate([self.posting[self.begin[i] : self.end[i]] for i in short]), kind="stable")
-        first = np.flatnonzero(np.append(True, merged[1:] != merged[:-1])) if len(merged) else np.zeros(0, np.int64)
-        cand, count = merged[first], np.diff(np.append(first, len(merged)))
-        fits = (count >= need - n_long) & (100 * np.minimum(self.size[cand], len(query)) >= self.t * np.maximum(self.size[cand], len(query)))
+        cand, count = self.merge(short, need - n_long)
+        fits = 100 * np.minimum(self.size[cand], len(query)) >= self.t * np.maximum(self.size[cand], len(query))
         cand, count = cand[fits], count[fits]
         while len(cand) and len(long):  # binary probes of the long lists, several lists at once
             step = max(8, (1 << 17) // len(cand))
@@ -234,8 +272,8 @@ class InvertedLists:
         return cand[100 * count >= self.t * (self.size[cand] + len(query) - count)]
 
 
-def link_block(ids: np.ndarray, sets: list[np.ndarray], query_ids: np.ndarray, query_sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
-    """A spanning set of links of a block.  Members are searched for each other, then ``query_sets`` for members."""
+def link_block(ids: np.ndarray, sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
+    """A spanning set of links of a block."""
     index = InvertedLists(sets, threshold)
     parent = list(range(len(ids)))
 
@@ -254,60 +292,95 @@ def link_block(ids: np.ndarray, sets: list[np.ndarray], query_ids: np.ndarray, q
             if x != y:
                 parent[max(x, y)] = min(x, y)
                 out.append((int(ids[i]), int(ids[j])))
-    for q, s in zip(query_ids.tolist(), query_sets, strict=True):
-        seen = set()
-        for j in index.search(s).tolist():
-            if (root := find(j)) not in seen and ids[j] != q:
-                seen.add(root)
-                out.append((q, int(ids[j])))
     return out
 
 
+def probe_block(ids: np.ndarray, sets: list[np.ndarray], query_ids: list[int], query_sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
+    """All links of the queries with the members of a part."""
+    index = InvertedLists(sets, threshold)
+    return [(q, int(ids[j])) for q, s in zip(query_ids, query_sets, strict=True) for j in index.search(s).tolist() if ids[j] != q]
+
+
 def _search(n: int, threshold: int):
-    """Rows sorted by block (comp, salt), members before queries; one block is held at a time."""
+    """Rows sorted by block; one block is held at a time."""
 
     def run(batches):
-        key, ids, sets, qids, qsets = None, [], [], [], []
+        key, ids, sets = None, [], []
 
         def done():
-            links = link_block(np.array(ids, np.int64), sets, np.array(qids, np.int64), qsets, threshold) if ids else []
+            links = link_block(np.array(ids, np.int64), sets, threshold)
             return pa.record_batch([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
         for batch in slices(batches):
             found = shingle_sets(batch.column("text"), n)
-            for comp, salt, query, doc, s in zip(*(batch.column(c).to_pylist() for c in ("comp", "salt", "query", "id")), found, strict=True):
-                if (comp, salt) != key:
-                    if key is not None:
+            for block, doc, s in zip(batch.column("block").to_pylist(), batch.column("id").to_pylist(), found, strict=True):
+                if block != key:
+                    if ids:
+                        yield done()
+                    key, ids, sets = block, [], []
+                ids.append(doc)
+                sets.append(s)
+        if ids:
+            yield done()
+
+    return run
+
+
+def _probe(threshold: int):
+    """Rows sorted by part (head, salt), members before queries; one part and its queries are held at a time."""
+
+    def run(batches):
+        key, ids, sets, qids, qsets = None, [], [], [], []
+
+        def done():
+            links = probe_block(np.array(ids, np.int64), sets, qids, qsets, threshold)
+            return pa.record_batch([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+
+        for batch in slices(batches, "grams"):
+            for head, salt, query, doc, raw in zip(*(batch.column(c).to_pylist() for c in ("head", "salt", "query", "id", "grams")), strict=True):
+                if (head, salt) != key:
+                    if qids:
                         yield done()
-                    key, ids, sets, qids, qsets = (comp, salt), [], [], [], []
+                    key, ids, sets, qids, qsets = (head, salt), [], [], [], []
                 if query:
                     qids.append(doc)
-                    qsets.append(s)
+                    qsets.append(np.frombuffer(raw, U))
                 else:
                     ids.append(doc)
-                    sets.append(s)
-        if key is not None:
+                    sets.append(np.frombuffer(raw, U))
+        if qids:
             yield done()
 
     return run
 
 
-def _beside_pivot(n: int, threshold: int):
-    """Whether a document of a split component links with the component's first document."""
-
+def _hashed_sets(n: int):
     def run(batches):
         for batch in slices(batches):
-            a, b = shingle_sets(batch.column("text"), n), shingle_sets(batch.column("pivot"), n)
-            linked = []
-            for x, y in zip(a, b, strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * both >= threshold * (len(x) + len(y) - both))
-            names = ["comp", "id", "text", "linked"]
-            yield pa.record_batch([batch.column("comp"), batch.column("id"), batch.column("text"), pa.array(linked, pa.bool_())], names)
+            sets = [s.tobytes() for s in shingle_sets(batch.column("text"), n)]
+            yield pa.record_batch([*(batch.column(c) for c in ("head", "salts", "pivot", "id")), pa.array(sets, pa.binary())], ["head", "salts", "pivot", "id", "grams"])
 
     return run
 
 
+def _large_stars(stars: DataFrame, known: DataFrame, n: int, threshold: int, block_rows: int, parts: int) -> DataFrame:
+    """Links of stars (head, id, keys, size) of more than ``block_rows`` documents."""
+    central = stars.groupBy("head").agg(F.max_by("id", F.struct("keys", -F.col("id"))).alias("pivot"), F.ceil(F.count("*") / block_rows).cast("int").alias("salts"))
+    held = stars.select("head", "id").join(central, "head").join(known.hint("shuffle_hash"), "id").select("head", "salts", "pivot", "id", "text")
+    held = stored(held.mapInArrow(_hashed_sets(n), "head long, salts int, pivot long, id long, grams binary"), "stars")
+    member = held.select("head", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("query"), "id", "grams")
+
+    def asked(rows):
+        every = F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
+        todo = member.union(rows.select("head", every.alias("salt"), F.lit(True), "id", "grams"))
+        return todo.repartition(parts, "head", "salt").sortWithinPartitions("head", "salt", "query", "id").mapInArrow(_probe(threshold), "a long, b long")
+
+    first = stored(asked(held.where("id = pivot")), "pivots")
+    beside = first.join(central.select("head", F.col("pivot").alias("a")), "a").select("head", F.col("b").alias("id"))
+    rest = held.where("id <> pivot").join(beside, ["head", "id"], "left_anti")
+    return first.union(asked(rest)) if rest.limit(1).count() else first
+
+
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: int = 90, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(id, n_shingles, component_id)`` per document; ``threshold`` is the least Jaccard similarity in hundredths."""
     ship(texts=True)
@@ -324,32 +397,31 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a linked pair shares `tag` keys at least, so it also shares one that is not among the tag - 1 most common of either
     ranked = groups.where("n < 0").groupBy("b", "tag").agg(F.sort_array(F.collect_list(F.struct("size", "key", "a"))).alias("k"))
     kept = F.greatest(F.size("k") - F.col("tag").bitwiseAND(0xFFFFFFFF).cast("int") + 1, F.lit(0))
-    near = ranked.select(F.explode(F.slice("k", 1, kept)).alias("k"), "b").select("k.a", "b").where("a <> b").distinct()
+    near = ranked.select(F.explode(F.slice("k", 1, kept)).alias("k"), "b").groupBy("k.a", "b").agg(F.count("*").alias("keys"))
     rep = sets.select("b", "rep")
-    edges = (
-        near.join(rep, "b").select("a", F.col("rep").alias("y")).join(rep, F.col("a") == rep.b).select(F.col("rep").alias("x"), "y")
-        .where("x <> y").distinct()
+    met = (
+        near.join(rep, "b").select("a", F.col("rep").alias("y"), "keys").join(rep, F.col("a") == rep.b).select(F.col("rep").alias("x"), "y", "keys")
+        .groupBy("x", "y").agg(F.max("keys").alias("keys"))
     )
-    coarse = connected_components(edges, "x", "y")
+    met = stored(met, "met")
+    coarse = connected_components(met.where("x <> y"), "x", "y")
     sized = coarse.groupBy("component").agg(F.count("*").alias("members"))
-    blocks = stored(coarse.join(sized, "component").select(F.col("node").alias("id"), F.col("component").alias("comp"), "members"), "blocks")
-    member = known.join(blocks.hint("shuffle_hash"), "id").select("id", "text", "comp", "members")
-    small = member.where(F.col("members") <= block_rows).select("comp", F.lit(0).alias("salt"), F.lit(False).alias("query"), "id", "text")
-    todo = small
-    pivots = None
+    blocks = stored(coarse.join(sized, "component").select(F.col("node").alias("id"), F.col("component").alias("block"), "members"), "blocks")
+    small = blocks.where(F.col("members") <= block_rows).select("id", "block")
+    large = None
     if blocks.where(F.col("members") > block_rows).limit(1).count():
-        big = member.where(F.col("members") > block_rows)
-        first = stored(big.where("id = comp").groupBy("comp").agg(F.min("text").alias("pivot"), F.max("members").alias("members")), "pivots")
-        beside = stored(big.drop("members").join(first.select("comp", "pivot"), "comp").mapInArrow(_beside_pivot(n, threshold), "comp long, id long, text string, linked boolean"), "beside")
-        salts = F.ceil(F.col("members") / block_rows).cast("int")
-        spread = beside.join(first.select("comp", salts.alias("salts")), "comp")
-        own = F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")
-        todo = todo.union(spread.select("comp", own.alias("salt"), F.lit(False), "id", "text"))
-        asked = spread.where("not linked").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-        todo = todo.union(asked.where(F.col("salt") != own).select("comp", "salt", F.lit(True), "id", "text"))
-        pivots = beside.where("linked").select(F.col("comp").alias("a"), F.col("id").alias("b"))
-    links = todo.repartition(parts, "comp", "salt").sortWithinPartitions("comp", "salt", "query", "id").mapInArrow(_search(n, threshold), "a long, b long")
-    links = links if pivots is None else links.union(pivots)
+        heads = blocks.where(F.col("members") > block_rows).select(F.col("id").alias("head"))
+        around = met.join(heads, F.col("x") == F.col("head")).select("head", F.col("y").alias("id"), "keys")
+        around = around.union(heads.select("head", "head", F.lit(0).cast("long"))).groupBy("head", "id").agg(F.max("keys").alias("keys"))
+        wide = around.groupBy("head").agg(F.count("*").alias("size")).where("size > 1")
+        stars = stored(around.join(wide, "head"), "around")
+        small = small.union(stars.where(F.col("size") <= block_rows).select("id", "head"))
+        wide = stars.where(F.col("size") > block_rows)
+        if wide.limit(1).count():
+            large = _large_stars(wide, known, n, threshold, block_rows, parts)
+    todo = known.join(small.hint("shuffle_hash"), "id").select("block", "id", "text")
+    links = todo.repartition(parts, "block").sortWithinPartitions("block", "id").mapInArrow(_search(n, threshold), "a long, b long")
+    links = links if large is None else links.union(large)
     fine = connected_components(stored(links, "links"))
     out = sets.join(fine.select(F.col("node").alias("rep"), "component"), "rep", "left")
     labelled = out.select(F.col("b").alias("id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"), "rows")
@@ -367,11 +439,20 @@ def _sizes_only(n: int):
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: int = 90, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """As ``jaccard_classes``, with the rows of null ids too."""
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    """As ``jaccard_classes``, with the rows of null ids too, and for ids of any type."""
     ship(texts=True)
-    lost = src.where("id is null").mapInArrow(_sizes_only(n), "id long, n_shingles long, component_id long")
-    return jaccard_classes(docs, id_col, text_col, n, threshold, block_rows).union(lost)
+    kind = docs.schema[id_col].dataType
+    whole = isinstance(kind, T.IntegralType)
+    named = F.col(id_col).cast("long") if whole else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col))
+    src = docs.select(named.alias("id"), F.col(text_col).alias("text"), F.col(id_col).alias("name"))
+    found = jaccard_classes(src, "id", "text", n, threshold, block_rows)
+    lost = src.where("id is null").select("id", "text").mapInArrow(_sizes_only(n), "id long, n_shingles long, component_id long")
+    if whole:
+        return found.union(lost)
+    found = stored(found, "classes").join(src.where("id is not null").select("id", "name").distinct(), "id")
+    lowest = found.groupBy("component_id").agg(F.min("name").alias("lowest"))
+    found = found.join(lowest, "component_id").select(F.col("name").alias("id"), "n_shingles", F.col("lowest").alias("component_id"))
+    return found.union(lost.select(F.lit(None).cast(kind), "n_shingles", F.lit(None).cast(kind)))
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,6 +84,36 @@ def test_jaccard_edges(spark):
     assert [tuple(r) for r in jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).where("id is null").collect()] == [(None, 2, None)]
 
 
+def test_jaccard_of_sets_of_very_different_sizes(spark):
+    words = ["w%d" % k for k in range(400)]
+    rows = [(i, " ".join(words[:k])) for i, k in enumerate([100, 130, 160, 199, 230, 260, 330, 399])]
+    for t in (50, 60, 70):
+        got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join(spark.createDataFrame(rows[::3], "doc_id long, text string"), n=1, threshold=t).collect()}
+        assert got == brute_jaccard(rows[::3], 1, t)
+
+
+def test_jaccard_string_ids(spark):
+    rows = [(f"id-{i:03d}", t) for i, t in corpus()] + [(None, "a b c d")]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join(df).collect()}
+    assert got.pop(None) == (2, None) and got == brute_jaccard(rows[:-1], 3, 90)
+
+
+def test_jaccard_hot_stars_that_hardly_link(spark):
+    """Near copies of a text that don't link with each other, and chains of them, in parts smaller than the star."""
+    rng, base = random.Random(4), ["w%d" % k for k in range(200)]
+    rows = []
+    for i in range(80):
+        w = list(base)
+        for _ in range(rng.choice((1, 2, 4, 6))):
+            w[rng.randrange(200)] = "x%d" % rng.randrange(10**6)
+        rows.append((1000 - i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for block in (7, 4000):
+        got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join(df, block_rows=block).collect()}
+        assert got == brute_jaccard(rows, 3, 90)
+
+
 def test_partitions_cover_every_difference():
     for t in (60, 80, 90, 95):
         upper = classes(t, 5000)
