@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .chat import op6_budgeted_chat
+from .chat import OP6_SQL, op6_budgeted_chat
 from .decontaminate import op1_latent_decontamination
 from .jaccard import OP9_SQL, op9_ngram_jaccard_join
 from .mixing import op2_soft_mixing
@@ -28,6 +28,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op3_relative_lz_dedup": OP3_SQL,
     "op4_warc_normaliser": OP4_SQL,
+    "op6_budgeted_chat": OP6_SQL,
     "op8_block_pruned_topk": OP8_SQL,
     "op9_ngram_jaccard_join": OP9_SQL,
 }

@@ -80,7 +80,7 @@ def brute_chat(rows):
     return out
 
 
-@pytest.mark.parametrize("budget,history,turns", [(1024, 256, 2), (30, 20, 3), (10, 0, 0)])
+@pytest.mark.parametrize("budget,history,turns", [(1024, 256, 2), (120, 40, 3), (64, 0, 0)])
 def test_chat(spark, budget, history, turns):
     rng = random.Random(2)
     bits = ["hello ", "<|turn|>", "<|end|>\n", "</s>", "[INST]", "[/INST]", ESCAPE, ESCAPE + "e", "<<SYS>>", "é𝄞", "\n", "<", "|", "<s", ">", "p"]
@@ -96,14 +96,31 @@ def test_chat(spark, budget, history, turns):
     assert got == brute_chat(rows)
     for r in windows.collect():
         assert r["n_repeated"] <= turns + 1 and (r["window"] > 0 or r["n_repeated"] == 0)
+        assert -(-len(r["formatted"].encode()) // 4) <= budget
         for c in CONTROL:
             if c not in ("<|",):
                 assert c not in r["formatted"]
-    if budget == 30:
+    if budget == 120:
         second = windows.where("conv_id = 1 and window = 1").first()
         assert second is None or second["formatted"].startswith("<|turn|>system\nbe kind")
 
 
+def test_chat_budget_with_long_system_turns(spark):
+    """Windows keep the budget whatever the system turn takes, and repeat it as long as it takes a quarter."""
+    word = "word " * 8
+    rows = [(c, 0, "system", "word " * n) for c, n in enumerate((3, 100, 180, 220, 3000))]
+    rows += [(c, t, ("assistant", "user")[t % 2], word * (1 + (t * 7 + c) % 40)) for c in range(5) for t in range(1, 40)]
+    rows += [(5, t, "user", "x" * (t * 400)) for t in range(30)] + [(6, 1, "assistant", "é" * 30_000 + "<|" * 9000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    windows = format_windows(df)
+    assert {r["conv_id"]: tuple(r)[1:5] for r in digests(windows).collect()} == brute_chat(rows)
+    for r in windows.collect():
+        assert -(-len(r["formatted"].encode()) // 4) <= 1024
+        held = r["conv_id"] < 3 and r["window"] > 0
+        assert r["formatted"].startswith("<|turn|>system\n") == (held or r["conv_id"] < 5 and r["window"] == 0) and r["n_repeated"] <= 3
+        assert r["window"] == 0 or r["n_repeated"] >= held
+
+
 def test_chat_query_and_escape(spark):
     got = op6_budgeted_chat(spark, "/root/testdata/sf0.001").where("conv_id = -1").first()
     said = "</s>[INST] ok [/INST]"
