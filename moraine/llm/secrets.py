@@ -1,15 +1,19 @@
 """Operator 5: secret scans by rules and a character convolutional network.
 
-Rules give base spans: assignments to secret-like names, access keys and long hexadecimal runs.  Every other candidate
-(a run of 16 or more characters of ``[A-Za-z0-9+/_=-]`` with a digit in it) is scored with its surroundings by a small
-convolutional network written in numpy: character embeddings, one convolution, maxima over the candidate and over its
-context, a logistic output.  It is trained on labelled findings - the candidates of a bounded sample of documents,
-labelled by the rules, and generated findings of public formats - calibrated on findings held out (Platt scaling), and
-cuts at the highest threshold that keeps ``recall`` of the held-out secrets.  Candidates above it become ``model`` spans.
-
-Defined results: null and empty texts have no spans; repeated rows are scanned each; a null id is allowed; texts are
-scanned whole; without any finding in the sample the generated ones alone train the network; extra columns are ignored.
-Spans count code points, the end is exclusive.
+Rules give base spans: assignments to secret-like names, access keys and long hexadecimal runs.  Every candidate, in a
+base span or not (a run of 16 or more characters of ``[A-Za-z0-9+/_=-]`` with a digit in it), is scored with its
+surroundings by a small convolutional network written in numpy: character embeddings, one convolution, maxima over the
+candidate and over its context, a logistic output.  Long candidates are scored in overlapping windows, the highest
+counts.  The network is trained on labelled findings of all documents, a sample bounded by ``max_findings`` a label:
+candidates in base spans are secrets; numbers, dates, words joined by signs, paths and addresses are none; all others
+have no label and aren't learnt from.  As many generated findings of public formats come on top.  The output is
+calibrated on findings held out (Platt scaling) and cut at the highest threshold that keeps ``recall`` of the held-out
+secrets.  Candidates above it become ``model`` spans beside the base ones.
+
+Defined results: null and empty texts have no spans; repeated rows are scanned each; ids of any type, null included, are
+carried as they are; texts are scanned whole; spans at one place go by kind; scores at the threshold count; without any
+labelled finding the generated ones alone train the network; an empty table gives an empty result; extra columns are
+ignored.  Spans count code points, the end is exclusive.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import hash_sample, ship
+from ..session import hash_sample, ship, stored
 from .textkit import slices
 
 KINDS = ("assign", "access", "hex", "model")
@@ -33,9 +37,13 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 ASSIGN_LEAST = 6
-#: Documents, and findings of either label, that the fit reads at most.
-FIT_DOCS, FIT_FINDINGS, RECALL = 10000, 1500, 0.98
-BEFORE, INSIDE, AFTER = 20, 48, 12
+#: Findings of either label that the fit reads at most, and the recall that the threshold keeps.
+FIT_FINDINGS, RECALL = 1500, 0.98
+#: Characters before, inside and after a window; windows that are scored at once.
+BEFORE, INSIDE, AFTER, WINDOWS = 20, 48, 12, 4096
+#: What is no secret: numbers and dates, and words and short numbers joined by signs.
+PLAIN = re.compile(r"[0-9_+/=-]+|[_+/=-]*(?:[A-Za-z]{2,14}|[0-9]{1,4})(?:[_+/=-]+(?:[A-Za-z]{2,14}|[0-9]{1,4}))+[_+/=-]*")
+ADDRESS = re.compile(r"(?:://|www\.|@)\S*$")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -66,15 +74,26 @@ _TABLE = _alphabet()
 CLASSES = 97
 
 
+def label(text: str, start: int, end: int, base: list[tuple[int, int, int]]) -> int | None:
+    """1 for a candidate in a base span, 0 for one that is known to be none, else nothing."""
+    if any(a < end and start < z for a, _, z in base):
+        return 1
+    return 0 if PLAIN.fullmatch(text, start, end) or ADDRESS.search(text, max(0, start - 60), start) else None
+
+
 def encode(text: str, start: int, end: int) -> np.ndarray:
-    """Classes of a candidate and its surroundings at fixed places; the middle of long candidates is left out."""
-    inside = text[start:end]
-    if len(inside) > INSIDE:
-        inside = inside[: INSIDE // 2] + inside[-(INSIDE // 2) :]
-    parts = text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0"), inside.ljust(INSIDE, "\0"), text[end : end + AFTER].ljust(AFTER, "\0")
-    code = np.frombuffer("".join(parts).encode("utf-32-le"), "<u4")
-    out = np.where(code < 128, _TABLE[np.minimum(code, 127)], 96)
-    return np.where(code == 0, 0, out)
+    """Classes of a candidate and its surroundings, a row for each window of the candidate; windows overlap by half."""
+    codes = lambda x: np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<u4")
+    kind = lambda c: np.where(c < 128, _TABLE[np.minimum(c, 127)], 96).astype(np.uint8)
+    inside = kind(codes(text[start:end]))
+    begin = np.unique(np.minimum(np.arange(0, max(1, len(inside) - INSIDE // 2), INSIDE // 2), max(0, len(inside) - INSIDE)))
+    out = np.zeros((len(begin), BEFORE + INSIDE + AFTER), np.uint8)
+    before, after = kind(codes(text[max(0, start - BEFORE) : start])), kind(codes(text[end : end + AFTER]))
+    out[:, BEFORE - len(before) : BEFORE] = before
+    at = begin[:, None] + np.arange(INSIDE)
+    out[:, BEFORE : BEFORE + INSIDE] = np.where(at < len(inside), inside[np.minimum(at, len(inside) - 1)] if len(inside) else 0, 0)
+    out[:, BEFORE + INSIDE : BEFORE + INSIDE + len(after)] = after
+    return out
 
 
 class CharNet:
@@ -182,25 +201,51 @@ def generated(n: int, seed: int = 3) -> tuple[list[tuple[str, int, int]], list[i
     return out, y
 
 
-def fit_net(docs: DataFrame, max_docs: int = FIT_DOCS, max_findings: int = FIT_FINDINGS, recall: float = RECALL) -> CharNet:
-    """Train and calibrate on findings of a bounded, hash-chosen sample of documents and as many generated ones."""
-    telling = F.col("text").rlike("[0-9]{4}|AKIA") & (F.octet_length("text") < 1 << 16)
-    sample = hash_sample(docs.select("doc_id", "text"), "doc_id", max_docs, where=telling).select("text")
-    found: dict[int, list] = {0: [], 1: []}
-    for (text,) in sample.collect():  # at most max_docs texts of 64 KB
-        base = base_spans(text)
-        for a, b in candidates(text):
-            label = int(any(s < b and a < e for s, _, e in base))
-            if len(found[label]) < max_findings:
-                found[label].append((text[max(0, a - BEFORE) : b + AFTER], min(a, BEFORE), min(a, BEFORE) + b - a))
-    more, y = generated(max(1600, len(found[0]) + len(found[1])))
-    rows = found[0] + found[1] + more
-    labels = np.array([0] * len(found[0]) + [1] * len(found[1]) + y, float)
-    x = np.stack([encode(*r) for r in rows])
-    held = np.random.default_rng(13).random(len(x)) < 0.25
+def _findings(most: int):
+    """Labelled candidates with their surroundings; of either label a task gives those with the least hashes."""
+
+    def run(batches):
+        best: dict[int, list] = {0: [], 1: []}
+        for b in slices(batches):
+            for text in b.column("text").to_pylist():
+                if not text:
+                    continue
+                base = base_spans(text)
+                for s, e in candidates(text):
+                    y = label(text, s, e, base)
+                    if y is not None:
+                        e = min(e, s + 4 * INSIDE)  # an example is a few windows of it; scoring takes all
+                        said = text[max(0, s - BEFORE) : e + AFTER]
+                        h = int.from_bytes(hashlib.blake2b(said.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "big")
+                        best[y].append((h, y, said, min(s, BEFORE), min(s, BEFORE) + e - s))
+            for y, rows in best.items():
+                if len(rows) > 2 * most:
+                    best[y] = sorted(set(rows))[:most]
+        rows = [r for x in best.values() for r in sorted(set(x))[:most]]
+        if rows:
+            yield pa.record_batch([pa.array(c) for c in zip(*rows, strict=True)], ["h", "y", "said", "begin", "end"])
+
+    return run
+
+
+def fit_net(docs: DataFrame, max_findings: int = FIT_FINDINGS, recall: float = RECALL) -> CharNet:
+    """Train and calibrate on a hash-chosen sample of the labelled findings of all documents and as many generated ones."""
+    ship(texts=True)
+    found = stored(docs.select("text").mapInArrow(_findings(max_findings), "h long, y long, said string, begin long, end long"), "findings")
+    rows, labels = [], []
+    for y in (0, 1):  # at most max_findings short strings a label
+        got = hash_sample(found.where(F.col("y") == y).dropDuplicates(["h"]), "h", max_findings).select("said", "begin", "end").collect()
+        rows += [tuple(r) for r in got]
+        labels += [y] * len(got)
+    more, y = generated(max(1600, len(rows)))
+    rows, labels = rows + more, np.array(labels + y, float)
+    windows = [encode(*r) for r in rows]
+    of = np.repeat(np.arange(len(rows)), [len(w) for w in windows])
+    x = np.concatenate(windows)
+    held = np.random.default_rng(13).random(len(rows)) < 0.25
     net = CharNet()
-    net.train(x[~held], labels[~held])
-    net.calibrate(x[held], labels[held], recall)
+    net.train(x[~held[of]], labels[of[~held[of]]])
+    net.calibrate(x[held[of]], labels[of[held[of]]], recall)
     return net
 
 
@@ -220,18 +265,29 @@ def _scan(shared):
             n = b.num_rows
             counts, base, spans = np.zeros((4, n), np.int64), [blank] * n, [""] * n
             windows, of = [], []
+            best: dict[tuple[int, int, int], float] = {}
             kept: dict[int, list] = {}
+
+            def score():
+                for key, p in zip(of, net.probability(np.concatenate(windows)), strict=True):  # noqa: B023
+                    best[key] = max(best.get(key, 0.0), p)  # noqa: B023
+
             for i in some.tolist():
                 text = texts[i].as_py()
-                rules = kept[i] = base_spans(text)
+                kept[i] = base_spans(text)
                 for s, e in candidates(text):
-                    if not any(a < e and s < z for a, _, z in rules):
-                        windows.append(encode(text, s, e))
-                        of.append((i, s, e))
-            score = net.probability(np.stack(windows)) if windows else []
+                    rows = encode(text, s, e)
+                    for a in range(0, len(rows), WINDOWS):
+                        windows.append(rows[a : a + WINDOWS])
+                        of += [(i, s, e)] * len(windows[-1])
+                        if len(of) >= WINDOWS:
+                            score()
+                            windows, of = [], []
+            if of:
+                score()
             for i, rules in kept.items():
                 base[i] = hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in rules).encode()).hexdigest()
-            for (i, s, e), p in zip(of, score, strict=True):
+            for (i, s, e), p in best.items():
                 if p >= net.threshold:
                     kept[i].append((s, 3, e))
             for i, rows in kept.items():
