@@ -9,12 +9,14 @@ with n_i words, posteriors p_i, S = sum n_i, and targets T_k: expected domain to
 stay as near to 1 as that allows.  It is solved by distributed projected gradient steps with momentum.  A step needs
 one vector of K totals from the data; a rate follows from the posteriors and the vectors so far, so no rate is stored.
 
-With ``floor`` 1 (the default) no document is dropped: the total grows until the scarcest domain meets its weight.
+With ``floor`` 0 (the default) the total stays and rates are nonnegative; with 1 no document is dropped, and the total
+grows until the scarcest domain meets its weight.
 Copies of a document are floor(rate + u), u uniform in the id's hash, so their expectation is the rate.
 
 Defined results: null and empty texts have no words, weigh nothing and get the rate of their prior posterior;
-repeated rows are separate rows; a null id is allowed; an empty table gives an empty result; domains of targets that
-no labelled row has get probability 0; extra columns are ignored.
+repeated rows are separate rows; ids of any type, null included, are carried; of equally likely domains the first of the
+targets is named; an empty table gives an empty result; domains of targets that no labelled row has get probability 0;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -79,7 +81,7 @@ def _totals(members: DataFrame, of: Callable[[np.ndarray], np.ndarray], k: int)
     return np.array([x or 0.0 for x in parts.agg(*[F.sum(f"t{j}") for j in range(k)]).first()])
 
 
-def solve_rates(members: DataFrame, weights: list[float], floor: float = 1.0, steps: int = STEPS, ridge: float = RIDGE) -> Rates:
+def solve_rates(members: DataFrame, weights: list[float], floor: float = 0.0, steps: int = STEPS, ridge: float = RIDGE) -> Rates:
     """Rates for ``members``, whose columns ``n`` and ``p`` are words and posteriors."""
     k = len(weights)
     want = np.array(weights, float) / sum(weights)
@@ -110,7 +112,7 @@ def with_rates(members: DataFrame, rates: Rates, name: str) -> DataFrame:
     return members.mapInArrow(run, T.StructType([*members.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: str = "lang", floor: float = 1.0, keep: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: str = "lang", floor: float = 0.0, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns, then likeliest domain, words, rate and copies (the last four columns), one row per document."""
     keep = keep or ["doc_id"]
     names = list(targets)

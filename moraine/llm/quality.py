@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..session import fresh, hash_sample
 from .subword import SubwordModel, fit, score_documents
 
-#: Labelled documents per class that the fit reads, and the longest text it takes (bytes): bounds of the fit only.
+#: Defaults of ``per_class`` and ``fit_bytes``.
 FIT_PER_CLASS, FIT_BYTES = 1000, 1 << 16
 
 
@@ -23,7 +23,7 @@ def fold(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = FIT_PER_CLASS, classes: int = 2) -> tuple[list[str], np.ndarray, np.ndarray]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = FIT_PER_CLASS, classes: int = 2, fit_bytes: int = FIT_BYTES) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Texts and labels of a sample bounded per class, chosen by a hash of the id, and the class shares of all rows."""
     spark = docs.sparkSession
     one = (
@@ -37,14 +37,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     prior = np.array([shares.get(c, 0) for c in range(classes)], float)
     if not rows:
         return [], np.zeros(0, int), prior
-    chosen = F.broadcast(spark.createDataFrame(rows, "doc_id long, y int"))  # the same bound
-    found = docs.select("doc_id", "text").where(F.octet_length("text") <= FIT_BYTES).join(chosen, "doc_id")
+    chosen = F.broadcast(spark.createDataFrame(rows, one.schema))  # the same bound
+    found = docs.select("doc_id", "text").where(F.octet_length("text") <= fit_bytes).join(chosen, "doc_id")
     got = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y")).orderBy(F.xxhash64("doc_id", F.lit(1))).collect()
     return [r["text"] for r in got], np.array([r["y"] for r in got], int), prior
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = FIT_PER_CLASS) -> SubwordModel:
-    texts, y, prior = labelled_sample(docs, labels, "quality", per_class)
+def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = FIT_PER_CLASS, fit_bytes: int = FIT_BYTES) -> SubwordModel:
+    texts, y, prior = labelled_sample(docs, labels, "quality", per_class, fit_bytes=fit_bytes)
     if not texts:
         return SubwordModel(np.zeros((4, 2), np.float32), np.zeros(2))
     return fit(texts, y, 2, prior / prior.sum())
