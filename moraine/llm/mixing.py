@@ -36,7 +36,7 @@ from .subword import SubwordModel, fit, score_documents
 #: Weights of the languages in the mixture, and labelled rows per domain that the fit reads.
 TARGETS = {"en": 0.55, "de": 0.15, "es": 0.15, "fr": 0.15}
 FIT_PER_DOMAIN = 400
-STEPS, TOLERANCE, RIDGE = 60, 2e-4, 1e-3
+STEPS, TOLERANCE, RIDGE = 100, 2e-4, 1e-3
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, domain: str, names: list[str], per_domain: int = FIT_PER_DOMAIN) -> SubwordModel:
@@ -46,21 +46,22 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: str, names: list[str
     texts, y, prior = labelled_sample(docs, marked.select("doc_id", (index - 1).cast("int").alias("y")), "y", per_domain, len(names))
     if not texts:
         return SubwordModel(np.zeros((4, len(names)), np.float32), np.zeros(len(names)))
-    return fit(texts, y, len(names), prior / prior.sum(), epochs=4)
+    return fit(texts, y, len(names), prior / prior.sum(), epochs=4, sizes=(3, 4))
 
 
 class Rates:
     """Rates as a function of posteriors: the projected steps along the gradient vectors so far, with momentum."""
 
-    def __init__(self, floor: float, ridge: float, eta: float = 1.0, momentum: float = 0.0):
-        self.floor, self.ridge, self.eta, self.momentum, self.slopes = floor, ridge, eta, momentum, []
+    def __init__(self, floor: float, ridge: float, eta: float = 1.0):
+        self.floor, self.ridge, self.eta, self.slopes = floor, ridge, eta, []
 
     def __call__(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rate, point at which the next gradient is taken) of each row."""
-        r = y = np.ones(len(p))
+        r, y, t = np.ones(len(p)), np.ones(len(p)), 1.0
         for g in self.slopes:
             new = np.maximum(self.floor, y - self.eta * (p @ g + self.ridge * (y - 1)))
-            r, y = new, new + self.momentum * (new - r)
+            t, last = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
+            r, y = new, new + (last - 1) / t * (new - r)
         return r, y
 
 
@@ -90,15 +91,13 @@ def solve_rates(members: DataFrame, weights: list[float], floor: float = 0.0, st
     rates = Rates(floor, ridge)
     if total <= 0:
         return rates
-    # extreme curvatures of the problem give the step and the momentum of the accelerated method
-    curve = np.linalg.eigvalsh(first[k:].reshape(k, k) / total)
-    most, least = np.sqrt(curve[-1] + ridge), np.sqrt(max(curve[0], 0.0) + ridge)
-    rates.eta, rates.momentum = 1 / most**2, (most - least) / (most + least)
+    # the greatest curvature of the problem gives the step of the accelerated method
+    rates.eta = 1 / (np.linalg.eigvalsh(first[k:].reshape(k, k) / total)[-1] + ridge)
     share = now / total
     target = want * (max([1.0, *(share[want > 0] / want[want > 0] * floor)]) if floor > 0 else 1.0)
     for _ in range(steps):
         off = _totals(members, lambda p: p * rates(p)[1][:, None], k) / total - target
-        if np.abs(off).max() < TOLERANCE or (rates.slopes and np.abs(off - rates.slopes[-1]).max() < TOLERANCE / 10):
+        if rates.slopes and np.abs(off - rates.slopes[-1]).max() < TOLERANCE / 10:
             break
         rates.slopes.append(off)
     return rates

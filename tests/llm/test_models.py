@@ -172,8 +172,8 @@ def test_rates_are_the_least_squares_solution(spark):
                 break
         rows = spark.createDataFrame([(int(x), [float(v) for v in q]) for x, q in zip(n, p, strict=True)], "n long, p array<double>")
         got, _ = solve_rates(rows, want.tolist(), floor=floor)(p)
-        assert cost(r) <= cost(got) + 1e-9 and cost(got) <= cost(r) * 1.12 + 1e-7
-        assert (got >= floor).all() and np.allclose((got * n) @ p / n.sum(), (r * n) @ p / n.sum(), atol=2e-3)
+        assert cost(r) <= cost(got) + 1e-9 and cost(got) <= cost(r) * 1.01 + 1e-7
+        assert (got >= floor).all() and np.allclose((got * n) @ p / n.sum(), (r * n) @ p / n.sum(), atol=5e-3)
 
 
 def test_mixing(spark):
