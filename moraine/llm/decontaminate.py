@@ -1,26 +1,29 @@
 """Operator 1: benchmark decontamination by latent semantic retrieval.
 
-Passages of ``width`` words every ``stride`` words are TF-IDF vectors over hashed words, without case and ASCII punctuation.
+Passages of ``width`` words are TF-IDF vectors over hashed words, without case and ASCII punctuation.
 
 1. Document frequencies over all passages of the corpus: one fixed table of ``BUCKETS`` counts per task, summed.
-2. Distributed randomised SVD of the TF-IDF matrix of all passages, restricted to the columns of benchmark words
-   (other columns cannot change an inner product with an item), with the benchmark's own rows on top at a weight.
-   Each task returns its part of the sketch A'(A W), of columns x rank numbers.
-3. Candidates: passages whose cosine with an item in latent space is ``cosine`` or more.  Norms are those of the
-   whole vectors, so a passage with other words is not drawn near.
-   Besides, every region of a document that can pass step 4 at all: of an item's words the rarest are looked up by
-   hash, as many as an accepted span may lack and ``least`` more, and a region needs ``least`` of them within twice the
-   item's length.  Frequencies only order the words here, so this path loses nothing for items whose words became
-   common with the copies of a document, for items longer than a passage, or for paraphrases far from every passage.
+2. Distributed randomised SVD of the TF-IDF matrix of all passages and the benchmark's, in ``COLUMNS`` hashed columns:
+   each task returns its part of the sketch A'(A W), of columns x (``rank`` + ``spare``) numbers.  The basis has ``rank``
+   vectors, fewer than the benchmark has passages, so words that occur together are drawn together.
+3. Candidates: passages (every ``stride`` words) whose cosine with a passage of an item in latent space, where both have
+   length 1, is ``cosine`` or more, and which hold ``loose`` of its words.  Long items are cut in passages too.
+   Besides, every region of a document that can pass the first rule of step 4 at all: of an item's words the rarest are
+   looked up by hash, as many as an accepted span may lack and ``least`` more, and a region needs ``least`` of them
+   within twice the item's length.  Frequencies only order the words here, so this path loses nothing, however common
+   an item's words became with the copies of a document, and however far a text is from every passage.
 4. Longest common subsequence of the words of item and candidate (a passage with its neighbourhood) over the item's
-   words, in a span at most twice the item's length: ``overlap`` or more.  A paraphrase below ``exact`` also needs
-   its answer: the item's last ``answer`` words share a common subsequence of half their number with the span.
+   words, in a span at most twice the item's length.  A hit has ``overlap`` or more and, below ``exact``, its answer: the
+   item's last ``answer`` words share a common subsequence of half their number with the span.  A paraphrase further off
+   is a hit if latent space found it, it has ``loose`` or more, and all but one of the answer's words are in order within
+   twice the answer's length.
    A hit's cosine is that of the latent candidate, or without one that of item and span as TF-IDF vectors.
 
-Benchmark items are loaded on the driver in blocks of ``ITEMS`` (a stated bound); further blocks are further passes.
-Defined results: null or empty texts and items match nothing; items of fewer than ``min_words`` words are skipped
-(too short to tell); repeated rows each give their hits; a null id gives hits with a null id; extra columns are ignored;
-an empty table on either side gives an empty result.
+Benchmark items are loaded on the driver in blocks of ``ITEMS`` passages (or one item); further blocks are further passes.
+Defined results: null or empty texts and items match nothing; items of fewer than ``min_words`` words count verbatim
+only, those of fewer than ``LEAST_WORDS`` not at all (too short to tell); repeated rows each give their hits, equal items
+of one id give one; of equally good spans the first counts; ids of any type, null included, are carried as they are;
+extra columns are ignored; an empty table on either side gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,15 +33,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import ship
 from .textkit import Words, mix, slices
 
 U = np.uint64
-BUCKETS, CHUNK = 1 << 18, 1 << 13
-WIDTH, STRIDE, SPARE, ITEMS = 32, 16, 56, 1000
-#: Words in a larger share of the passages carry no weight in latent space.
-MAX_SHARE = 0.005
+BUCKETS, CHUNK, COLUMNS = 1 << 18, 1 << 13, 1 << 14
+WIDTH, STRIDE, RANK, SPARE, ITEMS, LEAST_WORDS = 32, 16, 64, 16, 1000, 4
 
 
 def _words(texts: pa.Array) -> Words:
@@ -103,44 +106,28 @@ def _summed(parts: DataFrame, kind: str) -> dict[int, np.ndarray]:
     return {r["part"]: np.frombuffer(r["sums"], kind) for r in rows}
 
 
-class _Space:
-    """Columns of the benchmark's words, idf of all buckets, the latent basis and the items in it."""
+def _vectors(w: Words, begin: np.ndarray, end: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit TF-IDF rows of passages as (row, column, value)."""
+    row, term, tf = _terms(_bucket(w.hash), begin, end)
+    value = (1 + np.log(tf)).astype(np.float32) * idf[term]
+    norm = np.sqrt(np.bincount(row, value**2, len(begin)))
+    return row, term & (COLUMNS - 1), (value / np.maximum(norm[row], 1e-9)).astype(np.float32)
+
+
+class _Items:
+    """Words of the items, and their passages as TF-IDF rows."""
 
-    def __init__(self, texts: list[str], df: np.ndarray, passages: int, min_words: int):
+    def __init__(self, texts: list[str], idf: np.ndarray, width: int, stride: int, min_words: int):
         w = _words(pa.array(texts, pa.string()))
         self.words = [w.hash[a:b] for a, b in zip(w.off[:-1], w.off[1:], strict=True)]
-        self.use = np.array([len(x) >= min_words for x in self.words], bool)
-        self.plain = (np.log((passages + 1) / (df + 1.0)) + 0.1).astype(np.float32)
-        self.idf = self.plain.copy()
-        self.idf[df > MAX_SHARE * passages + 2] = 0  # words of very many passages tell nothing
-        bucket = _bucket(w.hash)
-        self.column = np.full(BUCKETS, -1, np.int32)
-        seen = np.unique(bucket[self.idf[bucket] > 0])
-        self.column[seen] = np.arange(len(seen))
-        self.items = np.zeros((len(texts), len(seen)), np.float32)
-        row, term, tf = _terms(bucket, w.off[:-1], w.off[1:])
-        held = self.column[term] >= 0
-        row, term, tf = row[held], term[held], tf[held]
-        self.items[row, self.column[term]] = (1 + np.log(tf)) * self.idf[term]
-        self.items /= np.maximum(np.linalg.norm(self.items, axis=1, keepdims=True), 1e-9)
-
-
-def _vectors(b: pa.RecordBatch, column: np.ndarray, idf: np.ndarray, width: int, stride: int, least: float):
-    """Unit TF-IDF rows of the passages whose weight on benchmark words is ``least`` or more, as (row, column, value)."""
-    w = _words(b.column("text"))
-    doc, begin, end = _passages(w, width, stride)
-    row, term, tf = _terms(_bucket(w.hash), begin, end)
-    told = idf[term] > 0
-    row, term, tf = row[told], term[told], tf[told]
-    value = (1 + np.log(tf)) * idf[term]
-    norm = np.sqrt(np.bincount(row, value**2, len(begin)))
-    mine = column[term] >= 0
-    row, col, value = row[mine], column[term[mine]], value[mine] / np.maximum(norm[row[mine]], 1e-9)
-    # the cosine with any item is at most the norm of the part on benchmark words
-    keep = np.bincount(row, value**2, len(begin)) >= least**2
-    pick = keep[row]
-    renumber = np.cumsum(keep) - 1
-    return w, doc[keep], begin[keep], end[keep], renumber[row[pick]], col[pick], value[pick].astype(np.float32)
+        self.use = np.array([len(x) >= LEAST_WORDS for x in self.words], bool)
+        self.verbatim = np.array([len(x) < min_words for x in self.words], bool)
+        self.owner, begin, end = _passages(w, width, stride)
+        row, col, value = _vectors(w, begin, end, idf)
+        self.rows = np.zeros((len(begin), COLUMNS), np.float32)
+        np.add.at(self.rows, (row, col), value)
+        self.holds = np.packbits(self.rows > 0, axis=1)
+        self.size = np.bincount(row, minlength=len(begin))
 
 
 def _times(row: np.ndarray, col: np.ndarray, value: np.ndarray, n: int, matrix: np.ndarray) -> np.ndarray:
@@ -155,26 +142,53 @@ def _times(row: np.ndarray, col: np.ndarray, value: np.ndarray, n: int, matrix:
     return out
 
 
-def _sketch(shared, width: int, stride: int, least: float):
+def _sketch(shared, width: int):
     def run(batches):
-        column, idf, test = shared.value
+        idf, test = shared.value
         got = np.zeros(test.shape, np.float32)
         some = False
         for b in slices(batches):
-            _, doc, _, _, row, col, value = _vectors(b, column, idf, width, stride, least)
-            if not len(doc):
+            w = _words(b.column("text"))
+            _, begin, end = _passages(w, width, width)
+            if not len(begin):
                 continue
             some = True
-            y = _times(row, col, value, len(doc), test)
+            row, col, value = _vectors(w, begin, end, idf)
+            y = _times(row, col, value, len(begin), test)
             order = np.argsort(col, kind="stable")
-            got += _times(col[order], row[order], value[order], test.shape[0], y)
+            got += _times(col[order], row[order], value[order], len(test), y)
         if some:
-            used = np.flatnonzero(got.any(axis=1))
-            yield pa.record_batch([pa.array(used.astype(np.int32)), pa.array([x.tobytes() for x in got[used]], pa.binary())], ["part", "sums"])
+            yield pa.record_batch([pa.array(np.arange(len(got), dtype=np.int32)), pa.array([x.tobytes() for x in got], pa.binary())], ["part", "sums"])
 
     return run
 
 
+def latent(rows: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Projected rows, scaled to length 1."""
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9) if len(rows) else rows.reshape(0, basis.shape[1])
+
+
+def near_passages(passages: np.ndarray, terms: tuple[np.ndarray, np.ndarray], items: _Items, places: np.ndarray, cosine: float, loose: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(passage, passage of an item, cosine) of the candidates; ``terms`` are row and column of the passages' words."""
+    row, col = terms
+    first = np.searchsorted(row, np.arange(len(passages) + 1))
+    out = []
+    for a in range(0, len(places), 1024):
+        near = passages @ places[a : a + 1024].T
+        p, i = np.nonzero(near >= cosine)
+        got = near[p, i]
+        i += a
+        for z in range(0, len(p), 1 << 15):
+            q, j = p[z : z + (1 << 15)], i[z : z + (1 << 15)]
+            many = first[q + 1] - first[q]
+            of = np.repeat(np.arange(len(q)), many)
+            c = col[first[q][of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)]
+            both = np.bincount(of, (items.holds[j[of], c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1, len(q))
+            keep = both >= loose * items.size[j]
+            out.append((q[keep], j[keep], got[z : z + (1 << 15)][keep]))
+    return tuple(np.concatenate([np.zeros(0, t), *x]) for t, x in zip((np.int64, np.int64, np.float32), zip(*out, strict=True) if out else ((), (), ()), strict=True))
+
+
 def common_subsequence(item: np.ndarray, text: np.ndarray) -> int:
     """Length of the longest common subsequence of two word sequences, a bit-parallel row at a time."""
     masks: dict[int, int] = {}
@@ -201,10 +215,10 @@ def _best_span(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def _rarest(words: list[np.ndarray], use: np.ndarray, df: np.ndarray, overlap: float) -> tuple[np.ndarray, ...]:
+def _rarest(words: list[np.ndarray], use: np.ndarray, verbatim: np.ndarray, df: np.ndarray, overlap: float) -> tuple[np.ndarray, ...]:
     """The rarest words of every item, as arrays for ``_regions``."""
     size = np.array([len(x) for x in words], np.int64)
-    need = np.ceil(overlap * size).astype(np.int64)
+    need = np.where(verbatim, size, np.ceil(overlap * size).astype(np.int64))
     least = np.clip(size // 8, 1, np.maximum(need, 1))
     few = [x[np.argsort(df[_bucket(x)], kind="stable")[: n - m + k]] if u else x[:0] for x, n, m, k, u in zip(words, size, need, least, use, strict=True)]
     few = [np.unique(x) for x in few]
@@ -249,97 +263,120 @@ def plain_cosine(x: np.ndarray, y: np.ndarray, idf: np.ndarray) -> float:
     return float(min(1.0, (p[i] * q[j]).sum() / max(np.sqrt((p * p).sum() * (q * q).sum()), 1e-9)))
 
 
-def _search(shared, width: int, stride: int, cosine: float, overlap: float, exact: float, answer: int):
+def _search(shared, width: int, stride: int, cosine: float, overlap: float, exact: float, loose: float, answer: int, id_type: pa.DataType):
     def run(batches):
-        column, idf, plain, basis, latent, words, use, rare, ids = shared.value
-        need = rare[1]
+        idf, basis, items, places, rare, ids = shared.value
+        words, need = items.words, rare[1]
         sets = [set(x.tolist()) for x in words]
 
-        def found(i, text):
+        def found(i, text, semantic):
             """(share of the item, span) where the text holds the item."""
             item = words[i]
-            n, a, z = _best_span(item, text)
-            if n < overlap * len(item):
+            if items.verbatim[i]:
+                for a in np.flatnonzero(text[: max(0, len(text) - len(item) + 1)] == item[0]).tolist():
+                    if (text[a : a + len(item)] == item).all():
+                        return 1.0, text[a : a + len(item)]
                 return None
-            if n < exact * len(item) and 2 * common_subsequence(item[-answer:], text[a:z]) < min(answer, len(item)):
+            n, a, z = _best_span(item, text)
+            if n < (loose if semantic else overlap) * len(item):
                 return None
+            if n < exact * len(item):
+                told = min(answer, len(item))
+                if 2 * common_subsequence(item[-answer:], text[a:z]) < told:
+                    return None
+                if n < overlap * len(item) and _best_span(item[-answer:], text[a:z])[0] < told - 1:
+                    return None
             return n / len(item), text[a:z]
 
         for b in slices(batches):
-            w, doc, begin, end, row, col, value = _vectors(b, column, idf, width, stride, cosine)
+            w = _words(b.column("text"))
+            doc, begin, end = _passages(w, width, stride)
             hits: dict[tuple[int, int], tuple[float, float]] = {}
             if len(doc):
-                near = _times(row, col, value, len(doc), basis) @ latent.T
-                for p, i in np.argwhere((near >= cosine) & use[None, :]).tolist():
-                    item, key = words[i], (int(doc[p]), i)
-                    if hits.get(key, (0, 0))[1] >= exact:
+                row, col, value = _vectors(w, begin, end, idf)
+                passages = latent(_times(row, col, value, len(doc), basis), basis)
+                held: dict[int, set] = {}
+                for p, j, near in zip(*(x.tolist() for x in near_passages(passages, (row, col), items, places, cosine, loose)), strict=True):
+                    i, d = int(items.owner[j]), int(doc[p])
+                    key = (d, i)
+                    if not items.use[i] or items.verbatim[i] or hits.get(key, (0, 0))[1] >= exact:
                         continue
-                    lo = max(w.off[doc[p]], begin[p] - 2 * len(item))
-                    text = w.hash[lo : min(w.off[doc[p] + 1], end[p] + 2 * len(item))]
-                    got = found(i, text)
+                    item = words[i]
+                    if d not in held:
+                        held[d] = set(w.hash[w.off[d] : w.off[d + 1]].tolist())
+                    if 2 * sum(map(held[d].__contains__, item[-answer:].tolist())) < min(answer, len(item)) and sum(map(held[d].__contains__, item.tolist())) < exact * len(item):
+                        continue  # neither the answer nor most of the item is anywhere in the document
+                    lo = max(w.off[d], begin[p] - 2 * len(item))
+                    got = found(i, w.hash[lo : min(w.off[d + 1], end[p] + 2 * len(item))], True)
                     if got:
-                        hits[key] = max(hits.get(key, (0.0, 0.0)), (float(near[p, i]), got[0]), key=lambda x: x[1])
+                        hits[key] = max(hits.get(key, (0.0, 0.0)), (float(near), got[0]), key=lambda x: x[1])
             for d, i, lo, hi in zip(*(x.tolist() for x in _regions(w, rare)), strict=True):
                 text = w.hash[lo:hi]
                 if hits.get((d, i), (0, 0))[1] >= exact or sum(map(sets[i].__contains__, text.tolist())) < need[i]:
                     continue
-                got = found(i, text)
+                got = found(i, text, False)
                 if got and got[0] > hits.get((d, i), (0, 0))[1]:
-                    hits[d, i] = (plain_cosine(words[i], got[1], plain), got[0])
+                    hits[d, i] = (plain_cosine(words[i], got[1], idf), got[0])
             at = pa.array([d for d, _ in hits], pa.int64())
-            cols = [b.column("doc_id").take(at), pa.array([ids[i] for _, i in hits], pa.int64())]
+            cols = [b.column("doc_id").take(at), pa.array([ids[i] for _, i in hits], id_type)]
             cols += [pa.array([x[k] for x in hits.values()], pa.float64()) for k in (0, 1)]
             yield pa.record_batch(cols, ["doc_id", "item_id", "cosine", "overlap"])
 
     return run
 
 
-def leading(items: np.ndarray, sketch: np.ndarray, test: np.ndarray) -> np.ndarray:
-    """Right singular vectors of [benchmark rows, at a weight that lets them lead; passages] from its one-pass sketch.
+def leading(items: np.ndarray, sketch: np.ndarray, test: np.ndarray, rank: int) -> np.ndarray:
+    """Right singular vectors of [benchmark rows; passages] from the one-pass sketch of the passages.
 
     Nystrom form of the randomised SVD: with Y = C W for C = M'M, C is close to Y (W'Y)^-1 Y'.
     """
-    own = items.T @ (items @ test)
-    y = sketch + own * (1 + 100 * np.linalg.norm(sketch) / max(np.linalg.norm(own), 1e-9))
-    shift = 1e-9 * np.linalg.norm(y) + 1e-12
+    y = sketch + items.T @ (items @ test)
+    shift = 1e-6 * np.linalg.norm(y) + 1e-12
     y = y + shift * test
     inner = test.T @ y
     lower = np.linalg.cholesky((inner + inner.T) / 2 + shift * np.eye(len(inner)))
     u, s, _ = np.linalg.svd(np.linalg.solve(lower, y.T).T, full_matrices=False)
-    return np.ascontiguousarray(u[:, s**2 > 2 * shift] if (s**2 > 2 * shift).any() else u[:, :1], dtype=np.float32)
+    kept = max(1, min(rank, int((s**2 > 4 * shift).sum())))
+    return np.ascontiguousarray(u[:, :kept], dtype=np.float32)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, stride: int = STRIDE, spare: int = SPARE, cosine: float = 0.4, overlap: float = 0.6, exact: float = 0.8, answer: int = 6, min_words: int = 8) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, stride: int = STRIDE, rank: int = RANK, spare: int = SPARE, cosine: float = 0.55, overlap: float = 0.6, exact: float = 0.8, loose: float = 0.35, answer: int = 6, min_words: int = 8) -> DataFrame:
     """``(doc_id, item_id, cosine, overlap)`` per document and benchmark item that it holds."""
     ship(texts=True)
     spark = docs.sparkSession
     src = docs.select("doc_id", "text").where("text is not null")
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, cosine double, overlap double"
-    df = _summed(src.select("text").mapInArrow(_frequencies(width, stride), "part int, sums binary"), "<i8")
+    whole = isinstance(items.schema["item_id"].dataType, T.IntegralType)
+    known = items.select(F.col("item_id").cast("long") if whole else "item_id", F.col("text").cast("string")).where("text is not null").distinct()
+    id_type = known.schema["item_id"].dataType
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {id_type.simpleString()}, cosine double, overlap double"
+    df = _summed(src.select("text").mapInArrow(_frequencies(width, width), "part int, sums binary"), "<i8")
     passages = int(df[-1][0]) if df else 0
     counts = np.concatenate([df[k] for k in sorted(df) if k >= 0]) if df else np.zeros(BUCKETS, np.int64)
-    known = items.select(F.col("item_id").cast("long"), F.col("text")).where("text is not null and item_id is not null").distinct()
-    block, out, rows = [], None, known.orderBy("item_id", "text").toLocalIterator()
+    idf = (np.log((passages + 1) / (counts + 1.0)) + 0.1).astype(np.float32)
 
     def search(block):
-        space = _Space([r["text"] for r in block], counts, passages, min_words)
-        columns = space.items.shape[1]
-        k = min(len(block) + spare, columns)
-        test = np.linalg.qr(np.random.default_rng(11).normal(size=(columns, k)))[0].astype(np.float32)
-        shared = spark.sparkContext.broadcast((space.column, space.idf, test))  # fixed tables and ITEMS items' words at most
+        found = _Items([r["text"] for r in block], idf, width, stride, min_words)
+        n = max(1, min(rank, len(found.rows) - 1))
+        test = np.linalg.qr(np.random.default_rng(11).normal(size=(COLUMNS, n + spare)))[0].astype(np.float32)
+        shared = spark.sparkContext.broadcast((idf, test))  # tables of a fixed size
         sketch = np.zeros(test.shape)
-        for j, x in _summed(src.select("text").mapInArrow(_sketch(shared, width, stride, cosine), "part int, sums binary"), "<f4").items():
+        for j, x in _summed(src.select("text").mapInArrow(_sketch(shared, width), "part int, sums binary"), "<f4").items():
             sketch[j] = x
-        basis = leading(space.items, sketch, test.astype(float))
-        rare = _rarest(space.words, space.use, counts, overlap)
-        ids = [r["item_id"] for r in block]
-        ready = spark.sparkContext.broadcast((space.column, space.idf, space.plain, basis, space.items @ basis, space.words, space.use, rare, ids))
-        return src.mapInArrow(_search(ready, width, stride, cosine, overlap, exact, answer), schema)
-
-    for r in rows:
+        basis = leading(found.rows, sketch, test.astype(float), n)
+        places = latent(found.rows @ basis, basis)
+        del found.rows
+        rare = _rarest(found.words, found.use, found.verbatim, counts, overlap)
+        # fixed tables, and of ITEMS passages (or one item) the words, bits and latent rows
+        ready = spark.sparkContext.broadcast((idf, basis, found, places, rare, [r["item_id"] for r in block]))
+        return src.mapInArrow(_search(ready, width, stride, cosine, overlap, exact, loose, answer, to_arrow_type(id_type)), schema)
+
+    block, size, out = [], 0, None
+    for r in known.orderBy("item_id", "text").toLocalIterator():
+        many = len(r["text"].split()) // stride + 1
+        if block and size + many > ITEMS:
+            out, block, size = search(block) if out is None else out.union(search(block)), [], 0
         block.append(r)
-        if len(block) == ITEMS:
-            out, block = search(block) if out is None else out.union(search(block)), []
+        size += many
     if block:
         out = search(block) if out is None else out.union(search(block))
     return spark.createDataFrame([], schema) if out is None else out
