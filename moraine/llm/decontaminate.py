@@ -41,7 +41,7 @@ from .textkit import Words, mix, slices
 
 U = np.uint64
 BUCKETS, CHUNK, COLUMNS = 1 << 18, 1 << 13, 1 << 14
-WIDTH, STRIDE, RANK, SPARE, ITEMS, LEAST_WORDS = 32, 16, 64, 16, 1000, 4
+WIDTH, STRIDE, RANK, SPARE, ITEMS, LEAST_WORDS, STEP = 32, 16, 64, 8, 1000, 4, 64
 
 
 def _words(texts: pa.Array) -> Words:
@@ -126,7 +126,7 @@ class _Items:
         row, col, value = _vectors(w, begin, end, idf)
         self.rows = np.zeros((len(begin), COLUMNS), np.float32)
         np.add.at(self.rows, (row, col), value)
-        self.holds = np.packbits(self.rows > 0, axis=1)
+        self.holds = self.rows.ravel() > 0
         self.size = np.bincount(row, minlength=len(begin))
 
 
@@ -135,10 +135,12 @@ def _times(row: np.ndarray, col: np.ndarray, value: np.ndarray, n: int, matrix:
     out = np.zeros((n, matrix.shape[1]), np.float32)
     if len(row):
         first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-        for a in range(0, len(first), 512):
+        for a in range(0, len(first), STEP):  # rows whose products fit a core's cache
             lo = first[a]
-            hi = first[a + 512] if a + 512 < len(first) else len(row)
-            out[row[first[a : a + 512]]] = np.add.reduceat(matrix[col[lo:hi]] * value[lo:hi, None], first[a : a + 512] - lo)
+            hi = first[a + STEP] if a + STEP < len(first) else len(row)
+            part = matrix.take(col[lo:hi], 0)
+            part *= value[lo:hi, None]
+            out[row[first[a : a + STEP]]] = np.add.reduceat(part, first[a : a + STEP] - lo)
     return out
 
 
@@ -171,21 +173,20 @@ def latent(rows: np.ndarray, basis: np.ndarray) -> np.ndarray:
 def near_passages(passages: np.ndarray, terms: tuple[np.ndarray, np.ndarray], items: _Items, places: np.ndarray, cosine: float, loose: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(passage, passage of an item, cosine) of the candidates; ``terms`` are row and column of the passages' words."""
     row, col = terms
-    first = np.searchsorted(row, np.arange(len(passages) + 1))
-    out = []
+    first = np.searchsorted(row, np.arange(len(passages) + 1)).astype(np.int32)
+    col, many, out = col.astype(np.int32), np.diff(first), []
     for a in range(0, len(places), 1024):
         near = passages @ places[a : a + 1024].T
         p, i = np.nonzero(near >= cosine)
         got = near[p, i]
         i += a
-        for z in range(0, len(p), 1 << 15):
-            q, j = p[z : z + (1 << 15)], i[z : z + (1 << 15)]
-            many = first[q + 1] - first[q]
-            of = np.repeat(np.arange(len(q)), many)
-            c = col[first[q][of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)]
-            both = np.bincount(of, (items.holds[j[of], c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1, len(q))
+        for z in range(0, len(p), 1 << 13):
+            q, j = p[z : z + (1 << 13)], i[z : z + (1 << 13)]
+            begin = np.cumsum(many[q], dtype=np.int32) - many[q]
+            at = np.arange(begin[-1] + many[q[-1]], dtype=np.int32) + np.repeat(first[q] - begin, many[q])
+            both = np.add.reduceat(items.holds[np.repeat(j * COLUMNS, many[q]) + col[at]], begin, dtype=np.int32)
             keep = both >= loose * items.size[j]
-            out.append((q[keep], j[keep], got[z : z + (1 << 15)][keep]))
+            out.append((q[keep], j[keep], got[z : z + (1 << 13)][keep]))
     return tuple(np.concatenate([np.zeros(0, t), *x]) for t, x in zip((np.int64, np.int64, np.float32), zip(*out, strict=True) if out else ((), (), ()), strict=True))
 
 
@@ -204,14 +205,21 @@ def common_subsequence(item: np.ndarray, text: np.ndarray) -> int:
     return len(item) - v.bit_count()
 
 
-def _best_span(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
-    """(common words, begin, end) of the best span of at most twice the item's words."""
+def _best_span(item: np.ndarray, text: np.ndarray, least: float = 1) -> tuple[int, int, int]:
+    """(common words, begin, end) of the first best span of at most twice the item's words, with ``least`` in common."""
     span = 2 * len(item)
+    begin = np.arange(0, max(1, len(text) - span // 2), max(1, len(item) // 2))
+    end = np.minimum(begin + span, len(text))
+    sorted_item = np.sort(item)
+    held = np.append(0, np.cumsum(sorted_item[np.minimum(np.searchsorted(sorted_item, text), len(item) - 1)] == text))
+    bound = held[end] - held[begin]  # no span has more in common than words of the item
     best = (0, 0, 0)
-    for a in range(0, max(1, len(text) - span // 2), max(1, len(item) // 2)):
-        n = common_subsequence(item, text[a : a + span])
-        if n > best[0]:
-            best = (n, a, min(len(text), a + span))
+    for k in np.argsort(-bound, kind="stable").tolist():
+        if bound[k] < max(least, best[0]):
+            break
+        n = common_subsequence(item, text[begin[k] : end[k]])
+        if n > best[0] or n == best[0] and n and begin[k] < best[1]:
+            best = (n, int(begin[k]), int(end[k]))
     return best
 
 
@@ -268,55 +276,65 @@ def _search(shared, width: int, stride: int, cosine: float, overlap: float, exac
         idf, basis, items, places, rare, ids = shared.value
         words, need = items.words, rare[1]
         sets = [set(x.tolist()) for x in words]
+        answers = [x[-answer:] for x in words]
+        told = [set(x.tolist()) for x in answers]
 
-        def found(i, text, semantic):
-            """(share of the item, span) where the text holds the item."""
+        def held_by(i, text):
+            """(share of the item, span) where the text holds the item itself."""
             item = words[i]
             if items.verbatim[i]:
                 for a in np.flatnonzero(text[: max(0, len(text) - len(item) + 1)] == item[0]).tolist():
                     if (text[a : a + len(item)] == item).all():
                         return 1.0, text[a : a + len(item)]
                 return None
-            n, a, z = _best_span(item, text)
-            if n < (loose if semantic else overlap) * len(item):
+            n, a, z = _best_span(item, text, overlap * len(item))
+            if n < overlap * len(item) or n < exact * len(item) and 2 * common_subsequence(answers[i], text[a:z]) < len(answers[i]):
                 return None
-            if n < exact * len(item):
-                told = min(answer, len(item))
-                if 2 * common_subsequence(item[-answer:], text[a:z]) < told:
-                    return None
-                if n < overlap * len(item) and _best_span(item[-answer:], text[a:z])[0] < told - 1:
-                    return None
             return n / len(item), text[a:z]
 
+        def told_by(i, text):
+            """The same where the text has the answer and less of the item."""
+            n, a, z = _best_span(words[i], text, loose * len(words[i]))
+            if n < loose * len(words[i]) or _best_span(answers[i], text[a:z])[0] < len(answers[i]) - 1:
+                return None
+            return n / len(words[i]), text[a:z]
+
         for b in slices(batches):
             w = _words(b.column("text"))
             doc, begin, end = _passages(w, width, stride)
             hits: dict[tuple[int, int], tuple[float, float]] = {}
+            near: dict[tuple[int, int], float] = {}
+            places_of: dict[tuple[int, int], list] = {}
             if len(doc):
                 row, col, value = _vectors(w, begin, end, idf)
                 passages = latent(_times(row, col, value, len(doc), basis), basis)
-                held: dict[int, set] = {}
-                for p, j, near in zip(*(x.tolist() for x in near_passages(passages, (row, col), items, places, cosine, loose)), strict=True):
+                for p, j, cos in zip(*(x.tolist() for x in near_passages(passages, (row, col), items, places, cosine, loose)), strict=True):
                     i, d = int(items.owner[j]), int(doc[p])
-                    key = (d, i)
-                    if not items.use[i] or items.verbatim[i] or hits.get(key, (0, 0))[1] >= exact:
+                    if not items.use[i] or items.verbatim[i]:
+                        continue
+                    lo, hi = max(w.off[d], begin[p] - 2 * len(words[i])), min(w.off[d + 1], end[p] + 2 * len(words[i]))
+                    near[d, i] = max(near.get((d, i), 0.0), cos)
+                    places_of.setdefault((d, i), []).append((int(lo), int(hi)))
+            for (d, i), spans in places_of.items():
+                for lo, hi in merged(spans):
+                    text = w.hash[lo:hi]
+                    said = text.tolist()
+                    at, k = [x for x, h in enumerate(said) if h in told[i]], len(answers[i]) - 2
+                    if any(z - a < 2 * len(answers[i]) for a, z in zip(at, at[k:], strict=False)):  # the answer may be there
+                        got = told_by(i, text)
+                    elif sum(map(sets[i].__contains__, said)) >= exact * len(words[i]):
+                        got = held_by(i, text)
+                    else:
                         continue
-                    item = words[i]
-                    if d not in held:
-                        held[d] = set(w.hash[w.off[d] : w.off[d + 1]].tolist())
-                    if 2 * sum(map(held[d].__contains__, item[-answer:].tolist())) < min(answer, len(item)) and sum(map(held[d].__contains__, item.tolist())) < exact * len(item):
-                        continue  # neither the answer nor most of the item is anywhere in the document
-                    lo = max(w.off[d], begin[p] - 2 * len(item))
-                    got = found(i, w.hash[lo : min(w.off[d + 1], end[p] + 2 * len(item))], True)
-                    if got:
-                        hits[key] = max(hits.get(key, (0.0, 0.0)), (float(near), got[0]), key=lambda x: x[1])
+                    if got and got[0] > hits.get((d, i), (0, 0))[1]:
+                        hits[d, i] = (near[d, i], got[0])
             for d, i, lo, hi in zip(*(x.tolist() for x in _regions(w, rare)), strict=True):
                 text = w.hash[lo:hi]
                 if hits.get((d, i), (0, 0))[1] >= exact or sum(map(sets[i].__contains__, text.tolist())) < need[i]:
                     continue
-                got = found(i, text, False)
+                got = held_by(i, text)
                 if got and got[0] > hits.get((d, i), (0, 0))[1]:
-                    hits[d, i] = (plain_cosine(words[i], got[1], idf), got[0])
+                    hits[d, i] = (near.get((d, i)) or plain_cosine(words[i], got[1], idf), got[0])
             at = pa.array([d for d, _ in hits], pa.int64())
             cols = [b.column("doc_id").take(at), pa.array([ids[i] for _, i in hits], id_type)]
             cols += [pa.array([x[k] for x in hits.values()], pa.float64()) for k in (0, 1)]
@@ -325,6 +343,17 @@ def _search(shared, width: int, stride: int, cosine: float, overlap: float, exac
     return run
 
 
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that meet are one."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(spans):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
 def leading(items: np.ndarray, sketch: np.ndarray, test: np.ndarray, rank: int) -> np.ndarray:
     """Right singular vectors of [benchmark rows; passages] from the one-pass sketch of the passages.
 
@@ -340,7 +369,7 @@ def leading(items: np.ndarray, sketch: np.ndarray, test: np.ndarray, rank: int)
     return np.ascontiguousarray(u[:, :kept], dtype=np.float32)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, stride: int = STRIDE, rank: int = RANK, spare: int = SPARE, cosine: float = 0.55, overlap: float = 0.6, exact: float = 0.8, loose: float = 0.35, answer: int = 6, min_words: int = 8) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, stride: int = STRIDE, rank: int = RANK, spare: int = SPARE, cosine: float = 0.6, overlap: float = 0.6, exact: float = 0.8, loose: float = 0.35, answer: int = 6, min_words: int = 8) -> DataFrame:
     """``(doc_id, item_id, cosine, overlap)`` per document and benchmark item that it holds."""
     ship(texts=True)
     spark = docs.sparkSession
