@@ -40,7 +40,7 @@ from ..session import ship
 from .textkit import Words, mix, slices
 
 U = np.uint64
-BUCKETS, CHUNK, COLUMNS = 1 << 18, 1 << 13, 1 << 14
+BUCKETS, CHUNK, COLUMNS = 1 << 18, 1 << 13, 1 << 13
 WIDTH, STRIDE, RANK, SPARE, ITEMS, LEAST_WORDS, STEP = 32, 16, 64, 8, 1000, 4, 64
 
 
@@ -279,6 +279,10 @@ def _search(shared, width: int, stride: int, cosine: float, overlap: float, exac
         answers = [x[-answer:] for x in words]
         told = [set(x.tolist()) for x in answers]
 
+        def has(i, said, least):
+            """Whether ``least`` words of the item can be there: its distinct words, and the times that it repeats some."""
+            return len(sets[i].intersection(said)) >= least - (len(words[i]) - len(sets[i]))
+
         def held_by(i, text):
             """(share of the item, span) where the text holds the item itself."""
             item = words[i]
@@ -322,7 +326,7 @@ def _search(shared, width: int, stride: int, cosine: float, overlap: float, exac
                     at, k = [x for x, h in enumerate(said) if h in told[i]], len(answers[i]) - 2
                     if any(z - a < 2 * len(answers[i]) for a, z in zip(at, at[k:], strict=False)):  # the answer may be there
                         got = told_by(i, text)
-                    elif sum(map(sets[i].__contains__, said)) >= exact * len(words[i]):
+                    elif has(i, said, exact * len(words[i])):
                         got = held_by(i, text)
                     else:
                         continue
@@ -330,7 +334,7 @@ def _search(shared, width: int, stride: int, cosine: float, overlap: float, exac
                         hits[d, i] = (near[d, i], got[0])
             for d, i, lo, hi in zip(*(x.tolist() for x in _regions(w, rare)), strict=True):
                 text = w.hash[lo:hi]
-                if hits.get((d, i), (0, 0))[1] >= exact or sum(map(sets[i].__contains__, text.tolist())) < need[i]:
+                if hits.get((d, i), (0, 0))[1] >= exact or not has(i, text.tolist(), need[i]):
                     continue
                 got = held_by(i, text)
                 if got and got[0] > hits.get((d, i), (0, 0))[1]:

@@ -1,18 +1,25 @@
 """Operator 8: exact top-k inner products by block-at-a-time pruning.
 
-Vectors are turned into integers (``floor(scale * x)``).  Candidates are dealt to groups of about ``group_rows`` rows
-by a hash of their id; a group is sorted by id and cut in document-range blocks of ``block_rows`` rows, each with the
-maximum and minimum of every component (a term's extremes; weights can be negative).  For a query, the sum of the
-larger of weight * maximum and weight * minimum bounds every score of the block.  Blocks are taken in falling order of
-that bound and scored through the block's rows, until the next bound is below the query's kth score so far.
-
-A group is packed in one row, its forward index; queries are packed in chunks and sent to every group by an equi-join
-on the group's number, as each query has to meet all rows.  A group returns k rows a query at most, from which the
-k best follow.  Ties go to the smaller id; bounds equal to the kth score are still scored, so ties are kept right.
-
-Defined results: vectors that are null, empty, of another length than the valid vector of the smallest id,
+Vectors are turned into integers (``floor(scale * x)``).  Candidates are renumbered by content: a hash-chosen sample of
+rows, ``CELLS`` at most, gives cells, a row belongs to the nearest, and cells are dealt to groups of about ``group_rows``
+rows (a larger cell is split by a hash of the id).  A group is halved along its widest component until ranges hold
+``block_rows`` rows: document-range blocks of the new numbers, each with the maximum and minimum of every component (a
+term's extremes; weights can be negative).  For a query, the sum of the larger of weight * maximum and weight * minimum
+bounds every score of the block.  Blocks are taken in falling order of that bound and scored through the block's rows,
+until the next bound is below the query's kth score so far.
+
+A first pass searches each query in one group of its own cell; the kth score found there is a floor for the second pass,
+which meets all groups, so blocks below the floor are never scored.  How much is pruned depends on the data: clustered
+vectors lose most blocks, vectors without any structure none (``Blocks`` counts blocks met and scored).
+
+A group is packed in one row, its forward index; queries are packed in chunks by cell and sent to every group by an
+equi-join on the group's number, as each query has to meet all rows.  A group returns k rows a query at most, from which
+the k best follow.  Ties go to the smaller id; bounds equal to the kth score are still scored, so ties are kept right.
+
+Defined results: vectors that are null, empty, of another length than most (of equally frequent lengths the smallest),
 or that hold null or non-finite components take no part; repeated rows are candidates each, except those of the
-query's own id; a query with fewer than k candidates gets all; a null id takes no part; extra columns are ignored.
+query's own id; a query with fewer than k candidates gets all; a null id takes no part; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import hash_sample, ship, stored
 
-GROUP_ROWS, BLOCK_ROWS, QUERY_ROWS, SCALE = 8192, 64, 512, 1024
+GROUP_ROWS, BLOCK_ROWS, QUERY_ROWS, SCALE, CELLS = 8192, 64, 512, 1024, 256
 #: No score; its negative is a number too.
 NONE = np.iinfo(np.int64).min + 1
 
@@ -55,11 +62,27 @@ def _pack(batches):
         yield done()
 
 
+def by_content(matrix: np.ndarray, rows: int) -> np.ndarray:
+    """An order of the rows in which ranges of ``rows`` are alike: halves along the widest component, again and again."""
+    out, todo = [], [np.arange(len(matrix))]
+    while todo:
+        at = todo.pop()
+        if len(at) <= rows:
+            out.append(at)
+            continue
+        x = matrix[at]
+        widest = x[:, int((x.max(0) - x.min(0)).argmax())]
+        half = (len(at) // 2 + rows - 1) // rows * rows  # whole blocks on the left
+        order = np.argsort(widest, kind="stable")
+        todo += [at[order[half:]], at[order[:half]]]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 class Blocks:
     """Document-range blocks of a group with the extremes of every component."""
 
     def __init__(self, ids: np.ndarray, matrix: np.ndarray, rows: int):
-        order = np.argsort(ids, kind="stable")
+        order = by_content(matrix, rows)
         # products of integers: exact in float64 while sums stay below 2**53, else in int64
         self.exact = bool(matrix.size == 0 or float(np.abs(matrix.astype(float)).max()) ** 2 * matrix.shape[1] < 2**52)
         self.ids, self.matrix = ids[order], matrix[order].astype(np.float64 if self.exact else np.int64)
@@ -67,9 +90,10 @@ class Blocks:
         self.end = np.minimum(self.begin + rows, len(ids))
         self.high = np.maximum.reduceat(self.matrix, self.begin, axis=0)
         self.low = np.minimum.reduceat(self.matrix, self.begin, axis=0)
+        self.met = self.scored = 0  # blocks times queries, and those of them that were scored
 
-    def top(self, qids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query id, vector id, score) of the k best rows of this group for each query."""
+    def top(self, qids: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query id, vector id, score) of the k best rows of this group for each query, but for some below ``floor``."""
         q = queries.astype(self.matrix.dtype)
         bound = np.maximum(q, 0) @ self.high.T + np.minimum(q, 0) @ self.low.T
         order = np.argsort(-bound, axis=1, kind="stable")
@@ -77,11 +101,15 @@ class Blocks:
         score = np.full((n, k), -np.inf if self.exact else NONE, self.matrix.dtype)
         vec = np.full((n, k), np.iinfo(np.int64).max)
         found = np.zeros(n, np.int64)
+        floor = np.full(n, NONE) if floor is None else floor
+        self.met += bound.size
         for step in range(order.shape[1]):
             now = order[:, step]
-            live = np.flatnonzero((found < k) | (bound[np.arange(n), now] >= score[:, k - 1]))
+            best = bound[np.arange(n), now]
+            live = np.flatnonzero((best >= floor) & ((found < k) | (best >= score[:, k - 1])))
             if not len(live):
                 break
+            self.scored += len(live)
             by = live[np.argsort(now[live], kind="stable")]
             cut = np.flatnonzero(np.append(True, now[by][1:] != now[by][:-1]))
             for a, z in zip(cut, [*cut[1:], len(by)], strict=True):
@@ -106,12 +134,46 @@ def _search(dim: int, k: int, block_rows: int):
             for i in range(b.num_rows):
                 read = lambda c: np.frombuffer(b.column(c)[i].as_buffer(), "<i8")  # noqa: B023, E731
                 blocks = Blocks(read("ids"), read("m").reshape(-1, dim), block_rows)
-                q, v, s = blocks.top(read("qids"), read("qm").reshape(-1, dim), k)
-                yield pa.record_batch([pa.array(q), pa.array(v), pa.array(s)], ["query_id", "vec_id", "score"])
+                qids, queries = read("qids"), read("qm").reshape(-1, dim)
+                floor = read("floor") if "floor" in b.schema.names else None
+                q, v, s = blocks.top(qids, queries, k, floor)
+                out = pa.record_batch([pa.array(q), pa.array(v), pa.array(s)], ["query_id", "vec_id", "score"])
+                yield out if floor is not None else _kth(q, s, k)
 
     return run
 
 
+def _kth(q: np.ndarray, s: np.ndarray, k: int) -> pa.RecordBatch:
+    """The kth score of the queries that have one; rows are by query and falling score."""
+    at = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, np.int64)
+    full = at[np.diff(np.append(at, len(q))) >= k]
+    return pa.record_batch([pa.array(q[full]), pa.array(s[full + k - 1])], ["query_id", "floor"])
+
+
+def _cells(pivots: np.ndarray):
+    """Number of the nearest pivot, as a column more."""
+    half = (pivots.astype(float) ** 2).sum(1) / 2
+
+    def run(batches):
+        for b in batches:
+            v = b.column("v")
+            x = v.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, pivots.shape[1]), np.int64)
+            cell = (x.astype(float) @ pivots.T.astype(float) - half).argmax(1) if b.num_rows else np.zeros(0, np.int64)
+            yield pa.record_batch([b.column("vec_id"), v, pa.array(cell.astype(np.int32))], ["vec_id", "v", "cell"])
+
+    return run
+
+
+def _with_floor(batches):
+    """Chunks with the floors of their queries, in order: (id, floor) pairs to an array."""
+    for b in batches:
+        out = []
+        for raw, pairs in zip(b.column("qids").to_pylist(), b.column("pairs").to_pylist(), strict=True):
+            known = {p["query_id"]: p["floor"] for p in pairs or ()}
+            out.append(np.array([known.get(q, NONE) for q in np.frombuffer(raw, "<i8").tolist()], "<i8").tobytes())
+        yield pa.record_batch([b.column("chunk"), b.column("qids"), b.column("qm"), pa.array(out, pa.binary())], ["chunk", "qids", "qm", "floor"])
+
+
 def topk(vectors: DataFrame, query: F.Column | None = None, k: int = 10, scale: int = SCALE, group_rows: int = GROUP_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(query_id, rank, vec_id, score)``; ``query`` marks the query rows (default: ids divisible by 100)."""
     ship()
@@ -120,23 +182,48 @@ def topk(vectors: DataFrame, query: F.Column | None = None, k: int = 10, scale:
     ints = F.transform(x, lambda e: F.floor(e.cast("double") * scale))
     finite = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     ok = vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.coalesce(finite, F.lit(False)))
-    first = ok.agg(F.count("*").alias("n"), F.min_by(F.size(x), "vec_id").alias("d")).first()
+    lengths = ok.groupBy(F.size(x).alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     schema = "query_id long, rank int, vec_id long, score long"
-    if not first["n"]:
+    if lengths is None:
         return spark.createDataFrame([], schema)
-    dim, groups = first["d"], -(-first["n"] // group_rows)
+    dim, n = lengths["d"], lengths["n"]
     rows = ok.where(F.size(x) == dim).select(F.col("vec_id").cast("long").alias("vec_id"), ints.alias("v"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = "g long, ids binary, m binary"
-
-    def dealt(df, n, seed):
-        g = df.withColumn("g", F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)))
-        return g.repartition(min(n, parts), "g").sortWithinPartitions("g", "vec_id").select("g", "vec_id", "v").mapInArrow(_pack, packed)
+    # at most CELLS vectors; one cell where one group holds all
+    pivots = np.array([r["v"] for r in hash_sample(rows, "vec_id", CELLS if n > group_rows else 1, n).collect()], np.int64)
+    rows = stored(rows.mapInArrow(_cells(pivots), "vec_id long, v array<bigint>, cell int"), "vectors")
+    sizes = {r["cell"]: r["n"] for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # CELLS rows
+    first, many, groups, room = [0] * len(pivots), [1] * len(pivots), 0, 0
+    for c in sorted(sizes):  # cells in order fill groups; a large one has groups of its own
+        if sizes[c] > group_rows:
+            first[c], many[c] = groups + (room > 0), -(-sizes[c] // group_rows)
+            groups, room = first[c] + many[c], 0
+        else:
+            if room + sizes[c] > group_rows:
+                groups, room = groups + 1, 0
+            first[c], room = groups, room + sizes[c]
+    groups += room > 0
+    pick = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("cell") + 1)
+    home, salts = pick(first).cast("long"), pick(many)
+    rows = rows.withColumn("g", home + F.pmod(F.xxhash64("vec_id", F.lit(1)), salts))
+    parts, packed = int(spark.conf.get("spark.sql.shuffle.partitions")), "g long, ids binary, m binary"
+
+    def dealt(df, most):
+        return df.repartition(min(most, parts), "g").sortWithinPartitions("g", "vec_id").select("g", "vec_id", "v").mapInArrow(_pack, packed)
 
     asked = rows.where(F.pmod(F.col("vec_id"), F.lit(100)) == 0 if query is None else query)
-    chunks = dealt(asked, max(1, groups * group_rows // (100 * QUERY_ROWS)), 2)
-    chunks = chunks.select(F.col("ids").alias("qids"), F.col("m").alias("qm"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"))
-    met = dealt(rows, groups, 1).join(chunks.hint("shuffle_hash"), "g").select("ids", "m", "qids", "qm")
+    # chunks of a cell's queries: as many as hold about QUERY_ROWS each
+    wide = F.greatest(F.lit(1), F.ceil(pick([sizes.get(c, 0) for c in range(len(pivots))]) / (100 * QUERY_ROWS))).cast("int")
+    number = F.col("cell").cast("long") * (1 << 32) + F.pmod(F.xxhash64("vec_id", F.lit(2)), wide)
+    asked = stored(dealt(asked.withColumn("g", number), len(pivots)).select(F.col("g").alias("chunk"), F.col("ids").alias("qids"), F.col("m").alias("qm")), "queries")
+    index = stored(dealt(rows, groups), "blocks")
+    cell = (F.col("chunk") / (1 << 32)).cast("int")
+    own = asked.withColumn("cell", cell).select(home.alias("g"), "chunk", "qids", "qm")
+    floors = index.join(own.hint("shuffle_hash"), "g").select("ids", "m", "qids", "qm").mapInArrow(_search(dim, k, block_rows), "query_id long, floor long")
+    chunk_of = rows.where(F.pmod(F.col("vec_id"), F.lit(100)) == 0 if query is None else query).select(F.col("vec_id").alias("query_id"), number.alias("chunk")).distinct()
+    floors = floors.join(chunk_of, "query_id").groupBy("chunk").agg(F.collect_list(F.struct("query_id", "floor")).alias("pairs"))
+    floored = asked.join(floors, "chunk", "left").mapInArrow(_with_floor, "chunk long, qids binary, qm binary, floor binary")
+    chunks = stored(floored, "chunks").withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    met = index.join(chunks.hint("shuffle_hash"), "g").select("ids", "m", "qids", "qm", "floor")
     found = met.mapInArrow(_search(dim, k, block_rows), "query_id long, vec_id long, score long")
     order = F.row_number().over(_by_score())
     return found.withColumn("rank", order).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_dir, ship
+from ..session import shared_dir, ship, stored
 from .textkit import slices
 
 ARCHIVE_BYTES, LEVEL, CHUNK = 16 << 20, 5, 1 << 18
@@ -147,12 +147,14 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_byte
     src = src.withColumn("key", F.concat(F.sha2("html", 256), F.octet_length("html").cast("string")))
     pages_of = src.select("key", "page_id").groupBy("key", "page_id").agg(F.count("*").alias("rows"))
     reps = pages_of.groupBy("key").agg(F.max(F.struct("page_id", "rows")).alias("top")).select("key", F.col("top.page_id").alias("rep"), F.col("top.rows").alias("rows"))
-    marked = src.join(reps, "key")
-    # of repeated rows of the largest page_id one is the response: these few rows are numbered
-    tied = F.col("page_id").isNotNull() & (F.col("page_id") == F.col("rep")) & (F.col("rows") > 1)
-    tied = F.coalesce(tied, F.lit(False)) & (F.octet_length("html") >= min_bytes)
-    numbered = marked.where(tied).withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.col("url").asc_nulls_first())))
-    marked = marked.where(~tied).withColumn("nth", F.lit(1)).union(numbered)
+    reps = stored(reps, "payloads")
+    marked = src.join(reps, "key").withColumn("nth", F.lit(1))
+    if reps.where("rep is not null and rows > 1").limit(1).count():
+        # of repeated rows of the largest page_id one is the response: these few rows are numbered
+        tied = F.col("page_id").isNotNull() & (F.col("page_id") == F.col("rep")) & (F.col("rows") > 1)
+        tied = F.coalesce(tied, F.lit(False)) & (F.octet_length("html") >= min_bytes)
+        numbered = marked.where(tied).withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.col("url").asc_nulls_first())))
+        marked = marked.where(~tied).union(numbered)
     revisit = (F.octet_length("html") >= min_bytes) & F.col("rep").isNotNull() & (~F.col("page_id").eqNullSafe(F.col("rep")) | (F.col("nth") > 1))
     out = marked.select("page_id", "url", "html", "rep", revisit.alias("revisit"))
     out.mapInArrow(_write_task(archive_bytes, level), "name string, content binary").write.parquet(path)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from moraine.llm import packing as P
 from moraine.llm import warc as W
 from moraine.llm.chat import CONTROL, ESCAPE, digests, escape, format_windows, op6_budgeted_chat, unescape
-from moraine.llm.topk import topk
+from moraine.llm.topk import Blocks, by_content, topk
 
 
 def test_monolithic_stream_is_normalised():
@@ -151,6 +151,33 @@ def test_topk(spark, group, block):
     assert few.count() == 3 and topk(df.limit(0)).count() == 0
 
 
+def test_topk_of_most_frequent_length(spark):
+    rows = [(0, [1.0])] + [(i, [i / 100, 1.0]) for i in range(1, 301)]
+    got = topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("rank = 1").orderBy("query_id").collect()
+    assert [(r["query_id"], r["vec_id"]) for r in got] == [(100, 300), (200, 300), (300, 299)]
+
+
+def test_blocks_of_clustered_vectors_are_pruned():
+    """Of vectors in clusters more than half of the blocks are never scored; the results are those of a full scan."""
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=(60, 64))
+    centre /= np.linalg.norm(centre, axis=1, keepdims=True)
+    x = centre[rng.integers(0, 60, 8000)] + rng.normal(size=(8000, 64)) * 0.03
+    m, ids = np.floor(1024 * x).astype(np.int64), np.arange(8000)
+    order = by_content(m, 64)
+    assert sorted(order.tolist()) == ids.tolist()
+    blocks = Blocks(ids, m, 64)
+    q, v, s = blocks.top(ids[::100], m[::100], 10)
+    floor = s.reshape(-1, 10)[:, -1]
+    blocks.met = blocks.scored = 0
+    q, v, s = blocks.top(ids[::100], m[::100], 10, floor)
+    assert blocks.scored < 0.5 * blocks.met
+    full = m[::100] @ m.T
+    full[np.arange(80), ids[::100]] = -(1 << 60)
+    best = np.lexsort((np.broadcast_to(ids, full.shape), -full), axis=1)[:, :10]
+    assert (v.reshape(80, 10) == best).all() and (s.reshape(80, 10) == np.take_along_axis(full, best, 1)).all()
+
+
 def test_capacity_tree_and_packing():
     rng = random.Random(7)
     tree, rooms = P.CapacityTree(50), collections.Counter()
