@@ -12,9 +12,9 @@ A first pass searches each query in one group of its own cell; the kth score fou
 which meets all groups, so blocks below the floor are never scored.  How much is pruned depends on the data: clustered
 vectors lose most blocks, vectors without any structure none (``Blocks`` counts blocks met and scored).
 
-A group is packed in one row, its forward index; queries are packed in chunks by cell and sent to every group by an
-equi-join on the group's number, as each query has to meet all rows.  A group returns k rows a query at most, from which
-the k best follow.  Ties go to the smaller id; bounds equal to the kth score are still scored, so ties are kept right.
+A group is packed in one row, its forward index; queries are packed in chunks of neighbouring cells and sent to every
+group, as each query has to meet all rows: a task reads a group's index, then the chunks one by one.  A group returns k
+rows a query at most, from which the k best follow.  Ties go to the smaller id; bounds equal to the kth score are still scored, so ties are kept right.
 
 Defined results: vectors that are null, empty, of another length than most (of equally frequent lengths the smallest),
 or that hold null or non-finite components take no part; repeated rows are candidates each, except those of the
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..session import hash_sample, ship, stored
 
-GROUP_ROWS, BLOCK_ROWS, QUERY_ROWS, SCALE, CELLS = 8192, 64, 512, 1024, 256
+GROUP_ROWS, BLOCK_ROWS, QUERY_ROWS, SCALE, CELLS = 4096, 64, 512, 1024, 256
 #: No score; its negative is a number too.
 NONE = np.iinfo(np.int64).min + 1
 
@@ -128,17 +128,22 @@ class Blocks:
         return qids[r], vec[good], score[good].astype(np.int64)
 
 
-def _search(dim: int, k: int, block_rows: int):
+def _search(dim: int, k: int, block_rows: int, floors: bool):
+    """Rows sorted by group, its index before the chunks of queries; one group is held at a time.  With ``floors`` a
+    query's last component is its floor; without, only kth scores are given."""
+
     def run(batches):
+        key = blocks = None
         for b in batches:
             for i in range(b.num_rows):
-                read = lambda c: np.frombuffer(b.column(c)[i].as_buffer(), "<i8")  # noqa: B023, E731
-                blocks = Blocks(read("ids"), read("m").reshape(-1, dim), block_rows)
-                qids, queries = read("qids"), read("qm").reshape(-1, dim)
-                floor = read("floor") if "floor" in b.schema.names else None
-                q, v, s = blocks.top(qids, queries, k, floor)
-                out = pa.record_batch([pa.array(q), pa.array(v), pa.array(s)], ["query_id", "vec_id", "score"])
-                yield out if floor is not None else _kth(q, s, k)
+                ids, m = (np.frombuffer(b.column(c)[i].as_buffer(), "<i8") for c in ("ids", "m"))
+                g = b.column("g")[i].as_py()
+                if not b.column("asks")[i].as_py():
+                    key, blocks = g, Blocks(ids, m.reshape(-1, dim), block_rows)
+                elif g == key:
+                    m = m.reshape(len(ids), -1)
+                    q, v, s = blocks.top(ids, m[:, :dim], k, m[:, dim] if floors else None)
+                    yield pa.record_batch([pa.array(q), pa.array(v), pa.array(s)], ["query_id", "vec_id", "score"]) if floors else _kth(q, s, k)
 
     return run
 
@@ -164,19 +169,23 @@ def _cells(pivots: np.ndarray):
     return run
 
 
-def _with_floor(batches):
-    """Chunks with the floors of their queries, in order: (id, floor) pairs to an array."""
-    for b in batches:
-        out = []
-        for raw, pairs in zip(b.column("qids").to_pylist(), b.column("pairs").to_pylist(), strict=True):
-            known = {p["query_id"]: p["floor"] for p in pairs or ()}
-            out.append(np.array([known.get(q, NONE) for q in np.frombuffer(raw, "<i8").tolist()], "<i8").tobytes())
-        yield pa.record_batch([b.column("chunk"), b.column("qids"), b.column("qm"), pa.array(out, pa.binary())], ["chunk", "qids", "qm", "floor"])
+def _filled(sizes: dict[int, int], cells: int, capacity: int) -> tuple[int, list[int], list[int]]:
+    """Bins, and of every cell the first bin and how many: cells in order fill bins, a larger one has bins of its own."""
+    first, many, n, room = [0] * cells, [1] * cells, 0, 0
+    for c in sorted(sizes):
+        if sizes[c] > capacity:
+            first[c], many[c] = n + (room > 0), -(-sizes[c] // capacity)
+            n, room = first[c] + many[c], 0
+        else:
+            if room + sizes[c] > capacity:
+                n, room = n + 1, 0
+            first[c], room = n, room + sizes[c]
+    return n + (room > 0), first, many
 
 
 def topk(vectors: DataFrame, query: F.Column | None = None, k: int = 10, scale: int = SCALE, group_rows: int = GROUP_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(query_id, rank, vec_id, score)``; ``query`` marks the query rows (default: ids divisible by 100)."""
-    ship()
+    ship(texts=True)
     spark = vectors.sparkSession
     x = F.col("embedding")
     ints = F.transform(x, lambda e: F.floor(e.cast("double") * scale))
@@ -192,39 +201,28 @@ def topk(vectors: DataFrame, query: F.Column | None = None, k: int = 10, scale:
     pivots = np.array([r["v"] for r in hash_sample(rows, "vec_id", CELLS if n > group_rows else 1, n).collect()], np.int64)
     rows = stored(rows.mapInArrow(_cells(pivots), "vec_id long, v array<bigint>, cell int"), "vectors")
     sizes = {r["cell"]: r["n"] for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # CELLS rows
-    first, many, groups, room = [0] * len(pivots), [1] * len(pivots), 0, 0
-    for c in sorted(sizes):  # cells in order fill groups; a large one has groups of its own
-        if sizes[c] > group_rows:
-            first[c], many[c] = groups + (room > 0), -(-sizes[c] // group_rows)
-            groups, room = first[c] + many[c], 0
-        else:
-            if room + sizes[c] > group_rows:
-                groups, room = groups + 1, 0
-            first[c], room = groups, room + sizes[c]
-    groups += room > 0
+    groups, first, many = _filled(sizes, len(pivots), group_rows)
+    n_chunks, chunk, spread = _filled(sizes, len(pivots), 100 * QUERY_ROWS)  # one row in a hundred asks
     pick = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("cell") + 1)
-    home, salts = pick(first).cast("long"), pick(many)
-    rows = rows.withColumn("g", home + F.pmod(F.xxhash64("vec_id", F.lit(1)), salts))
+    home = pick(first).cast("long")
+    part = lambda base, salts, seed: pick(base).cast("long") + F.pmod(F.xxhash64("vec_id", F.lit(seed)), pick(salts))
     parts, packed = int(spark.conf.get("spark.sql.shuffle.partitions")), "g long, ids binary, m binary"
 
     def dealt(df, most):
         return df.repartition(min(most, parts), "g").sortWithinPartitions("g", "vec_id").select("g", "vec_id", "v").mapInArrow(_pack, packed)
 
+    def searched(chunks, floors, kind):
+        todo = index.withColumn("asks", F.lit(False)).unionByName(chunks.withColumn("asks", F.lit(True)))
+        todo = todo.repartition(min(groups, parts), "g").sortWithinPartitions("g", "asks")
+        return todo.select("g", "asks", "ids", "m").mapInArrow(_search(dim, k, block_rows, floors), kind)
+
+    index = stored(dealt(rows.withColumn("g", part(first, many, 1)), groups), "blocks")
     asked = rows.where(F.pmod(F.col("vec_id"), F.lit(100)) == 0 if query is None else query)
-    # chunks of a cell's queries: as many as hold about QUERY_ROWS each
-    wide = F.greatest(F.lit(1), F.ceil(pick([sizes.get(c, 0) for c in range(len(pivots))]) / (100 * QUERY_ROWS))).cast("int")
-    number = F.col("cell").cast("long") * (1 << 32) + F.pmod(F.xxhash64("vec_id", F.lit(2)), wide)
-    asked = stored(dealt(asked.withColumn("g", number), len(pivots)).select(F.col("g").alias("chunk"), F.col("ids").alias("qids"), F.col("m").alias("qm")), "queries")
-    index = stored(dealt(rows, groups), "blocks")
-    cell = (F.col("chunk") / (1 << 32)).cast("int")
-    own = asked.withColumn("cell", cell).select(home.alias("g"), "chunk", "qids", "qm")
-    floors = index.join(own.hint("shuffle_hash"), "g").select("ids", "m", "qids", "qm").mapInArrow(_search(dim, k, block_rows), "query_id long, floor long")
-    chunk_of = rows.where(F.pmod(F.col("vec_id"), F.lit(100)) == 0 if query is None else query).select(F.col("vec_id").alias("query_id"), number.alias("chunk")).distinct()
-    floors = floors.join(chunk_of, "query_id").groupBy("chunk").agg(F.collect_list(F.struct("query_id", "floor")).alias("pairs"))
-    floored = asked.join(floors, "chunk", "left").mapInArrow(_with_floor, "chunk long, qids binary, qm binary, floor binary")
-    chunks = stored(floored, "chunks").withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    met = index.join(chunks.hint("shuffle_hash"), "g").select("ids", "m", "qids", "qm", "floor")
-    found = met.mapInArrow(_search(dim, k, block_rows), "query_id long, vec_id long, score long")
+    floors = searched(dealt(asked.withColumn("g", home), groups), False, "query_id long, floor long").groupBy("query_id").agg(F.min("floor").alias("floor"))
+    floored = asked.join(floors, asked.vec_id == floors.query_id, "left").withColumn("v", F.concat("v", F.array(F.coalesce("floor", F.lit(NONE)))))
+    chunks = stored(dealt(floored.withColumn("g", part(chunk, spread, 2)), n_chunks), "chunks")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))
+    found = searched(chunks.drop("g").withColumn("g", every), True, "query_id long, vec_id long, score long")
     order = F.row_number().over(_by_score())
     return found.withColumn("rank", order).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
