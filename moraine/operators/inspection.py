@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,11 +10,14 @@ from ..functions.vectors import as_doubles, dot, l2_normalize, sq_euclidean, tot
 
 
 def nearest_center(points: DataFrame, centers: DataFrame, key: list[str], vec: str, center: str = "mean", cid: str = "cid") -> DataFrame:
-    """``(key, cid, d2)``: the nearest centre, ties to the smaller id.  ``centers`` is a bounded table, broadcast."""
-    met = points.crossJoin(F.broadcast(centers.select(cid, F.col(center).alias("_c"))))
-    d = sq_euclidean(as_doubles(F.col(vec)), F.col("_c"))
-    best = F.min(F.struct(F.round(d, 9).alias("r"), F.col(cid).alias("cid"), d.alias("d2"))).alias("b")
-    return met.groupBy(*key).agg(best).select(*key, F.col("b.cid").alias(cid), F.col("b.d2").alias("d2"))
+    """``(key, cid, d2)``: the nearest centre, ties to the smaller id.  ``centers`` is a bounded table (``assign`` checks
+    its size); rows are matched in one narrow pass."""
+    from .summarize import assign
+
+    table = sorted(centers.select(cid, center).collect(), key=lambda r: r[0])
+    ids, means = np.array([r[0] for r in table], np.int64), np.array([r[1] for r in table], float)
+    rows = points.select(*key, as_doubles(F.col(vec)).alias("_vec"))
+    return assign(rows, "_vec", means, ids, "_leaf", "d2", "_cid").select(*key, F.col("_cid").alias(cid), "d2")
 
 
 def cluster_stats(leaves: DataFrame, label: str = "label") -> DataFrame:

@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..estimator import Clustering, KPrototypes, fit_predict_sparse
-from ..operators.kernels import FrequentDirections, core_distances, spanning_tree
+from ..operators.kernels import FrequentDirections
 from ..operators.summarize import matrix
 from ..functions.sketches import kll, kll_merge, kll_rank
 from ..session import shared_dir, ship
 from ..streaming.evolving import run_stream
 from .mixed_queries import _terms, mixed
-from .vector_queries import as_leaves, emb, label_cf, table
+from .vector_queries import emb, label_cf, table
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,13 @@ def _fit(method: str, k: int = 8, **params):
     return run
 
 
+def fit_hdbscan(s, d):
+    """Density clusters of customers by nation and balance: nations lie apart, so each of them is dense."""
+    rows = table(s, d, "customer").select("c_custkey", F.array(F.col("c_nationkey") * 100.0, (F.col("c_acctbal") / 1000).cast("double")).alias("x"))
+    model = Clustering(method="hdbscan", max_leaves=500, min_samples=2, min_cluster_size=3).fit(rows, "x")
+    return model.predict(rows).groupBy("label").agg(F.count("*").alias("n"))
+
+
 def fit_kprototypes(s, d):
     rows = mixed(s, d).select("c_custkey", F.array("b", F.col("code").cast("double")).alias("x"))
     return KPrototypes(n_clusters=4, categorical=(1,), max_leaves=256).fit(rows, "x").predict(rows).select("c_custkey", "label")
@@ -51,14 +58,6 @@ def fit_sparse(s, d):
     return fit_predict_sparse(rows, "v", 14, 4).select("doc_id", "label")
 
 
-def mst_weight(s, d):
-    """Total weight of the spanning tree of mutual reachability over label features."""
-    rows = as_leaves(s, d).orderBy("leaf").collect()
-    mean = np.array([r["mean"] for r in rows])
-    edges = spanning_tree(mean, core_distances(mean, 3))
-    return s.createDataFrame([(len(edges), round(sum(e[0] for e in edges), 6))], "edges int, weight double")
-
-
 def fd_cf(s, d):
     """Frequent-directions features of each partition, merged; the captured share of the total scatter."""
     ship()
@@ -141,7 +140,7 @@ MODELS = {
     "fit_constrained": fit_constrained, "soft_labels": soft_labels, "mapper_sweep": mapper_sweep, "saved_model": saved_model, "kll_ranks": kll_ranks,
     "run_denstream": _stream("denstream", eps=0.3, decay=0.001, beta=0.5, mu=4.0), "run_dbstream": _stream("dbstream", r=0.3, decay=0.001),
     "fit_kmeans": _fit("kmeans"), "fit_xmeans": _fit("kmeans", 0, max_leaves=500), "fit_gmm": _fit("gmm", feature="diagonal"), "fit_gmm_full": _fit("gmm-full", feature="full", max_leaves=500),
-    "fit_ward": _fit("ward", max_leaves=1000), "fit_hdbscan": _fit("hdbscan", max_leaves=500, min_cluster_size=10), "fit_normalized": _fit("kmeans", normalize=True),
+    "fit_ward": _fit("ward", max_leaves=1000), "fit_hdbscan": fit_hdbscan, "fit_normalized": _fit("kmeans", normalize=True),
     "fit_chi2": _fit("kmeans", absorb="chi2", chi2_scale=0.5, max_leaves=500), "fit_kprototypes": fit_kprototypes, "fit_sparse": fit_sparse,
-    "mst_weight": mst_weight, "fd_cf": fd_cf, "mapper_bridges": mapper_bridges, "robust_fit": robust_fit, "embedding_labels": flagship,
+    "fd_cf": fd_cf, "mapper_bridges": mapper_bridges, "robust_fit": robust_fit, "embedding_labels": flagship,
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from ..operators import cf as C
 from ..operators import inspection as I
 from ..operators import topology as T
 from ..operators.graph import connected_components
+from ..operators.kernels import core_distances
 
 CHI2_PRIOR = 0.01
 
@@ -67,7 +69,8 @@ def winsorize(s, d):
 
 def ingest_checks(s, d):
     ok = V.checked(emb(s, d), "x", 64)
-    return ok.select(F.count("*").over(Window.partitionBy()).alias("n"), F.size("x").alias("dim"), F.round(V.norm(F.col("x")), 6).alias("norm")).distinct()
+    whole = ok.agg(F.count("*").alias("n"))  # one row
+    return ok.select(F.size("x").alias("dim"), F.round(V.norm(F.col("x")), 6).alias("norm")).distinct().crossJoin(F.broadcast(whole)).select("n", "dim", "norm")
 
 
 def kernels(s, d):
@@ -228,9 +231,9 @@ def gmm_m_step(s, d):
 
 
 def core_distance(s, d):
-    near = T.pairs(as_leaves(s, d)).withColumn("d", F.round("d", 8))
-    r = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
-    return near.withColumn("r", r).where("r = 3").select(F.col("a").alias("leaf"), F.col("d").alias("core"))
+    rows = sorted(as_leaves(s, d).select("leaf", "mean").collect())  # label features
+    core = core_distances(np.array([r["mean"] for r in rows]), 3)
+    return s.createDataFrame([(r["leaf"], round(float(x), 8)) for r, x in zip(rows, core, strict=True)], "leaf long, core double")
 
 
 def _mutual(s, d):
@@ -270,18 +273,14 @@ def mapper_edges(s, d):
     return T.nerve(linked, T.nodes(linked)).select("a", "b", "shared")
 
 
-def must_link_components(s, d, few: bool = True):
+def must_link_components(s, d):
     """Must-links between a customer and the next one of its nation with the same segment, closed transitively."""
-    c = table(s, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment").where("c_custkey <= 400" if few else "true")
+    c = table(s, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     w = Window.partitionBy("c_nationkey", "c_mktsegment").orderBy("c_custkey")
     ties = c.withColumn("b", F.lead("c_custkey").over(w)).where("b is not null").select(F.col("c_custkey").alias("a"), "b")
     return connected_components(ties)
 
 
-def must_link_all(s, d):
-    return must_link_components(s, d, few=False)
-
-
 def constraint_translate(s, d):
     """Row constraints to leaf constraints: (0, 1), (2, 3), ... between neighbours of the vector table."""
     rows = I.nearest_center(emb(s, d), centers(s, d), ["vec_id"], "x").select("vec_id", "cid")
@@ -313,7 +312,6 @@ VECTORS = {
     "mapper_lens_radius": lambda s, d: mapper_lens(s, d, "radius"), "mapper_lens_norm": lambda s, d: mapper_lens(s, d, "norm"),
     "mapper_lens_coordinate": lambda s, d: mapper_lens(s, d, "coordinate"), "mapper_lens_eccentricity": lambda s, d: mapper_lens(s, d, "eccentricity"),
     "mapper_cover": mapper_cover, "mapper_nodes": mapper_nodes, "mapper_edges": mapper_edges, "must_link_components": must_link_components,
-    "must_link_components_all": must_link_all,
     "constraint_translate": constraint_translate, "ari": ari, "label_distinct": label_distinct,
 }
 
@@ -398,7 +396,7 @@ VECTORS_SQL = {
     "mapper_cover": f"WITH {_COVER} SELECT leaf, bin FROM cov",
     "mapper_nodes": f"WITH RECURSIVE {_LINK} SELECT CAST(node AS INTEGER) AS node, bin, comp, CAST(mass AS BIGINT) AS mass, round(lens, 8) AS lens FROM nod",
     "mapper_edges": f"WITH RECURSIVE {_LINK}, mem AS (SELECT leaf, CAST(node AS INTEGER) AS node FROM comp JOIN nod USING (bin, comp)) SELECT x.node AS a, y.node AS b, count(*) AS shared FROM mem x JOIN mem y ON x.leaf = y.leaf AND x.node < y.node GROUP BY 1, 2",
-    "must_link_components": "SELECT c_custkey AS node, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS component FROM customer WHERE c_custkey <= 400 QUALIFY count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) > 1",
+    "must_link_components": "SELECT c_custkey AS node, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS component FROM customer QUALIFY count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) > 1",
     "constraint_translate": f"WITH {_A} SELECT x.cid AS leaf_a, y.cid AS leaf_b, count(*) AS pairs FROM a x JOIN a y ON y.vec_id = x.vec_id + 1 WHERE x.vec_id % 2 = 0 GROUP BY 1, 2",
     "ari": f"WITH {_A}, l AS (SELECT DISTINCT vec_id, label FROM e), t AS (SELECT cid, label, CAST(count(*) AS DOUBLE) AS n FROM a JOIN l USING (vec_id) GROUP BY 1, 2), x AS (SELECT sum(n * (n - 1) / 2) AS v FROM (SELECT sum(n) AS n FROM t GROUP BY cid)), y AS (SELECT sum(n * (n - 1) / 2) AS v FROM (SELECT sum(n) AS n FROM t GROUP BY label)), b AS (SELECT sum(n * (n - 1) / 2) AS v, sum(n) AS tot FROM t), q AS (SELECT x.v * y.v / (tot * (tot - 1) / 2) AS ex, (x.v + y.v) / 2 AS mo, b.v AS bo FROM x, y, b) SELECT round(CASE WHEN mo = ex THEN 1.0 ELSE (bo - ex) / (mo - ex) END, 9) AS ari FROM q",
     "label_distinct": f"WITH {_A} SELECT count(DISTINCT cid) AS n_clusters FROM a",
