@@ -352,6 +352,29 @@ def fit_predict_sparse(df: DataFrame, col: str, dim: int, n_clusters: int = 8, m
     return model.fit(dense, "_dense").predict(dense).drop("_dense")
 
 
+FAN_IN = 64
+
+
+def mixed_leaders(num, cat, x, c, gamma: float, threshold: float, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """The leaders ``num``, ``cat`` (None: none yet) and those of the rows ``x``, ``c`` that are farther than
+    ``threshold`` from every leader before them, ``cap`` in all; blocks of rows are compared at once."""
+    num, cat = (x[:0], c[:0]) if num is None else (num, cat)
+    for a in range(0, len(x), 512):
+        y, d = x[a : a + 512], c[a : a + 512]
+        if len(num):
+            gap = gamma * (d[:, None, :] != cat[None]).sum(2)
+            for j in range(y.shape[1]):  # differences, as equal rows have to be at distance 0
+                gap = gap + (y[:, j, None] - num[:, j]) ** 2
+            y, d = y[gap.min(1) > threshold], d[gap.min(1) > threshold]
+        while len(y) and len(num) < cap:
+            num, cat = np.concatenate([num, y[:1]]), np.concatenate([cat, d[:1]])
+            far = ((y - y[0]) ** 2).sum(1) + gamma * (d != d[0]).sum(1) > threshold
+            y, d = y[far], d[far]
+        if len(num) >= cap:
+            break
+    return num, cat
+
+
 @dataclass
 class KPrototypes:
     """Mixed numeric and categorical rows: k-prototypes on leader features."""
@@ -379,26 +402,23 @@ class KPrototypes:
         cap, threshold = self.max_leaves, self.threshold
 
         def leaders(batches, cap=cap):
-            held = None
+            num, cat = None, None
             for b in batches:
-                if not b.num_rows:
-                    continue
-                num, cat = matrix(b.column("num")), matrix(b.column("cat")).astype(int)
-                # equal rows first, then leaders within the threshold or the nearest one at the cap
-                mean, mode = ([], []) if held is None else held
-                for x, c in zip(num, cat, strict=True):
-                    key = tuple(c)
-                    if mean:
-                        d = ((np.array(mean) - x) ** 2).sum(1) + gamma * (np.array(mode) != c).sum(1)
-                        if d.min() <= threshold or len(mean) >= cap:
-                            continue
-                    mean.append(x)
-                    mode.append(key)
-                held = (mean, mode)
-            if held is not None:
-                yield pa.record_batch([pa.array([m.tolist() for m in held[0]]), pa.array([list(map(int, m)) for m in held[1]], pa.list_(pa.int32()))], ["num", "cat"])
-
-        seeds = split.select("num", "cat").mapInArrow(leaders, "num array<double>, cat array<int>").repartition(1).mapInArrow(leaders, "num array<double>, cat array<int>").collect()
+                if b.num_rows:
+                    more = matrix(b.column("num")), matrix(b.column("cat")).astype(int)
+                    num, cat = mixed_leaders(num, cat, *more, gamma, threshold, cap)
+            if num is not None:
+                yield pa.record_batch([pa.array(num.tolist()), pa.array(cat.tolist(), pa.list_(pa.int32()))], ["num", "cat"])
+
+        kind = "num array<double>, cat array<int>"
+        part = F.spark_partition_id().alias("part")
+        seeds = stored(split.select("num", "cat").mapInArrow(leaders, kind).select(part, "num", "cat"), "leaders")
+        parts = seeds.agg(F.max("part")).first()[0] or 0
+        while parts:  # rounds, so that no task reads more than about FAN_IN * max_leaves rows
+            parts //= FAN_IN
+            seeds = seeds.select((F.col("part") / FAN_IN).cast("int").alias("part"), "num", "cat").repartition(parts + 1, "part").sortWithinPartitions("part", "num", "cat")
+            seeds = stored(seeds.select("num", "cat").mapInArrow(leaders, kind).select(part, "num", "cat"), "leaders")
+        seeds = seeds.select("num", "cat").collect()  # max_leaves rows
         num, cat = np.array([r["num"] for r in seeds]), np.array([r["cat"] for r in seeds])
 
         def tally(batches):
@@ -427,6 +447,8 @@ class KPrototypes:
     def predict(self, df: DataFrame) -> DataFrame:
         ship()
         s = self._state
+        if not s:
+            raise ValueError("the model isn't fitted")
         split = split_mixed(prepare(df, s["vec"], s["dim"]), s["vec"], list(self.categorical), s["dim"])
         shared = df.sparkSession.sparkContext.broadcast((s["x"].num.mean, s["x"].modes(), s["labels"], s["gamma"]))
 
@@ -441,6 +463,15 @@ class KPrototypes:
 
         return split.mapInArrow(run, T.StructType([*split.schema.fields, T.StructField("label", T.LongType())])).drop("num", "cat")
 
+    def get_params(self) -> dict:
+        return {k: v for k, v in asdict(self).items() if k != "_state"}
+
+    def set_params(self, **params) -> KPrototypes:
+        if unknown := set(params) - set(self.get_params()):
+            raise ValueError(f"unknown parameters: {sorted(unknown)}")
+        self.__dict__.update(params)
+        return self
+
     @property
     def cluster_centroids_(self):
         return self._state["centroids"], self._state["modes"]

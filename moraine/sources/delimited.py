@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,11 +12,15 @@ from pyspark.sql import functions as F
 def read_points(spark: SparkSession, path: str, delimiter: str = ",", header: bool = False) -> DataFrame:
     """``(id, features)`` of a text file: a fixed number of finite numbers a line, blank lines skipped.
 
-    Ids follow the order of lines inside a file; every line that breaks the form fails the query that reads it.
+    Ids follow the order of lines inside a file; ``-`` reads the driver's standard input; every line that breaks the form fails the query that reads it.
     """
     if len(delimiter.encode()) != 1:
         raise ValueError("the delimiter has to be one byte")
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("id")).where(F.trim("value") != "")
+    if path == "-":  # what the driver's standard input holds
+        text = spark.createDataFrame(list(enumerate(sys.stdin.read().splitlines())), "id long, value string")
+    else:
+        text = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("id"))
+    lines = text.where(F.trim("value") != "")
     first = lines.orderBy("id").first()
     if first is None:
         raise ValueError(f"{path} holds no rows")

@@ -180,3 +180,45 @@ def test_csr_and_stream_fit(spark, frame, tmp_path):
     m = Clustering(n_clusters=4, method="kmeans", max_leaves=200)
     m.fit_stream(stream, "features", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
     assert score(m.partial_fit().predict(frame)) > 0.95 and m.summary()["n_samples"] == 2400
+
+
+def test_mixed_leaders_are_those_of_a_loop_over_rows():
+    from moraine.estimator import mixed_leaders
+
+    rng = np.random.default_rng(3)
+    x, c = np.round(rng.normal(size=(1500, 2)), 1), rng.integers(0, 3, (1500, 2))
+    for threshold, cap in ((0.0, 4000), (0.4, 4000), (0.4, 20), (0.0, 1)):
+        lead = []
+        for k in range(len(x)):
+            if len(lead) < cap and all(((x[k] - x[j]) ** 2).sum() + 0.7 * (c[k] != c[j]).sum() > threshold for j in lead):
+                lead.append(k)
+        num, cat = mixed_leaders(None, None, x[:700], c[:700], 0.7, threshold, cap)
+        num, cat = mixed_leaders(num, cat, x[700:], c[700:], 0.7, threshold, cap)
+        assert (num == x[lead]).all() and (cat == c[lead]).all()
+
+
+def test_models_can_be_pickled(spark):
+    import pickle
+
+    rows = spark.createDataFrame([(i, [float(i % 2) * 9 + (i % 7) * 0.01, 0.0]) for i in range(60)], "id long, features array<double>")
+    model = Clustering(n_clusters=2, method="kmeans").fit(rows)
+    again = pickle.loads(pickle.dumps(model))
+    assert again.get_params() == model.get_params() and again.predict(rows).collect() == model.predict(rows).collect()
+
+
+def test_kprototypes_parameters(spark):
+    from moraine.estimator import KPrototypes
+
+    model = KPrototypes(n_clusters=2, categorical=(1,))
+    assert model.set_params(n_clusters=3).get_params()["n_clusters"] == 3 and "n_clusters=3" in repr(model)
+    with pytest.raises(ValueError, match="unknown"):
+        model.set_params(clusters=1)
+    with pytest.raises(ValueError, match="fitted"):
+        model.predict(spark.createDataFrame([([1.0, 0.0],)], "features array<double>"))
+
+
+def test_points_from_standard_input(spark, monkeypatch):
+    import io
+
+    monkeypatch.setattr("sys.stdin", io.StringIO("a,b\n1,2\n\n3,4.5\n"))
+    assert [r["features"] for r in read_points(spark, "-", header=True).orderBy("id").collect()] == [[1.0, 2.0], [3.0, 4.5]]
