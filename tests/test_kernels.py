@@ -64,6 +64,16 @@ def test_nearest_matches_brute_force():
     assert K.nearest(np.zeros((1, 2)), np.array([[1.0, 0], [0, 1.0]]))[0][0] == 0
 
 
+def test_nearest_by_cells_is_that_of_all():
+    rng = np.random.default_rng(9)
+    for d in (1, 2, 4, 8):
+        x = np.concatenate([rng.normal(size=(3000, d)), np.round(rng.normal(size=(2000, d)), 1), 50 * rng.normal(size=(5, d))])
+        c = np.concatenate([x[rng.integers(0, 5000, 600)], np.round(rng.normal(size=(300, d)), 1), x[:50], np.full((1, d), 80.0)])
+        at, dist = K.nearest(x, c)
+        want, gap = K.nearest_of_all(x, c)
+        assert (at == want).all() and np.allclose(dist, gap, rtol=1e-12, atol=0)
+
+
 @pytest.mark.parametrize("method", ["kmeans", "gmm", "gmm-full", "ward", "hdbscan"])
 def test_heads_find_blobs(method):
     from moraine.estimator import heads
