@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import linalg
@@ -11,8 +14,10 @@ from ..operators import cf as C
 from ..operators import inspection as I
 from ..operators import prepare as P
 from ..operators.kernels import core_distances, spanning_tree
+from ..operators.summarize import matrix
+from ..session import ship
 from ..streaming.evolving import DenStream
-from .vector_queries import _CORE, _E, as_leaves, emb, table
+from .vector_queries import _A, _CORE, _E, _R, as_leaves, emb, table
 
 BUDGETS = [(feature, mb, dim) for feature in ("spherical", "diagonal", "full") for mb in (0.01, 1.0, 64.0) for dim in (2, 64)]
 STREAMS = [(decay, beta, mu) for decay in (0.001, 0.05, 0.25) for beta in (0.2, 0.5) for mu in (6.0, 10.0)]
@@ -81,6 +86,31 @@ def diverse(s, d):
     return s.createDataFrame([(k, int(v)) for k, v in enumerate(got)], "rank int, vec_id long")
 
 
+def _label_stream(s, d) -> DenStream:
+    """An evolving stream whose potential micro-clusters are the label features, a hundred ticks after their last point."""
+    rows = as_leaves(s, d).orderBy("leaf").collect()
+    micros = [[float(r["n"]), list(r["mean"]), float(sum(r["s"])), 0.0, 0.0, k] for k, r in enumerate(rows)]
+    return DenStream(0.99, 0.01, 0.5, 10.0).load(json.dumps([100.0, micros, []]))
+
+
+def denstream_predict(s, d):
+    stream = _label_stream(s, d)
+    rows = emb(s, d).select("vec_id", "x")
+    ship()
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                yield pa.record_batch([b.column("vec_id"), pa.array(stream.predict(matrix(b.column("x"))).astype(np.int64))], ["vec_id", "cluster"])
+
+    return rows.mapInArrow(run, "vec_id long, cluster long")
+
+
+def denstream_stats(s, d):
+    got = _label_stream(s, d).stats()
+    return s.createDataFrame([(k, round(g["weight"], 6), round(g["radius"], 8)) for k, g in enumerate(got)], "leaf long, weight double, radius double")
+
+
 def _diverse_sql() -> str:
     out = f"WITH {_E}, t0 AS (SELECT min(vec_id) AS vec_id FROM e), g0 AS (SELECT e.vec_id, sum((e.x - y.x) * (e.x - y.x)) AS gap FROM e JOIN e y USING (j) JOIN t0 ON y.vec_id = t0.vec_id GROUP BY 1)"
     for k in range(1, DIVERSE):
@@ -98,6 +128,7 @@ def _values(rows: list[tuple], names: str) -> str:
 KERNELS = {
     "mst_weight": mst_weight, "kll_ends": kll_ends, "mixed_split": mixed_split, "mixed_cardinalities": mixed_cardinalities, "budget_leaves": budget_leaves,
     "stream_periods": stream_periods, "covariance_logdet": covariance_logdet, "moments_cf": moments_cf, "diverse_vectors": diverse,
+    "denstream_predict": denstream_predict, "denstream_stats": denstream_stats,
 }
 
 KERNELS_SQL = {
@@ -111,4 +142,7 @@ KERNELS_SQL = {
     "covariance_logdet": "WITH v AS (SELECT l_returnflag, var_pop(l_quantity) AS a, covar_pop(l_quantity, l_discount) AS b, covar_pop(l_quantity, l_tax) AS c, var_pop(l_discount) AS d, covar_pop(l_discount, l_tax) AS e, var_pop(l_tax) AS f FROM lineitem GROUP BY 1) SELECT l_returnflag, round(ln(a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d)), 6) AS logdet FROM v",
     "moments_cf": "SELECT event_type, count(*) AS n, round(avg(value), 8) AS mean, round(var_pop(value), 6) AS variance FROM events WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY event_type",
     "diverse_vectors": _diverse_sql(),
+    # the features lie within 2 eps of each other and weigh enough together, so they are one cluster
+    "denstream_predict": f"WITH {_A} SELECT vec_id, CAST(CASE WHEN d2 <= 0.99 * 0.99 THEN 0 ELSE -1 END AS BIGINT) AS cluster FROM a",
+    "denstream_stats": f"WITH {_R} SELECT label AS leaf, round(n * 0.5, 6) AS weight, round(radius, 8) AS radius FROM st",
 }
