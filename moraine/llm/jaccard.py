@@ -15,7 +15,8 @@ Two documents link when ``100 * |A & B| >= threshold * |A | B|`` for their sets
    document with those around it is a block that loses no link.
 4. Inside a block T-occurrence search runs over inverted lists (DivideSkip): the short lists are merged by a heap that
    skips what can't reach the overlap, the longest are only probed by binary search for the survivors, and the overlap
-   is checked exactly.  Queries stop for documents already connected to the block's first document.
+   is checked exactly.  Near copies of one text are searched by their differences from what most of them hold, which
+   is exact too (``InvertedLists``).  Queries stop for documents already connected to the block's most central one.
    A star above ``block_rows`` is dealt in parts.  Its most central document (that with the most keys in common) is
    searched in every part; only documents that don't link with it are then searched in all parts.  Parts carry sets
    of hashes, no texts.  Their cost is unlinked documents times parts: small for near copies of one text.
@@ -199,13 +200,20 @@ def _groups(batches):
 
 
 class InvertedLists:
-    """T-occurrence search over a block of sets: inverted lists of positions, short ones merged by a heap, long ones probed."""
+    """T-occurrence search over a block of sets: inverted lists of positions, short ones merged by a heap, long ones probed.
 
-    def __init__(self, sets: list[np.ndarray], threshold: int):
+    ``sets`` may be differences from one common set, with the ``sizes`` of the whole sets: two sets differ where their
+    differences do, so with ``excess`` = (100 + t) * |difference| - (100 - t) * |set| they link when the differences
+    have ``(excess + excess) / (2 * (100 + t))`` elements in common, without any when that isn't above 0.
+    """
+
+    def __init__(self, sets: list[np.ndarray], threshold: int, sizes: np.ndarray | None = None):
         self.t, self.sets = threshold, sets
-        self.size = np.array([len(s) for s in sets], np.int64)
+        self.held = np.array([len(s) for s in sets], np.int64)
+        self.size = self.held if sizes is None else sizes
+        self.excess = (100 + self.t) * self.held - (100 - self.t) * self.size
         flat = np.concatenate(sets) if sets else np.zeros(0, U)
-        owner = np.repeat(np.arange(len(sets)), self.size)
+        owner = np.repeat(np.arange(len(sets)), self.held)
         order = np.argsort(flat, kind="stable")
         self.posting = owner[order]
         self.token, self.begin = np.unique(flat[order], return_index=True)
@@ -243,23 +251,30 @@ class InvertedLists:
                     heapq.heappush(heap, (post[a], i))
         return np.array(cand, np.int64), np.array(count, np.int64)
 
-    def search(self, query: np.ndarray) -> np.ndarray:
-        """Positions of the sets that link with ``query``."""
+    def search(self, query: np.ndarray, size: int | None = None) -> np.ndarray:
+        """Positions of the sets that link with ``query``, which has ``size`` elements as a whole set."""
+        size = len(query) if size is None else size
+        needs = -(-((100 + self.t) * len(query) - (100 - self.t) * size + self.excess) // (2 * (100 + self.t)))
+        fits = (100 * np.minimum(self.size, size) >= self.t * np.maximum(self.size, size)) & (needs <= np.minimum(self.held, len(query)))
+        sure = np.flatnonzero(fits & (needs <= 0))
+        fits &= needs > 0
+        if not fits.any():
+            return sure
+        need = int(needs[fits].min())  # the least overlap that any linked set can have
         at = np.searchsorted(self.token, query)
         inside = at < len(self.token)
         at, wanted = at[inside], query[inside]
         at = at[self.token[at] == wanted]
-        need = max(1, -(-self.t * len(query) // 100))  # the least overlap that any linked set can have
         if len(at) < need:
-            return np.zeros(0, np.int64)
+            return sure
         length = self.end[at] - self.begin[at]
         at = at[np.argsort(length, kind="stable")]
         top = int(length.max())
         n_long = min(need - 1, int(need / (0.01 * np.log2(top + 1) + 1)))
         short, long = at[: len(at) - n_long], at[len(at) - n_long :]
         cand, count = self.merge(short, need - n_long)
-        fits = 100 * np.minimum(self.size[cand], len(query)) >= self.t * np.maximum(self.size[cand], len(query))
-        cand, count = cand[fits], count[fits]
+        keep = fits[cand] & (count + len(long) >= needs[cand])
+        cand, count = cand[keep], count[keep]
         while len(cand) and len(long):  # binary probes of the long lists, several lists at once
             step = max(8, (1 << 17) // len(cand))
             now, long = long[:step], long[step:]
@@ -267,14 +282,95 @@ class InvertedLists:
             spot = np.searchsorted(self.probe, wanted)
             hit = self.probe[np.minimum(spot, len(self.probe) - 1)] == wanted
             count = count + hit.reshape(len(now), len(cand)).sum(0)
-            alive = count + len(long) >= need
+            alive = count + len(long) >= needs[cand]
             cand, count = cand[alive], count[alive]
-        return cand[100 * count >= self.t * (self.size[cand] + len(query) - count)]
+        return np.concatenate([sure, cand])  # all lists are counted, so these have as many in common as they need
+
+
+#: A family has so many sets at least; so many sets are tried as leaders; least rows of a band and growth of its overlap.
+FAMILY, LEADERS, BAND_ROWS, BAND_STEP = 32, 16, 64, 16
+
+
+def families(sets: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The family of each set (-1: none), and each family's center: what most of its sets hold.
+
+    A leader is the set whose elements are the most common ones; its family are the sets that have more than half in common.
+    """
+    family, centers = np.full(len(sets), -1), []
+    if len(sets) < FAMILY:
+        return family, centers
+    size = np.array([len(s) for s in sets], np.int64)
+    token, at = np.unique(np.concatenate(sets), return_inverse=True)
+    begin = np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(sets)), size)
+    tried = np.zeros(len(sets), bool)
+
+    def alike(held):
+        shared = np.bincount(owner[held[at]], minlength=len(sets))
+        return (family < 0) & (2 * shared > np.maximum(size, held.sum()))
+
+    for _ in range(LEADERS):
+        common = np.bincount(at[family[owner] < 0], minlength=len(token))
+        mean = np.where((family < 0) & ~tried, np.bincount(owner, common[at], len(sets)) / np.maximum(size, 1), 0)
+        leader = int(mean.argmax())
+        if mean[leader] < 2:
+            break
+        tried[leader] = True
+        held = np.zeros(len(token), bool)
+        held[at[begin[leader] : begin[leader] + size[leader]]] = True
+        kin = alike(held)
+        if kin.sum() < FAMILY:
+            continue
+        held = 2 * np.bincount(at[kin[owner]], minlength=len(token)) > kin.sum()
+        kin = alike(held)
+        if kin.sum() >= FAMILY:
+            family[kin] = len(centers)
+            centers.append(token[held])
+    return family, centers
+
+
+class Block:
+    """The sets of a block.  Near copies of one text are indexed by their differences from what most of them hold: these
+    are few and in short lists, while lists of what they hold are as long as the family and no skip shortens them.
+    Lists are kept in bands of sets that need about as much overlap."""
+
+    def __init__(self, sets: list[np.ndarray], threshold: int):
+        self.sets = sets
+        family, centers = families(sets)
+        self.bands: list[tuple[int, np.ndarray, InvertedLists]] = []
+        self.centers = [np.zeros(0, U), *centers]
+        order = []
+        for k, center in enumerate(self.centers):
+            member = np.flatnonzero(family == k - 1)
+            size = np.array([len(sets[i]) for i in member], np.int64)
+            parts = [self.apart(sets[i], center) for i in member]
+            need = ((100 + threshold) * np.array([len(x) for x in parts], np.int64) - (100 - threshold) * size) // (2 * (100 + threshold))
+            rank = np.argsort(need, kind="stable")
+            order.append(member[rank] if k else member)
+            cuts = [0]
+            for i in range(len(rank)):
+                if i - cuts[-1] >= BAND_ROWS and need[rank[i]] - need[rank[cuts[-1]]] >= BAND_STEP:
+                    cuts.append(i)
+            for a, b in zip(cuts, [*cuts[1:], len(rank)], strict=True):
+                if b > a:
+                    some = np.sort(rank[a:b])
+                    self.bands.append((k, member[some], InvertedLists([parts[i] for i in some], threshold, size[some])))
+        #: The sets nearest to the centers of the largest families first, then those without a family.
+        self.order = np.concatenate([*sorted(order[1:], key=len, reverse=True), order[0]])
+
+    @staticmethod
+    def apart(s: np.ndarray, center: np.ndarray) -> np.ndarray:
+        return np.setxor1d(s, center, assume_unique=True) if len(center) else s
+
+    def search(self, query: np.ndarray) -> np.ndarray:
+        """Positions of the sets that link with ``query``."""
+        apart = {k: self.apart(query, self.centers[k]) for k in {k for k, _, _ in self.bands}}
+        return np.concatenate([np.zeros(0, np.int64), *(member[lists.search(apart[k], len(query))] for k, member, lists in self.bands)])
 
 
 def link_block(ids: np.ndarray, sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
     """A spanning set of links of a block."""
-    index = InvertedLists(sets, threshold)
+    block = Block(sets, threshold)
     parent = list(range(len(ids)))
 
     def find(x):
@@ -283,11 +379,11 @@ def link_block(ids: np.ndarray, sets: list[np.ndarray], threshold: int) -> list[
             x = parent[x]
         return x
 
-    out = []
-    for i in range(len(ids)):
-        if i and find(i) == find(0):
+    out, root = [], int(block.order[0])
+    for i in block.order.tolist():
+        if i != root and find(i) == find(root):
             continue
-        for j in index.search(sets[i]).tolist():
+        for j in block.search(sets[i]).tolist():
             x, y = find(i), find(j)
             if x != y:
                 parent[max(x, y)] = min(x, y)
@@ -295,12 +391,6 @@ def link_block(ids: np.ndarray, sets: list[np.ndarray], threshold: int) -> list[
     return out
 
 
-def probe_block(ids: np.ndarray, sets: list[np.ndarray], query_ids: list[int], query_sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
-    """All links of the queries with the members of a part."""
-    index = InvertedLists(sets, threshold)
-    return [(q, int(ids[j])) for q, s in zip(query_ids, query_sets, strict=True) for j in index.search(s).tolist() if ids[j] != q]
-
-
 def _search(n: int, threshold: int):
     """Rows sorted by block; one block is held at a time."""
 
@@ -327,29 +417,23 @@ def _search(n: int, threshold: int):
 
 
 def _probe(threshold: int):
-    """Rows sorted by part (head, salt), members before queries; one part and its queries are held at a time."""
+    """Rows sorted by part (head, salt), members before queries; all links of the queries with the members of their part.
+    One part is held at a time."""
 
     def run(batches):
-        key, ids, sets, qids, qsets = None, [], [], [], []
-
-        def done():
-            links = probe_block(np.array(ids, np.int64), sets, qids, qsets, threshold)
-            return pa.record_batch([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
-
+        key, ids, sets, block = None, [], [], None
         for batch in slices(batches, "grams"):
+            found: list[tuple[int, int]] = []
             for head, salt, query, doc, raw in zip(*(batch.column(c).to_pylist() for c in ("head", "salt", "query", "id", "grams")), strict=True):
                 if (head, salt) != key:
-                    if qids:
-                        yield done()
-                    key, ids, sets, qids, qsets = (head, salt), [], [], [], []
-                if query:
-                    qids.append(doc)
-                    qsets.append(np.frombuffer(raw, U))
-                else:
+                    key, ids, sets, block = (head, salt), [], [], None
+                if not query:
                     ids.append(doc)
                     sets.append(np.frombuffer(raw, U))
-        if qids:
-            yield done()
+                    continue
+                block = block or Block(sets, threshold)
+                found += [(doc, ids[j]) for j in block.search(np.frombuffer(raw, U)).tolist() if ids[j] != doc]
+            yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
     return run
 

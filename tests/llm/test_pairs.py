@@ -2,12 +2,14 @@
 
 import collections
 import hashlib
+import heapq
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from moraine.llm import jaccard
 from moraine.llm.jaccard import InvertedLists, classes, jaccard_join, partitions, shingle_sets
 from moraine.llm.substring import longest_matches, substring_dedup
 from moraine.llm.textkit import Words, grams
@@ -130,6 +132,55 @@ def test_search_matches_intersections():
         assert sorted(index.search(q).tolist()) == want
 
 
+def near_copies(rng, count, size=300, edits=(4, 30), run=5):
+    """Sets made from one by replacing runs of its elements, as edits of a text do; about half link with none at 80."""
+    base = rng.integers(1, 1 << 62, size).astype(np.uint64)
+    out = []
+    for _ in range(count):
+        lost = np.zeros(size, bool)
+        for a in rng.integers(0, size, rng.integers(*edits)):
+            lost[a : a + run] = True
+        out.append(np.unique(np.concatenate([base[~lost], rng.integers(1, 1 << 62, int(lost.sum())).astype(np.uint64)])))
+    return out
+
+
+def test_near_copies_are_linked_without_reading_all_they_share(monkeypatch):
+    """Families of near copies of which most don't link, among other sets; work is counted in positions the heap gives out."""
+    rng = np.random.default_rng(3)
+    a, b = near_copies(rng, 400), near_copies(rng, 150, 500, (1, 60))
+    sets = [*a, *b, *(np.unique(rng.integers(0, 3000, rng.integers(1, 200)).astype(np.uint64)) for _ in range(100)), *(np.append(x[:-30], x[-1]) for x in a[:20])]
+    sets = [sets[i] for i in rng.permutation(len(sets))]
+    pops = []
+    monkeypatch.setattr(jaccard.heapq, "heappop", lambda heap, pop=heapq.heappop: pops.append(1) or pop(heap))
+    links = jaccard.link_block(np.arange(len(sets)), sets, 80)
+    parent, want = list(range(len(sets))), list(range(len(sets)))
+
+    def root(of, x):
+        while of[x] != x:
+            x = of[x]
+        return x
+
+    def join(of, x, y):
+        x, y = sorted((root(of, x), root(of, y)))
+        of[y] = x
+
+    for x, y in links:
+        join(parent, x, y)
+    token, at = np.unique(np.concatenate(sets), return_inverse=True)
+    size = np.array([len(s) for s in sets])
+    held = np.zeros((len(sets), len(token)), np.float32)
+    held[np.repeat(np.arange(len(sets)), size), at] = 1
+    both = (held @ held.T).astype(int)
+    linked = 100 * both >= 80 * (size[:, None] + size - both)
+    for x, y in zip(*(k.tolist() for k in np.nonzero(linked)), strict=True):
+        join(want, x, y)
+    assert [root(parent, x) for x in range(len(sets))] == [root(want, x) for x in range(len(sets))]
+    assert len(pops) < len(sets) ** 2
+    block = jaccard.Block(sets, 80)
+    assert len(block.centers) > 2
+    assert all(sorted(block.search(s).tolist()) == np.flatnonzero(linked[i]).tolist() for i, s in enumerate(sets))
+
+
 def brute_windows(rows, width):
     seen, words = collections.Counter(), []
     for i, t in rows:
