@@ -109,7 +109,7 @@ def _summed(parts: DataFrame, kind: str) -> dict[int, np.ndarray]:
 def _vectors(w: Words, begin: np.ndarray, end: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Unit TF-IDF rows of passages as (row, column, value)."""
     row, term, tf = _terms(_bucket(w.hash), begin, end)
-    value = (1 + np.log(tf)).astype(np.float32) * idf[term]
+    value = (1 + np.log(np.arange(1, int(tf.max(initial=0)) + 1))).astype(np.float32)[tf - 1] * idf[term]
     norm = np.sqrt(np.bincount(row, value**2, len(begin)))
     return row, term & (COLUMNS - 1), (value / np.maximum(norm[row], 1e-9)).astype(np.float32)
 
@@ -126,21 +126,35 @@ class _Items:
         row, col, value = _vectors(w, begin, end, idf)
         self.rows = np.zeros((len(begin), COLUMNS), np.float32)
         np.add.at(self.rows, (row, col), value)
-        self.holds = self.rows.ravel() > 0
+        self.holds = np.zeros((len(begin), COLUMNS + 1), bool)  # the column beyond the last is in no passage
+        self.holds[:, :COLUMNS] = self.rows > 0
         self.size = np.bincount(row, minlength=len(begin))
 
 
-def _times(row: np.ndarray, col: np.ndarray, value: np.ndarray, n: int, matrix: np.ndarray) -> np.ndarray:
-    """Sparse rows times a dense matrix."""
-    out = np.zeros((n, matrix.shape[1]), np.float32)
-    if len(row):
-        first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-        for a in range(0, len(first), STEP):  # rows whose products fit a core's cache
-            lo = first[a]
-            hi = first[a + STEP] if a + STEP < len(first) else len(row)
-            part = matrix.take(col[lo:hi], 0)
-            part *= value[lo:hi, None]
-            out[row[first[a : a + STEP]]] = np.add.reduceat(part, first[a : a + STEP] - lo)
+def _padded(row: np.ndarray, col: np.ndarray, value: np.ndarray, n: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Columns and values of sparse rows (sorted by row) in segments of ``width``, and how many segments each row has.
+
+    What a segment lacks are zeros in a column beyond the last."""
+    many = np.bincount(row, minlength=n)
+    parts = -(-many // width)
+    at = np.arange(len(row)) + np.repeat((np.cumsum(parts) - parts) * width - np.cumsum(many) + many, many)
+    cols, values = np.full(int(parts.sum()) * width, COLUMNS, np.int32), np.zeros(int(parts.sum()) * width, np.float32)
+    cols[at], values[at] = col, value
+    return cols.reshape(-1, width), values.reshape(-1, width), parts
+
+
+def _rows(row: np.ndarray, col: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same with one segment a row, of a multiple of eight columns."""
+    return _padded(row, col, value, n, -(-int(np.bincount(row).max()) // 8) * 8)[:2]
+
+
+def _times(cols: np.ndarray, values: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Segments times a dense matrix."""
+    out = np.empty((len(cols), matrix.shape[1]), np.float32)
+    step = max(1, (STEP * WIDTH) // cols.shape[1])
+    for a in range(0, len(cols), step):  # rows whose products fit a core's cache
+        part = matrix.take(cols[a : a + step], 0, mode="clip")
+        np.matmul(values[a : a + step, None, :], part, out=out[a : a + step, None, :])
     return out
 
 
@@ -156,9 +170,11 @@ def _sketch(shared, width: int):
                 continue
             some = True
             row, col, value = _vectors(w, begin, end, idf)
-            y = _times(row, col, value, len(begin), test)
-            order = np.argsort(col, kind="stable")
-            got += _times(col[order], row[order], value[order], len(test), y)
+            y = _times(*_rows(row, col, value, len(begin)), test)
+            order = np.argsort(col.astype(np.int16), kind="stable")
+            rows, values, parts = _padded(col[order], row[order], value[order], len(test), 8)
+            held = np.flatnonzero(parts)
+            got[held] += np.add.reduceat(_times(rows, values, y), (np.cumsum(parts) - parts)[held])
         if some:
             yield pa.record_batch([pa.array(np.arange(len(got), dtype=np.int32)), pa.array([x.tobytes() for x in got], pa.binary())], ["part", "sums"])
 
@@ -170,21 +186,19 @@ def latent(rows: np.ndarray, basis: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9) if len(rows) else rows.reshape(0, basis.shape[1])
 
 
-def near_passages(passages: np.ndarray, terms: tuple[np.ndarray, np.ndarray], items: _Items, places: np.ndarray, cosine: float, loose: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(passage, passage of an item, cosine) of the candidates; ``terms`` are row and column of the passages' words."""
-    row, col = terms
-    first = np.searchsorted(row, np.arange(len(passages) + 1)).astype(np.int32)
-    col, many, out = col.astype(np.int32), np.diff(first), []
+def near_passages(passages: np.ndarray, cols: np.ndarray, items: _Items, places: np.ndarray, cosine: float, loose: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(passage, passage of an item, cosine) of the candidates; ``cols`` are the columns of the passages' words."""
+    holds, out = items.holds.ravel(), []
     for a in range(0, len(places), 1024):
         near = passages @ places[a : a + 1024].T
-        p, i = np.nonzero(near >= cosine)
-        got = near[p, i]
+        flat = np.flatnonzero(near >= cosine)
+        p, i = np.divmod(flat, near.shape[1])
+        got = near.ravel()[flat]
         i += a
         for z in range(0, len(p), 1 << 13):
             q, j = p[z : z + (1 << 13)], i[z : z + (1 << 13)]
-            begin = np.cumsum(many[q], dtype=np.int32) - many[q]
-            at = np.arange(begin[-1] + many[q[-1]], dtype=np.int32) + np.repeat(first[q] - begin, many[q])
-            both = np.add.reduceat(items.holds[np.repeat(j * COLUMNS, many[q]) + col[at]], begin, dtype=np.int32)
+            hit = holds.take(cols[q] + (j * (COLUMNS + 1))[:, None])
+            both = np.bitwise_count(hit.view(np.uint64)).sum(1, dtype=np.int32)  # bytes of one bit
             keep = both >= loose * items.size[j]
             out.append((q[keep], j[keep], got[z : z + (1 << 13)][keep]))
     return tuple(np.concatenate([np.zeros(0, t), *x]) for t, x in zip((np.int64, np.int64, np.float32), zip(*out, strict=True) if out else ((), (), ()), strict=True))
@@ -310,9 +324,9 @@ def _search(shared, width: int, stride: int, cosine: float, overlap: float, exac
             near: dict[tuple[int, int], float] = {}
             places_of: dict[tuple[int, int], list] = {}
             if len(doc):
-                row, col, value = _vectors(w, begin, end, idf)
-                passages = latent(_times(row, col, value, len(doc), basis), basis)
-                for p, j, cos in zip(*(x.tolist() for x in near_passages(passages, (row, col), items, places, cosine, loose)), strict=True):
+                cols, values = _rows(*_vectors(w, begin, end, idf), len(doc))
+                passages = latent(_times(cols, values, basis), basis)
+                for p, j, cos in zip(*(x.tolist() for x in near_passages(passages, cols, items, places, cosine, loose)), strict=True):
                     i, d = int(items.owner[j]), int(doc[p])
                     if not items.use[i] or items.verbatim[i]:
                         continue

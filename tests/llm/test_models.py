@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from moraine.llm import secrets as S
+from moraine.llm import decontaminate as decontaminate_module
 from moraine.llm.decontaminate import common_subsequence, decontaminate, leading
 from moraine.llm.mixing import Rates, mix, solve_rates
 from moraine.llm.quality import fit_quality, op7_subword_quality, score_quality
@@ -129,6 +130,25 @@ def test_common_subsequence():
         assert common_subsequence(a, b) == t[-1, -1]
 
 
+def test_padded_products_are_those_of_the_matrix():
+    """Rows without, with few and with many entries, by rows and by columns in segments."""
+    rng = np.random.default_rng(5)
+    dense = np.where(rng.random((300, decontaminate_module.COLUMNS)) < rng.choice([0, 1e-4, 2e-3], 300)[:, None], rng.normal(size=(300, decontaminate_module.COLUMNS)), 0).astype(np.float32)
+    dense[7, ::2] = 1
+    row, col = np.nonzero(dense)
+    right, left = rng.normal(size=(dense.shape[1], 5)).astype(np.float32), rng.normal(size=(300, 5)).astype(np.float32)
+    for width in (8, 1 << 13):
+        cols, values, parts = decontaminate_module._padded(row, col, dense[row, col], 300, width)
+        held = np.flatnonzero(parts)
+        got = np.add.reduceat(decontaminate_module._times(cols, values, right), (np.cumsum(parts) - parts)[held])
+        assert np.allclose(got, (dense @ right)[held], atol=1e-3) and (np.delete(dense, held, 0) == 0).all()
+    order = np.argsort(col, kind="stable")
+    cols, values, parts = decontaminate_module._padded(col[order], row[order], dense[row, col][order], dense.shape[1], 8)
+    held = np.flatnonzero(parts)
+    got = np.add.reduceat(decontaminate_module._times(cols, values, left), (np.cumsum(parts) - parts)[held])
+    assert np.allclose(got, (dense.T @ left)[held], atol=1e-3)
+
+
 def test_leading_vectors_are_those_of_the_matrix():
     rng = np.random.default_rng(3)
     items, a = 0.1 * rng.normal(size=(6, 50)), rng.normal(size=(300, 12)) @ rng.normal(size=(12, 50)) * 3
