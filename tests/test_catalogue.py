@@ -64,3 +64,43 @@ def test_offline_steps_on_all_customers(spark):
     assert run("dbstream_offline_all") == {int(i): (int(ids[r]),) for i, r, k in zip(ids, root, n, strict=True) if k >= 2}
     first, many = (c.groupby(["c_nationkey", "c_mktsegment"]).c_custkey.transform(f) for f in ("min", "count"))
     assert run("must_link_components") == {int(i): (int(f),) for i, f, k in zip(ids, first, many, strict=True) if k > 1}
+
+
+def test_offline_denstream_in_any_dimensions(spark):
+    """Random, repeated, boundary and broken means in 1, 2 and 5 dimensions, and eps 0; against brute force."""
+    from moraine.streaming.evolving import denstream_offline
+
+    rng = np.random.default_rng(3)
+    for dim, spread, eps in ((1, 300.0, 0.3), (2, 6.0, 0.5), (5, 2.0, 0.4), (2, 2.0, 0.0)):
+        x = rng.random((250, dim)) * spread - spread / 2
+        x[:60] = np.round(x[:60] / (2 * eps or 1)) * (2 * eps or 1)  # pairs at 2 eps exactly
+        x[60:80] = x[80:100]
+        x[100:110] += 1e9
+        ids, n = rng.permutation(1000)[: len(x)], rng.integers(1, 4, len(x))
+        d = np.zeros((len(x), len(x)))
+        for j in range(dim):  # summed in the order that Spark sums in
+            d += (x[:, None, j] - x[None, :, j]) ** 2
+        root = union_groups(len(x), np.argwhere(d <= 4 * eps * eps))
+        low = {r: int(ids[root == r].min()) for r in set(root.tolist())}
+        weight = {r: float(n[root == r].sum()) for r in low}
+        rows = [(int(i), float(k), v.tolist()) for i, k, v in zip(ids, n, x, strict=True)]
+        rows += [(2000, 1.0, [float("nan")] * dim), (2001, 1.0, None)]
+        got = denstream_offline(spark.createDataFrame(rows, "id long, n double, mean array<double>"), eps, 5.0).collect()
+        assert {r[0]: (r[1], r[2]) for r in got} == {int(i): (low[r] if weight[r] >= 5 else -1, weight[r]) for i, r in zip(ids, root.tolist(), strict=True)}
+
+
+def test_offline_denstream_of_dense_rows(spark, monkeypatch):
+    """20,000 rows in one dense region, of which a pairwise join would make tens of millions of pairs."""
+    from moraine.streaming import evolving
+
+    pairs, stored = [], evolving.stored
+
+    def kept(df, name):
+        out = stored(df, name)
+        pairs.extend([out] if name == "cellpairs" else [])
+        return out
+
+    monkeypatch.setattr(evolving, "stored", kept)
+    rows = spark.range(20_000).selectExpr("id", "1D as n", "array(rand(1), rand(2)) as mean")
+    assert evolving.denstream_offline(rows, 0.2, 10.0).groupBy("component", "weight").count().collect() == [(0, 20_000.0, 20_000)]
+    assert pairs and sum(p.count() for p in pairs) < 1_000_000
