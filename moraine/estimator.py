@@ -110,7 +110,7 @@ class Clustering:
 
     # fitting
 
-    def _summarise(self, df: DataFrame, vec: str):
+    def _summarise(self, df: DataFrame, vec: str, cap: int | None = None):
         row = df.select(F.size(vec)).first()
         if row is None:
             raise ValueError("there are no rows")
@@ -120,7 +120,7 @@ class Clustering:
         self._state |= {"dim": dim, "vec": vec}
         points = prepare(df, vec, dim, self.normalize)
         gate = (chi2_quantile(dim, self.chi2_p), self.chi2_scale) if self.absorb == "chi2" else None
-        table = summarize(points, vec, self.effective_max_leaves_, self.feature, self.threshold, self.distance, gate, self.huber_k)
+        table = summarize(points, vec, cap or self.effective_max_leaves_, self.feature, self.threshold, self.distance, gate, self.huber_k)
         return collect(table)
 
     def fit(self, df: DataFrame, vec: str = "features", must_link: DataFrame | None = None, cannot_link: DataFrame | None = None, id_col: str = "id") -> Clustering:
@@ -129,6 +129,16 @@ class Clustering:
         self._state["f"], self._state["threshold"], self._state["rebuilds"] = self._summarise(df, vec)
         if must_link is None and cannot_link is None:
             return self._label()
+        try:
+            labels = self._constrained(df, must_link, cannot_link, id_col)
+        except K.ContradictionError:  # the rows may be free to part while their leaves aren't
+            self._part_constrained(df, vec, [t for t in (must_link, cannot_link) if t is not None], id_col)
+            labels = self._constrained(df, must_link, cannot_link, id_col)
+        self._state |= {"labels": K.by_first_member(labels), "resp": None}
+        return self
+
+    def _constrained(self, df: DataFrame, must_link: DataFrame | None, cannot_link: DataFrame | None, id_col: str) -> np.ndarray:
+        """Labels of the leaves under constraints of rows, as constraints of their leaves."""
         leaf = self._assign(df).select(F.col(id_col).cast("long").alias("id"), "leaf")
         pairs = {}
         for name, table in (("must", must_link), ("cannot", cannot_link)):
@@ -142,9 +152,29 @@ class Clustering:
             pairs[name] = [(r["a"], r["b"]) for r in got if r["a"] != r["b"] or name == "cannot"]
         if any(a == b for a, b in pairs["cannot"]):
             raise K.ContradictionError("a cannot-link joins rows of one leaf")
-        labels = K.cop_kmeans(self._state["f"], max(1, self.n_clusters), pairs["must"], pairs["cannot"], self.max_iter, 4, self.seed)
-        self._state |= {"labels": K.by_first_member(labels), "resp": None}
-        return self
+        return K.cop_kmeans(self._state["f"], max(1, self.n_clusters), pairs["must"], pairs["cannot"], self.max_iter, 4, self.seed)
+
+    def _part_constrained(self, df: DataFrame, vec: str, links: list[DataFrame], id_col: str) -> None:
+        """Summarise anew with a leaf of its own for every vector that a constraint names, inside ``max_leaves``."""
+        ends = [valid_pairs(t).select(F.col(c).alias("named")) for t in links for c in ("id_a", "id_b")]
+        named = ends[0]
+        for e in ends[1:]:
+            named = named.union(e)
+        named, cap = stored(named.distinct(), "named"), self.effective_max_leaves_
+        held = df[id_col].cast("long") == named["named"]
+        own = prepare(df.join(named, held, "left_semi"), vec, self._state["dim"], self.normalize)
+        own = own.groupBy(F.col(vec).alias("x")).agg(F.count("*").cast("double").alias("n")).limit(cap + 1).toArrow()
+        if own.num_rows > cap:
+            raise K.ContradictionError(f"constraints that leaves can't keep name more than {cap} vectors: raise max_leaves")
+        own = K.Features.points(matrix(own.column("x").combine_chunks()), self.feature == "full", own.column("n").to_numpy())
+        rest = df.join(named, held, "left_anti")
+        if not rest.isEmpty():
+            if len(own) == cap:
+                raise K.ContradictionError(f"constraints that leaves can't keep name all of {cap} leaves: raise max_leaves")
+            f, self._state["threshold"], self._state["rebuilds"] = self._summarise(rest, vec, cap - len(own))
+            own = own.join(f)
+        mean, group = np.unique(own.mean, axis=0, return_inverse=True)
+        self._state["f"] = own.merge(group.ravel(), len(mean))
 
     def partial_fit(self, df: DataFrame | None = None, vec: str = "features") -> Clustering:
         """Add rows (earlier ones fade by ``decay``); without rows, cluster what is there."""

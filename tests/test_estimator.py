@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from moraine.estimator import Clustering, KPrototypes, fit_predict_sparse
 from moraine.functions.sketches import DDSketch, kll, kll_merge, kll_quantile
 from moraine.operators import inspection as I
-from moraine.operators.kernels import adjusted_rand
+from moraine.operators.kernels import ContradictionError, adjusted_rand
 from moraine.sources.csr import check_csr, sparse_rows
 from moraine.sources.delimited import read_points, write_labels
 from moraine.streaming.evolving import DBStream, DenStream, run_stream
@@ -42,6 +42,21 @@ def test_inspection(spark, frame):
     assert len(m.cluster_profile(spark, 0)["nearest"]) == 3
 
 
+def test_constraints_inside_one_leaf(spark, frame):
+    """Rows that share a leaf can be parted, as long as their vectors differ."""
+    pairs = lambda *p: spark.createDataFrame(list(p), "id_a long, id_b long")
+    first = [r["id"] for r in frame.where("y = 0").orderBy("id").select("id").limit(6).collect()]
+    a, b, c, d, e, f = first
+    for feature in ("diagonal", "full"):
+        m = Clustering(n_clusters=4, method="kmeans", max_leaves=12, feature=feature).fit(frame, must_link=pairs((a, b), (c, d)), cannot_link=pairs((a, c), (e, f)))
+        got = {r["id"]: r["label"] for r in m.predict(frame).where(F.col("id").isin(first)).collect()}
+        assert got[a] == got[b] != got[c] == got[d] and got[e] != got[f]
+        assert m.n_leaves_ <= 12 and m.summary()["n_samples"] == 2400
+    for max_leaves, tie in ((12, (a, c)), (3, (a, b))):  # a true contradiction; more vectors than leaves
+        with pytest.raises(ContradictionError):
+            Clustering(n_clusters=4, method="kmeans", max_leaves=max_leaves).fit(frame, must_link=pairs(tie), cannot_link=pairs((a, c), (e, f)))
+
+
 def test_near_duplicates(spark, frame):
     copies = spark.createDataFrame([(5000 + i, [50.0, 50.0], 9) for i in range(6)], frame.schema)
     both = frame.union(copies)
