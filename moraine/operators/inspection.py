@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.vectors import as_doubles, dot, l2_normalize, sq_euclidean, total
+from ..functions.vectors import as_doubles, l2_normalize, sq_euclidean, total
+from ..session import ship, stored
+from .summarize import assign, matrix
+
+#: Rows of a block of near_duplicate_pairs, of a product's two sides, and pairs of a batch that it gives.
+PAIR_ROWS, PAIR_STRIPE, PAIR_WIDTH, PAIR_OUT = 1 << 13, 512, 2048, 1 << 16
 
 
 def nearest_center(points: DataFrame, centers: DataFrame, key: list[str], vec: str, center: str = "mean", cid: str = "cid") -> DataFrame:
     """``(key, cid, d2)``: the nearest centre, ties to the smaller id.  ``centers`` is a bounded table (``assign`` checks
     its size); rows are matched in one narrow pass."""
-    from .summarize import assign
-
     table = sorted(centers.select(cid, center).collect(), key=lambda r: r[0])
     ids, means = np.array([r[0] for r in table], np.int64), np.array([r[1] for r in table], float)
     rows = points.select(*key, as_doubles(F.col(vec)).alias("_vec"))
@@ -75,11 +81,81 @@ def near_duplicate_groups(assigned: DataFrame, leaves: DataFrame, key: str, radi
 
 
 def near_duplicate_pairs(assigned: DataFrame, key: str, vec: str, threshold: float = 0.9, leaf: str = "leaf") -> DataFrame:
-    """Pairs ``(a, b, cosine)`` inside a leaf at ``threshold`` or more; an equi-join on the leaf."""
-    unit = assigned.select(leaf, key, l2_normalize(as_doubles(F.col(vec))).alias("u"))
-    a, b = unit.select(leaf, F.col(key).alias("a"), F.col("u").alias("ua")), unit.select(leaf, F.col(key).alias("b"), F.col("u").alias("ub"))
-    met = a.join(b, leaf).where("a < b").withColumn("cosine", dot(F.col("ua"), F.col("ub")))
-    return met.where(F.col("cosine") >= threshold).select(leaf, "a", "b", "cosine")
+    """Pairs ``(a, b, cosine)`` inside a leaf at ``threshold`` or more.
+
+    All pairs of a leaf are compared, in blocks of about ``PAIR_ROWS`` rows: every two blocks are a job of their own
+    that holds one block and streams the other, so memory is bounded whatever a leaf's size.
+    """
+    ship()
+    rows = assigned.select(F.col(leaf).alias("leaf"), F.col(key).alias("key"), l2_normalize(as_doubles(F.col(vec))).alias("u"))
+    rows = stored(rows.where("leaf is not null and key is not null and forall(u, v -> v is not null)"), "units")
+    size = rows.groupBy("leaf").agg(F.count("*").alias("n"), F.ceil(F.count("*") / PAIR_ROWS).cast("int").alias("blocks"))
+    read = size.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0  # rows of all jobs
+    met = rows.join(F.broadcast(size.drop("n")), "leaf").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("leaf", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("held"), "key", "u")
+    parts = max(min(2 * read // PAIR_ROWS, 1 << 13), int(assigned.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    met = met.repartition(parts, "leaf", "i", "j").sortWithinPartitions("leaf", "i", "j", F.desc("held"))
+    types = {f.name: f.dataType for f in met.schema.fields}
+    schema = T.StructType([T.StructField(n, t) for n, t in (("leaf", types["leaf"]), ("x", types["key"]), ("y", types["key"]), ("cosine", T.DoubleType()))])
+    found = met.mapInArrow(_paired(threshold), schema).where("x <> y")
+    return found.select(F.col("leaf").alias(leaf), F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "cosine")
+
+
+def _paired(threshold: float):
+    """Pairs of rows sorted by job (leaf, i, j): the held block first, which is all there is where i = j."""
+
+    def pairs(held, first, batch, u, inside):
+        """Pairs of held rows and those of a batch; inside a block each row only meets those before it."""
+        x = held[1]
+        for p in range(0, len(u), PAIR_STRIPE):
+            y = u[p : p + PAIR_STRIPE]
+            upto = first + p + len(y) if inside else len(x)
+            for q in range(0, upto, PAIR_WIDTH):
+                near = ~(y @ x[q : min(upto, q + PAIR_WIDTH)].T < threshold - 1e-9)  # NaN is above all, as in Spark
+                if inside:
+                    near &= np.arange(q, q + near.shape[1])[None] < np.arange(first + p, first + p + len(y))[:, None]
+                at, to = np.nonzero(near)
+                for k in range(0, len(at), PAIR_OUT):
+                    r, c = at[k : k + PAIR_OUT], to[k : k + PAIR_OUT] + q
+                    cosine = np.zeros(len(r))
+                    for j in range(u.shape[1]):  # in the order of ``dot``
+                        cosine += y[r, j] * x[c, j]
+                    ok = ~(cosine < threshold)
+                    if ok.any():
+                        a, b = held[0].take(pa.array(c[ok])), batch.column("key").take(pa.array(r[ok] + p))
+                        yield pa.record_batch([batch.column("leaf").take(pa.array(r[ok] + p)), a, b, pa.array(cosine[ok])], ["leaf", "x", "y", "cosine"])
+
+    def run(batches):
+        at, keys, block, filled = None, [], np.zeros((0, 0)), 0
+        for whole in batches:
+            if not whole.num_rows:
+                continue
+            lead = [whole.column(c) for c in ("leaf", "i", "j", "held")]
+            starts = [0]
+            for c in lead:  # where any of them differs from the row before
+                starts += (np.flatnonzero(pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist()
+            starts = sorted(set(starts)) + [whole.num_rows]
+            for s, e in zip(starts[:-1], starts[1:], strict=True):
+                b = whole.slice(s, e - s)
+                leaf, i, j, held = (c[s].as_py() for c in lead)
+                if at != (leaf, i, j):
+                    at, keys, filled = (leaf, i, j), [], 0
+                u = matrix(b.column("u"))
+                if held:
+                    if filled + len(u) > len(block) or block.shape[1] != u.shape[1]:
+                        wider = np.empty((max(2 * len(block), filled + len(u)), u.shape[1]))
+                        if filled:
+                            wider[:filled] = block[:filled]
+                        block = wider
+                    block[filled : filled + len(u)] = u
+                    keys.append(b.column("key"))
+                    filled += len(u)
+                if keys and (not held or i == j):
+                    keys = [pa.concat_arrays(keys)] if len(keys) > 1 else keys
+                    yield from pairs((keys[0], block[:filled]), filled - len(u), b, u, i == j)
+
+    return run
 
 
 def soft_assignment(points: DataFrame, stats: DataFrame, key: str, vec: str, label: str = "label") -> DataFrame:

@@ -67,6 +67,23 @@ def test_near_duplicates(spark, frame):
     assert m.near_duplicate_pairs(both, 1.01).count() == 0
 
 
+def test_near_duplicate_pairs_in_blocks(spark, monkeypatch):
+    """Leaves of several blocks, of one and of a row, copies and string keys; against brute force."""
+    monkeypatch.setattr(I, "PAIR_ROWS", 32)
+    monkeypatch.setattr(I, "PAIR_STRIPE", 7)
+    monkeypatch.setattr(I, "PAIR_WIDTH", 11)
+    monkeypatch.setattr(I, "PAIR_OUT", 5)
+    rng = np.random.default_rng(1)
+    x, leaf = rng.standard_normal((231, 6)), np.repeat([0, 1, 2], [200, 30, 1])
+    x[50:60], x[7] = x[40], 0
+    key = [f"k{i:03d}" for i in rng.permutation(231)]
+    rows = spark.createDataFrame([(int(c), k, v.tolist()) for c, k, v in zip(leaf, key, x, strict=True)] + [(0, "null", None)], "leaf int, id string, x array<double>").repartition(5)
+    u = x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]
+    a, b = np.nonzero(((u @ u.T) >= 0.5) & (leaf[:, None] == leaf[None]) & (np.array(key)[:, None] < np.array(key)[None]))
+    got = I.near_duplicate_pairs(rows, "id", "x", 0.5).collect()
+    assert sorted((r["leaf"], r["a"], r["b"], round(r["cosine"], 9)) for r in got) == sorted((int(leaf[i]), key[i], key[j], round(float(u[i] @ u[j]), 9)) for i, j in zip(a, b, strict=True))
+
+
 def test_constraints_and_errors(spark, frame):
     pairs = lambda *p: spark.createDataFrame(list(p), "id_a long, id_b long")
     m = Clustering(n_clusters=4, method="kmeans").fit(frame, must_link=pairs((0, 600)), cannot_link=pairs((0, 1)))
