@@ -88,9 +88,11 @@ def huang_gamma(s, d):
 def kproto_assign(s, d):
     """Nearest of the nations' prototypes: squared difference + gamma for another mode."""
     rows, proto = mixed(s, d), mixed_cf(s, d)
-    met = rows.select("c_custkey", "b", "code").crossJoin(F.broadcast(proto.select("g", "mean", "mode")))
-    dist = (F.col("b") - F.col("mean")) * (F.col("b") - F.col("mean")) + F.when(F.col("code") != F.col("mode"), 1.5).otherwise(0.0)
-    return met.groupBy("c_custkey").agg(F.min(F.struct(F.round(dist, 7).alias("d"), "g")).alias("m")).select("c_custkey", F.col("m.g").alias("g"), F.col("m.d").alias("d"))
+    table = proto.agg(F.collect_list(F.struct("g", "mean", "mode")).alias("protos")).where(F.size("protos") > 0)  # a row
+    dist = lambda p: (F.col("b") - p["mean"]) * (F.col("b") - p["mean"]) + F.when(F.col("code") != p["mode"], 1.5).otherwise(0.0)
+    near = F.array_min(F.transform("protos", lambda p: F.struct(F.round(dist(p), 7).alias("d"), p["g"].alias("g"))))
+    met = rows.crossJoin(F.broadcast(table)).select("c_custkey", near.alias("m")).repartition("c_custkey")
+    return met.groupBy("c_custkey").agg(F.min("m").alias("m")).select("c_custkey", F.col("m.g").alias("g"), F.col("m.d").alias("d"))
 
 
 def _terms(s, d):
