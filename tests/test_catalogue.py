@@ -104,3 +104,18 @@ def test_offline_denstream_of_dense_rows(spark, monkeypatch):
     rows = spark.range(20_000).selectExpr("id", "1D as n", "array(rand(1), rand(2)) as mean")
     assert evolving.denstream_offline(rows, 0.2, 10.0).groupBy("component", "weight").count().collect() == [(0, 20_000.0, 20_000)]
     assert pairs and sum(p.count() for p in pairs) < 1_000_000
+
+
+def test_streams_and_prototypes_are_not_held_whole(spark):
+    """Streams pass in Arrow batches, prototypes meet a row in one array; streams equal their models row by row."""
+    from moraine.streaming.evolving import DBStream, DenStream, run_stream
+
+    rows = spark.range(3000).selectExpr("id", "concat('k', id % 3) as k", "array(rand(4), rand(5)) as x").repartition(5)
+    held = rows.orderBy("id").toPandas()
+    for kind, model, params in (("dbstream", DBStream, {"r": 0.2, "decay": 0.01}), ("denstream", DenStream, {"eps": 0.2, "decay": 0.01, "beta": 0.5, "mu": 4.0})):
+        run = run_stream(rows, "x", ["id"], kind, "k", **params)
+        assert "MapInArrow" in run._jdf.queryExecution().toString() and "InPandas" not in run._jdf.queryExecution().toString()
+        want = {(k, 1000, s["weight"], tuple(s["center"])) for k, g in held.groupby("k") for s in model(**params).partial_fit(np.stack(g["x"])).stats()}
+        assert {(r["stream"], r["tick"], r["weight"], tuple(r["center"])) for r in run.collect()} == want
+    met = catalogue.QUERIES["kproto_assign"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(protos" in met
